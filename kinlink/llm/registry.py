@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from . import quality_llr, simhash_dedup, source_mix, toxicity_grammar
+from . import (
+    chat_repair,
+    decontamination,
+    html_extract,
+    quality_llr,
+    secret_links,
+    simhash_dedup,
+    source_mix,
+    substring_dedup,
+    toxicity_grammar,
+    warc_derive,
+)
 
-MODULES = (simhash_dedup, quality_llr, toxicity_grammar, source_mix)
+MODULES = (simhash_dedup, quality_llr, toxicity_grammar, substring_dedup, html_extract, decontamination, warc_derive, chat_repair, source_mix, secret_links)
 
 
 def queries() -> dict:
-    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    import corpus_pipeline
+
+    found = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+    found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    import corpus_pipeline
+
+    found = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

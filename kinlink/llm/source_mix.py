@@ -107,6 +107,16 @@ def fit(sizes: list[int], counts: list[int], target: float) -> tuple[int, list[i
             cumulated += sizes[i] * counts[i]
             extra[i] = max(0, min(counts[i], (cumulated * rest // total - taken) // sizes[i]))
             taken += extra[i] * sizes[i]
+    if rest and taken < rest:  # a few short documents go back, so that what is left to fill meets enough lengths
+        back, enough = 0, 2 * max(sizes)
+        for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+            if back >= enough:
+                break
+            if sizes[i]:
+                many = min(extra[i], 4)
+                extra[i] -= many
+                back += many * sizes[i]
+        taken -= back
     more = subset([(s, n - e) for s, n, e in zip(sizes, counts, extra) if s and n > e], rest - taken)
     return rounds, [e + more.get(s, 0) for s, e in zip(sizes, extra)]
 
