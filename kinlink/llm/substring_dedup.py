@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,18 +83,18 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return text, first - starts[text], last - first + LENGTH, m[first]
 
 
-def _pack(pieces: list[bytes], docs: list[int], crcs: list[int], offs: list[int], subs: list[int]) -> bytes:
-    order = sorted(range(len(pieces)), key=lambda i: (subs[i], docs[i], offs[i]))
-    n = len(order)
-    ids = np.array([docs[i] for i in order], np.int64)
+def _pack(pieces: list[bytes], docs: np.ndarray, crcs: np.ndarray, offs: np.ndarray, subs: np.ndarray) -> bytes:
+    """Pieces in the order of their shard and document, packed; doc_ids as differences."""
+    order = np.lexsort((offs, docs, subs))
+    chosen = [pieces[i] for i in order.tolist()]
     parts = [
-        struct.pack("<I", n),
-        np.bincount([subs[i] for i in order], minlength=SUBS).astype("<u4").tobytes(),
-        np.diff(ids, prepend=np.int64(0)).astype("<i8").tobytes(),
-        np.array([crcs[i] for i in order], "<u4").tobytes(),
-        np.array([offs[i] for i in order], "<i8").tobytes(),
-        np.array([len(pieces[i]) for i in order], "<u4").tobytes(),
-        b"".join([pieces[i] for i in order]),
+        struct.pack("<I", len(chosen)),
+        np.bincount(subs, minlength=SUBS).astype("<u4").tobytes(),
+        np.diff(docs[order], prepend=np.int64(0)).astype("<i8").tobytes(),
+        crcs[order].astype("<u4").tobytes(),
+        offs[order].astype("<i8").tobytes(),
+        np.fromiter(map(len, chosen), "<u4", len(chosen)).tobytes(),
+        *chosen,
     ]
     return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
@@ -205,10 +206,11 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> np
 
 def _hashes(w: np.ndarray, n: int) -> np.ndarray:
     """A hash of each window's LENGTH bytes."""
-    h = _mix(w[:n])
+    h = w[:n].copy()
     for i in (*range(8, LENGTH - 8, 8), LENGTH - 8):
-        h = _mix(h ^ w[i : i + n])
-    return h
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= w[i : i + n]
+    return _mix(h)
 
 
 class Shard:
@@ -219,10 +221,8 @@ class Shard:
         self.buf = np.frombuffer(pieces.data, np.uint8)
         ends = np.cumsum(pieces.sizes)
         self.starts = ends - pieces.sizes
-        valid = np.ones(len(self.buf), bool)
-        for k in range(1, LENGTH):
-            valid[ends - k] = False
-        self.valid = np.flatnonzero(valid)
+        many = pieces.sizes - LENGTH + 1
+        self.valid = np.repeat(self.starts - np.cumsum(many) + many, many) + np.arange(many.sum())
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
@@ -232,8 +232,8 @@ class Shard:
         w = words(np.concatenate([self.buf, np.zeros(8, np.uint8)]))
         n = len(self.buf) - LENGTH + 1
         h = _hashes(w, n)[self.valid]
-        cell = (h >> np.uint64(42)).astype(np.int64)
-        some = np.flatnonzero(np.bincount(cell, minlength=1 << 22)[cell] > 1)
+        cell = (h >> np.uint64(43)).astype(np.int64)
+        some = np.flatnonzero(np.bincount(cell, minlength=1 << 21)[cell] > 1)
         order = some[np.argsort(h[some], kind="stable")]
         key = h[order]
         if not len(key):
@@ -342,48 +342,62 @@ def _encode(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
+class Outbox:
+    """What a task holds back: pieces that are new to it, and spans of pieces that it has seen under a smaller doc_id."""
+
+    def __init__(self, routes: int):
+        self.routes = routes
+        self.clear()
+
+    def clear(self) -> None:
+        self.seen: dict[bytes, int] = {}
+        self.pieces: list[bytes] = []
+        self.columns: list[tuple[np.ndarray, ...]] = []
+        self.spans: list[list[int]] = []
+        self.size = 0
+
+    def take(self, rows: list[tuple[int, bytes]]) -> None:
+        """rows (doc_id, text); the next ones may have smaller ids, as what is settled here needs only a smaller one before."""
+        texts = [t for _, t in rows]
+        which, offs, lens, mins = cut(texts)
+        docs = np.array([d for d, _ in rows], np.int64)[which]
+        crcs = np.array([zlib.crc32(t) for t in texts], np.int64)[which]
+        kept = np.ones(len(which), bool)
+        seen, pieces, spans = self.seen, self.pieces, self.spans
+        for k, (i, a, n, doc) in enumerate(zip(which.tolist(), offs.tolist(), lens.tolist(), docs.tolist())):
+            piece = texts[i][a : a + n]
+            if seen.setdefault(piece, doc) < doc:
+                kept[k] = False
+                if spans and spans[-1][0] == doc and spans[-1][1] == crcs[k] and spans[-1][2] <= a <= spans[-1][3]:
+                    spans[-1][3] = max(spans[-1][3], a + n)
+                else:
+                    spans.append([doc, int(crcs[k]), a, a + n])
+            else:
+                seen[piece] = doc
+                pieces.append(piece)
+        mixed = _mix(mins[kept].astype(np.uint64) + np.uint64(1))
+        self.columns.append((docs[kept], crcs[kept], offs[kept], (mixed % np.uint64(self.routes)).astype(np.int64), (mixed >> np.uint64(60)).astype(np.int64)))
+        self.size += int(lens[kept].sum()) + 60 * int(kept.sum())
+
+    def batches(self):
+        if self.pieces:
+            docs, crcs, offs, routes, subs = (np.concatenate(c) for c in zip(*self.columns))
+            order = np.argsort(routes, kind="stable")
+            cuts = np.flatnonzero(np.diff(routes[order], prepend=-1))
+            for part in np.split(order, cuts[1:]):
+                blob = _pack([self.pieces[i] for i in part.tolist()], docs[part], crcs[part], offs[part], subs[part])
+                yield pa.RecordBatch.from_pydict({"route": [int(routes[part[0]])], "blob": [blob], "doc_id": [None], "crc": [None], "s": [None], "e": [None]}, schema=_SENT)
+        if self.spans:
+            doc, crc, s, e = zip(*self.spans)
+            yield pa.RecordBatch.from_pydict({"route": [d % self.routes for d in doc], "blob": [None] * len(doc), "doc_id": doc, "crc": crc, "s": s, "e": e}, schema=_SENT)
+        self.clear()
+
+
 def _spread(routes: int):
-    """Blobs of pieces by route, and spans that the task settles itself."""
+    """Blobs of pieces by route, and spans that the task settles itself, dealt by doc_id."""
 
     def run(batches):
-        seen: dict[bytes, int] = {}
-        held: dict[int, tuple[list, list, list, list, list]] = {}
-        size = 0
-        local: list[tuple[int, int, int, int]] = []
-
-        def out():
-            nonlocal size
-            for route in sorted(held):
-                yield pa.RecordBatch.from_pydict({"route": [route], "blob": [_pack(*held[route])], "doc_id": [None], "crc": [None], "s": [None], "e": [None]}, schema=_SENT)
-            if local:
-                cols = list(zip(*local))
-                none = [None] * len(local)
-                yield pa.RecordBatch.from_pydict({"route": none, "blob": none, "doc_id": cols[0], "crc": cols[1], "s": cols[2], "e": cols[3]}, schema=_SENT)
-            seen.clear()
-            held.clear()
-            local.clear()
-            size = 0
-
-        def take(rows):
-            nonlocal size
-            texts = [t for _, t in rows]
-            crcs = [zlib.crc32(t) for t in texts]
-            which, offs, lens, mins = cut(texts)
-            mixed = _mix(mins.astype(np.uint64) + np.uint64(1))
-            route = (mixed % np.uint64(routes)).astype(np.int64).tolist()
-            sub = (mixed >> np.uint64(60)).astype(np.int64).tolist()
-            for i, a, n, r, s in zip(which.tolist(), offs.tolist(), lens.tolist(), route, sub):
-                doc, text = rows[i]
-                piece = text[a : a + n]
-                least = seen.setdefault(piece, doc)
-                if least < doc:
-                    local.append((doc, crcs[i], a, a + n))
-                    continue
-                seen[piece] = doc
-                for x, y in zip(held.setdefault(r, ([], [], [], [], [])), (piece, doc, crcs[i], a, s)):
-                    x.append(y)
-                size += n + 60
-
+        box = Outbox(routes)
         for batch in batches:
             rows = sorted((d, t) for d, t in zip(batch.column("doc_id").to_pylist(), map(_encode, batch.column("text").to_pylist())) if d is not None and len(t) >= LENGTH)
             at = 0
@@ -392,32 +406,56 @@ def _spread(routes: int):
                 while stop < len(rows) and (n == 0 or n + len(rows[stop][1]) <= BLOCK):
                     n += len(rows[stop][1])
                     stop += 1
-                take(rows[at:stop])
+                box.take(rows[at:stop])
                 at = stop
-                if size >= FLUSH:
-                    yield from out()
-        yield from out()
+                if box.size >= FLUSH:
+                    yield from box.batches()
+        yield from box.batches()
 
     return run
 
 
+def distinct(pieces: Pieces) -> tuple[Pieces, list[tuple[int, int, int, int]]]:
+    """The pieces with each byte string once, under its smallest doc_id (and all rows of that id), and the spans of the others, which go whole."""
+    order = np.argsort(pieces.docs, kind="stable")
+    starts = np.cumsum(pieces.sizes) - pieces.sizes
+    seen: dict[bytes, int] = {}
+    kept, parts, gone = [], [], []
+    for i, a, n, doc in zip(order.tolist(), starts[order].tolist(), pieces.sizes[order].tolist(), pieces.docs[order].tolist()):
+        piece = pieces.data[a : a + n]
+        if seen.setdefault(piece, doc) < doc:
+            gone.append(i)
+        else:
+            kept.append(i)
+            parts.append(piece)
+    rest = Pieces(b"".join(parts), *(getattr(pieces, n)[kept] for n in ("sizes", "docs", "crcs", "offs")))
+    offs = pieces.offs[gone]
+    return rest, list(zip(pieces.docs[gone].tolist(), pieces.crcs[gone].tolist(), offs.tolist(), (offs + pieces.sizes[gone]).tolist()))
+
+
 def _gather(table: pa.Table) -> pa.Table:
     shards: list[list[Pieces]] = [[] for _ in range(SUBS)]
-    for blob in table.column("blob").to_pylist():
+    sent = table.filter(pa.compute.is_valid(table.column("blob")))
+    settled = table.filter(pa.compute.is_null(table.column("blob"))).select(["doc_id", "crc", "s", "e"])
+    for blob in sent.column("blob").to_pylist():
         for held, pieces in zip(shards, _unpack(blob)):
             if len(pieces.sizes):
                 held.append(pieces)
-    rows = [x for held in shards if held for x in resolve(Pieces.join(held))]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _SPAN.types)], schema=_SPAN)
+    rows: list[tuple[int, int, int, int]] = []
+    for held in shards:
+        if held:
+            pieces, gone = distinct(Pieces.join(held))
+            rows += gone
+            rows += resolve(pieces)
+    met = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _SPAN.types)], schema=_SPAN)
+    return pa.concat_tables([met, settled.cast(_SPAN)])
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, crc, s, e): stretches of bytes that go, which may overlap; crc is the CRC-32 of the text's bytes and tells texts of one doc_id apart."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     routes = max(1, round(total * GROWTH / ROUTE))
-    sent = staged(docs.mapInArrow(_spread(routes), _SENT_SQL))
-    met = sent.filter(F.col("route").isNotNull()).select("route", "blob").groupBy("route").applyInArrow(_gather, _SPAN_SQL)
-    return sent.filter(F.col("route").isNull()).select("doc_id", "crc", "s", "e").unionByName(met)
+    return docs.mapInArrow(_spread(routes), _SENT_SQL).groupBy("route").applyInArrow(_gather, _SPAN_SQL)
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -454,8 +492,7 @@ def removed(docs: DataFrame) -> DataFrame:
     A null text is empty. Rows of one doc_id never remove from each other; each is judged by its own text, and repeated rows alike. A row without doc_id has no place in the order: it keeps everything and removes nothing. Texts of any length are taken whole. Columns other than doc_id and text are ignored. An empty table gives no rows. Ids of touched documents are broadcast only up to MOST_BROADCAST; beyond, the tables are joined by a shuffle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = staged(spans(docs))
-    marks = staged(found.groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    marks = staged(spans(docs).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     ids = marks.select("doc_id").distinct()
     if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)
