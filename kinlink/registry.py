@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import blocking_queries, pair_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").limit(0)
+    return blocking_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    assert blocking_queries and pair_queries  # importing them registers their queries
+    return dict(text_queries.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(text_queries.O)
