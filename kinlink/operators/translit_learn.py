@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import rules, text
 from ..functions.similarity import ratio_of
@@ -14,17 +15,17 @@ LEAST, SHARE = 3, 0.6
 SIMILAR, SAME = 50.0, 80.0
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _key(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None else token_key(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _component(x: pd.Series) -> pd.Series:
     return x.map(lambda v: v if v is None else component_key(v))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _closest(token: pd.Series, others: pd.Series) -> pd.Series:
     """The first of others most like the token's romanisation, if it is like it at all."""
 
@@ -63,7 +64,7 @@ def learn_tokens(pairs: DataFrame) -> DataFrame:
     return kept(aligned(pairs).select("key", F.col("latin").alias("value")))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _like_any(component: pd.Series, others: pd.Series) -> pd.Series:
     return pd.Series([any(ratio_of(romanize(token_key(c)), o) >= SAME for o in options) for c, options in zip(component, others)])
 
