@@ -122,6 +122,7 @@ def fit(sizes: list[int], counts: list[int], target: float) -> tuple[int, list[i
 
 
 def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("size")  # rows come in any order, and the choice must not depend on it
     rounds, extra = fit([int(x) for x in pdf["size"]], [int(x) for x in pdf["n"]], float(pdf["target"].iloc[0]))
     return pd.DataFrame({"skey": pdf["skey"], "size": pdf["size"], "n": pdf["n"], "source_size": pdf["source_size"], "target": pdf["target"], "rounds": rounds, "extra": extra})
 
