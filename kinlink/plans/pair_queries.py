@@ -576,7 +576,7 @@ def sample_listing(spark, sf) -> DataFrame:
 @query(
     "vl01_validated_lists",
     with_views(
-        "r AS (SELECT l.idx, l.s1_id, string_agg(p.rec_id, CASE WHEN l.idx % 7 = 0 THEN ', ' ELSE ',' END ORDER BY p.rec_id) AS ids FROM lists l LEFT JOIN pred_ids p ON p.s1_id = l.s1_id WHERE l.idx % 11 <> 0 GROUP BY l.idx, l.s1_id), u AS (SELECT s1_id, unnest(string_split(ids, ',')) AS id FROM r WHERE ids IS NOT NULL) SELECT 'wrong prefix' AS rule, (SELECT count(*) FROM u WHERE NOT regexp_matches(id, '^S[123]-')) AS n UNION ALL SELECT 'missing row', (SELECT count(*) FROM lists WHERE idx % 11 = 0) UNION ALL SELECT 'unknown id', (SELECT count(*) FROM u WHERE id NOT IN (SELECT rec_id FROM true_ids)) UNION ALL SELECT x, 0 FROM (VALUES ('header without one tab'), ('wrong header'), ('row without one tab'), ('repeated row'), ('repeated id'), ('first-source id'), ('extra row')) t(x)",
+        "r AS (SELECT l.idx, l.s1_id, CASE WHEN l.idx % 7 = 0 THEN string_agg(p.rec_id, ', ' ORDER BY p.rec_id) ELSE string_agg(p.rec_id, ',' ORDER BY p.rec_id) END AS ids FROM lists l LEFT JOIN pred_ids p ON p.s1_id = l.s1_id WHERE l.idx % 11 <> 0 GROUP BY l.idx, l.s1_id), u AS (SELECT s1_id, unnest(string_split(ids, ',')) AS id FROM r WHERE ids IS NOT NULL) SELECT 'wrong prefix' AS rule, (SELECT count(*) FROM u WHERE NOT regexp_matches(id, '^S[123]-')) AS n UNION ALL SELECT 'missing row', (SELECT count(*) FROM lists WHERE idx % 11 = 0) UNION ALL SELECT 'unknown id', (SELECT count(*) FROM u WHERE id NOT IN (SELECT rec_id FROM true_ids)) UNION ALL SELECT x, 0 FROM (VALUES ('header without one tab'), ('wrong header'), ('row without one tab'), ('repeated row'), ('repeated id'), ('first-source id'), ('extra row')) t(x)",
         *LISTED,
     ),
 )
