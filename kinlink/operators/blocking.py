@@ -44,57 +44,99 @@ def ranked(toks: DataFrame, freq: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(by.orderBy("df", "tok"))).withColumn("cnt", F.count(F.lit(1)).over(by))
 
 
-def top(rows: DataFrame, k: int) -> DataFrame:
-    """(country, src, idx, toks, cnt): the k rarest tokens of each record, in order."""
-    return rows.filter(F.col("rn") <= k).groupBy(*RECORD).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "tok"))), lambda x: x["tok"]).alias("toks"), F.max("cnt").alias("cnt"))
-
-
-def pair_keys(rows: DataFrame, k: int, family: str) -> DataFrame:
-    """(country, src, idx, h): all unordered pairs of the k rarest tokens; a record with a single eligible token gives that token. Pairs are made inside the row."""
-    t = top(rows, k)
-    ordered = F.array_sort("toks")
-    pairs = F.flatten(F.transform(ordered, lambda a, i: F.transform(F.slice(ordered, i + 2, F.lit(k)), lambda b: F.concat_ws("|", F.lit(family), a, b))))
-    keys = F.when(F.col("cnt") == 1, F.transform("toks", lambda a: F.concat_ws("|", F.lit(family), a))).otherwise(pairs)
-    return t.select(*RECORD, F.explode(keys).alias("h"))
-
-
-def _families(rec: DataFrame, core: str, phon: str, concat: Column, freq: DataFrame | None = None, phon_freq: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The name families of one name column; an alternative name is ranked by the frequencies of the main one."""
-    toks = name_tokens(rec, core, phon)
-    phons = toks.select(*RECORD, F.col("ph").alias("tok")).distinct()
-    freq = frequency(toks) if freq is None else freq
-    phon_freq = frequency(phons) if phon_freq is None else phon_freq
-    by_name, by_phon = ranked(toks.select(*RECORD, "tok").distinct(), freq), ranked(phons, phon_freq)
-    return {
-        "name_pair": pair_keys(by_name, 3, "N"),
-        "name_single": by_name.filter((F.col("rn") <= 2) & (F.col("s1df") <= SINGLE_DF)).select(*RECORD, F.concat_ws("|", F.lit("S"), "tok").alias("h")),
-        "name_phon": pair_keys(by_phon, 2, "P"),
-        "concat_prefix": rec.filter(F.length(concat) >= PREFIX_LEAST).select(*RECORD, F.concat_ws("|", F.lit("C"), F.substring(concat, 1, PREFIX)).alias("h")),
-        "_ranked": by_name,
-        "_freq": freq,
-        "_phon_freq": phon_freq,
+#: Fields that tokens come from, and the field by whose frequencies each is ranked: an alternative name by the main one's.
+FIELDS = {"name": "name", "phon": "phon", "addr": "addr", "alt": "name", "alt_phon": "phon"}
+
+
+def _field_tokens(rec: DataFrame) -> DataFrame:
+    """(country, src, idx, field, space, tok): the distinct tokens of every field, in one pass over the records."""
+    alt = text.tokens(F.col("name_alt"))
+    arrays = {
+        "name": text.tokens(F.col("name_core")),
+        "phon": text.tokens(F.col("name_phon")),
+        "addr": F.filter(text.tokens(F.col("addr_core")), lambda t: ~t.rlike("[0-9]")),
+        "alt": alt,
+        "alt_phon": F.transform(alt, text.phon),
     }
+    items = F.concat(*(_labelled(F.array_distinct(a), f) for f, a in arrays.items()))
+    return rec.select(*RECORD, items.alias("all")).select(*RECORD, F.explode_outer("all").alias("x")).select(*RECORD, "x.*").filter("tok is not null")
+
+
+def _labelled(tokens: Column, field: str) -> Column:
+    return F.transform(tokens, lambda t: F.struct(F.lit(field).alias("field"), F.lit(FIELDS[field]).alias("space"), t.alias("tok")))
+
+
+def ranked_fields(rec: DataFrame) -> DataFrame:
+    """(country, src, idx, and per field an array<struct<df, tok, s1df>>, rarest first): the tokens that the first source knows. One aggregation, one join, and one grouping by record for all fields together."""
+    toks = _field_tokens(rec)
+    freq = toks.filter(F.col("field") == F.col("space")).groupBy("country", "space", "tok").agg(F.count(F.lit(1)).alias("df"), F.count_if(F.col("src") == 1).alias("s1df"))
+    rows = toks.join(freq, ["country", "space", "tok"]).filter((F.col("src") == 1) | (F.col("s1df") > 0))
+    lists = rows.groupBy(*RECORD).agg(F.collect_list(F.struct("field", "df", "tok", "s1df")).alias("all"))
+    return lists.select(*RECORD, *(_of_field(f).alias(f"t_{f}") for f in FIELDS))
+
+
+def _of_field(field: str) -> Column:
+    own = F.filter("all", lambda x: x["field"] == field)
+    return F.array_sort(F.transform(own, lambda x: F.struct(x["df"].alias("df"), x["tok"].alias("tok"), x["s1df"].alias("s1df"))))
+
+
+def _best(ranked_tokens: Column, k: int) -> Column:
+    """The k rarest tokens in alphabetical order."""
+    return F.array_sort(F.transform(F.slice(ranked_tokens, 1, k), lambda x: x["tok"]))
+
+
+def _pairs(best: Column, family: str) -> Column:
+    """All unordered pairs of tokens; of a single token, that token."""
+    pairs = F.flatten(F.transform(best, lambda a, i: F.transform(F.slice(best, i + 2, F.lit(len(KEY_TYPES))), lambda b: F.concat_ws("|", F.lit(family), a, b))))
+    return F.when(F.size(best) == 1, F.transform(best, lambda a: F.concat_ws("|", F.lit(family), a))).otherwise(pairs)
+
+
+def _singles(ranked_tokens: Column) -> Column:
+    few = F.filter(F.slice(ranked_tokens, 1, 2), lambda x: x["s1df"] <= SINGLE_DF)
+    return F.transform(few, lambda x: F.concat_ws("|", F.lit("S"), x["tok"]))
+
+
+def _prefix(concat: Column) -> Column:
+    return F.when(F.length(concat) >= PREFIX_LEAST, F.array(F.concat_ws("|", F.lit("C"), F.substring(concat, 1, PREFIX)))).otherwise(F.array().cast("array<string>"))
+
+
+def _joined(family: str, *parts: Column) -> Column:
+    """One key of the parts, or none if one is missing."""
+    has = parts[0].isNotNull()
+    for p in parts[1:]:
+        has = has & p.isNotNull()
+    return F.when(has, F.array(F.concat_ws("|", F.lit(family), *parts))).otherwise(F.array().cast("array<string>"))
 
 
 def keys(rec: DataFrame) -> DataFrame:
-    """(country, src, idx, h, kt): all keys of all records, each once."""
-    main = _families(rec, "name_core", "name_phon", F.col("name_concat"))
-    alt = rec.filter(F.col("name_alt") != "").withColumn("alt_phon", F.array_join(F.transform(text.tokens(F.col("name_alt")), text.phon), " "))
-    other = _families(alt, "name_alt", "alt_phon", F.replace(F.col("name_alt"), F.lit(" "), F.lit("")), main["_freq"], main["_phon_freq"])
-    toks = address_tokens(rec)
-    by_addr = ranked(toks, frequency(toks))
-    first = lambda rows: rows.filter("rn = 1").select(*RECORD, "tok")
-    found = {name: main[name] for name in KEY_TYPES[:4]}
-    alts = [other[name] for name in KEY_TYPES[:4]]
-    found["name_alt"] = alts[0].unionByName(alts[1]).unionByName(alts[2]).unionByName(alts[3])
-    found["addr_pair"] = pair_keys(by_addr, 3, "A")
-    found["addr_number"] = first(by_addr).join(rec.filter("house_num is not null").select(*RECORD, "house_num"), RECORD).select(*RECORD, F.concat_ws("|", F.lit("H"), "house_num", "tok").alias("h"))
-    found["cross"] = first(main["_ranked"]).join(first(by_addr).withColumnRenamed("tok", "atok"), RECORD).select(*RECORD, F.concat_ws("|", F.lit("X"), "tok", "atok").alias("h"))
-    out = None
-    for kt, name in enumerate(KEY_TYPES):
-        rows = found[name].withColumn("kt", F.lit(kt).cast("tinyint"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.dropDuplicates()
+    """(country, src, idx, h, kt): all keys of all records, each once; made inside the row from its ranked tokens.
+
+    Arrays that are read more than once are columns of their own, and the explode is an outer one: else their expressions would be copied to every place that reads them.
+    """
+    rows = rec.select(*RECORD, "name_alt", "name_concat", "house_num").join(ranked_fields(rec), RECORD, "left")
+    empty = F.array().cast("array<struct<df:bigint,tok:string,s1df:bigint>>")
+    t = {f: F.coalesce(F.col(f"t_{f}"), empty) for f in FIELDS}
+    most = {"name": 3, "phon": 2, "addr": 3, "alt": 3, "alt_phon": 2}
+    rows = rows.withColumns({f"b_{f}": _best(t[f], most[f]) for f in FIELDS} | {f"f_{f}": F.get(t[f], F.lit(0))["tok"] for f in ("name", "addr")})
+    alt_concat = F.replace(F.col("name_alt"), F.lit(" "), F.lit(""))
+    made = {
+        "name_pair": _pairs(F.col("b_name"), "N"),
+        "name_single": _singles(t["name"]),
+        "name_phon": _pairs(F.col("b_phon"), "P"),
+        "concat_prefix": _prefix(F.col("name_concat")),
+        "name_alt": F.concat(_pairs(F.col("b_alt"), "N"), _singles(t["alt"]), _pairs(F.col("b_alt_phon"), "P"), _prefix(alt_concat)),
+        "addr_pair": _pairs(F.col("b_addr"), "A"),
+        "addr_number": _joined("H", F.col("house_num"), F.col("f_addr")),
+        "cross": _joined("X", F.col("f_name"), F.col("f_addr")),
+    }
+    # a key's type is its place in KEY_TYPES
+    typed = F.concat(*(_typed(made[n], kt) for kt, n in enumerate(KEY_TYPES)))
+    out = rows.select(*RECORD, typed.alias("all")).select(*RECORD, F.explode_outer("all").alias("x"))
+    return out.select(*RECORD, "x.h", "x.kt").filter("h is not null")
+
+
+def _typed(found: Column, kt: int) -> Column:
+    return F.transform(F.array_distinct(found), lambda h: F.struct(h.alias("h"), F.lit(kt).cast("tinyint").alias("kt")))
 
 
 def blocks(all_keys: DataFrame) -> DataFrame:
