@@ -138,15 +138,18 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     planned = lengths.join(goals.select("skey", "source_size", "target"), "skey")
     plan = staged(planned.groupBy("skey").applyInPandas(_plan, "skey string, size long, n long, source_size long, target double, rounds long, extra long"))
 
-    drawn = rows.join(plan, ["skey", "size"]).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumn("bin", F.shiftrightunsigned("h", 64 - _BINS))
+    # groups are named anew for each step, as g and then r: a step that shared the join's keys would keep a hot group of it in one task
+    group = F.concat_ws("|", F.col("size").cast("string"), "skey")
+    drawn = rows.join(plan, ["skey", "size"]).withColumn("h", F.xxhash64("doc_id", F.lit(seed))).withColumns({"bin": F.shiftrightunsigned("h", 64 - _BINS), "g": group})
     some = drawn.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n")))
-    bins = some.groupBy("skey", "size", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("extra").alias("extra"))
-    until = F.sum("c").over(Window.partitionBy("skey", "size").orderBy("bin"))
+    bins = some.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("extra").alias("extra"))
+    until = F.sum("c").over(Window.partitionBy("g").orderBy("bin"))
     edge = bins.withColumn("until", until).filter((F.col("until") >= F.col("extra")) & (F.col("until") - F.col("c") < F.col("extra")))
-    edge = edge.select("skey", "size", F.col("bin").alias("edge"), (F.col("extra") - F.col("until") + F.col("c")).alias("need"))
-    drawn = drawn.join(edge, ["skey", "size"], "left")
+    edge = edge.select("g", F.col("bin").alias("edge"), (F.col("extra") - F.col("until") + F.col("c")).alias("need"))
+    drawn = drawn.join(edge, "g", "left")
     on_edge = F.coalesce(F.col("bin") == F.col("edge"), F.lit(False))
-    ranked = drawn.filter(on_edge).withColumn("rank", F.row_number().over(Window.partitionBy("skey", "size").orderBy("h", "doc_id")))
+    ranked = drawn.filter(on_edge).withColumn("r", F.concat("g", F.lit("|")))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("r").orderBy("h", "doc_id")))
     more = (F.col("extra") >= F.col("n")) | F.coalesce(F.col("bin") < F.col("edge"), F.lit(False))
     out = ["doc_id", "source", "size", "source_size", "target"]
     return (
