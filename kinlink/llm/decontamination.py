@@ -137,4 +137,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_benchmark_decontamination": op6}
-ORACLES: dict[str, str] = {}
+#: The same windows verified without fingerprints: at this radius none that reaches the similarity is lost.
+ORACLE = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+b AS (SELECT DISTINCT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark) x WHERE len(w) > 0),
+ds AS (SELECT doc_id, len(w) AS dn, k, p, array_to_string(w[p + 1:p + k], ' ') AS sh FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM b) ks) x),
+bs AS (SELECT item_id, n, k, o, array_to_string(w[o + 1:o + k], ' ') AS sh FROM (SELECT item_id, w, n, k, unnest(range(0, n - k + 1)) AS o FROM b) x),
+win AS (SELECT DISTINCT doc_id, item_id, n, bs.k, greatest(0, least(p - o, dn - n)) AS pl FROM ds JOIN bs ON bs.k = ds.k AND bs.sh = ds.sh WHERE dn >= n),
+ca AS (SELECT win.doc_id, win.item_id, win.n, win.k, win.pl, ds.sh, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.k = win.k AND ds.p BETWEEN win.pl AND win.pl + win.n - win.k GROUP BY ALL),
+cb AS (SELECT item_id, sh, count(*) AS c FROM bs GROUP BY item_id, sh),
+m AS (SELECT doc_id, ca.item_id, ca.n, ca.k, ca.pl, sum(least(ca.c, cb.c)) AS m FROM ca JOIN cb ON cb.item_id = ca.item_id AND cb.sh = ca.sh GROUP BY ALL),
+s AS (SELECT doc_id, item_id, pl, m / CAST(2 * (n - k + 1) - m AS DOUBLE) AS similarity FROM m WHERE m / CAST(2 * (n - k + 1) - m AS DOUBLE) >= 0.8)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(pl, (similarity, -pl)) AS INT) AS "at", count(DISTINCT pl) AS n_windows FROM s GROUP BY doc_id, item_id"""
+ORACLES = {"op6_benchmark_decontamination": ORACLE}

@@ -512,4 +512,17 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_substring_dedup": op4}
-ORACLES: dict[str, str] = {}
+#: All windows by their bytes, runs of removed ones, and what stands between them.
+ORACLE = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), e AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, i, array_slice(b, i, i + 49) AS s FROM e, LATERAL (SELECT unnest(range(1, n - 48)) AS i) t),
+f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.i FROM w JOIN f ON f.s = w.s WHERE f.m < w.doc_id),
+r AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM g),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 49 AS z FROM k GROUP BY doc_id, run),
+cut AS (SELECT doc_id, a AS stop, z + 1 AS next FROM sp UNION ALL SELECT doc_id, n + 1, NULL FROM e),
+part AS (SELECT doc_id, stop, coalesce(lag(next) OVER (PARTITION BY doc_id ORDER BY stop), 1) AS start FROM cut),
+kept AS (SELECT e.doc_id, string_agg(CASE WHEN stop > start THEN hex(array_slice(b, start, stop - 1)) ELSE '' END, '' ORDER BY stop) AS h FROM part JOIN e ON e.doc_id = part.doc_id GROUP BY e.doc_id),
+cnt AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT e.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256 FROM e JOIN kept ON kept.doc_id = e.doc_id LEFT JOIN cnt ON cnt.doc_id = e.doc_id"""
+ORACLES = {"op4_substring_dedup": ORACLE}
