@@ -213,3 +213,21 @@ def test_like(pairs: DataFrame, share: float = 0.19, seed: int = 42) -> DataFram
 
 def share_bucket(x: Column, width: float = 0.1) -> Column:
     return F.least(F.floor(x / width), F.lit(int(1 / width) - 1)).cast("int")
+
+
+def refilled_states(pairs: DataFrame, found: DataFrame, country: str) -> DataFrame:
+    """pairs (.., s_state, r_state, state_match) with the states of one country's records filled from regions that were found (country, src, idx, region_found) and its state_match anew; other countries stay as they are."""
+    from .features import state_match
+
+    s = found.filter("src = 1").select("country", F.col("idx").alias("s1"), F.col("region_found").alias("_s"))
+    r = found.filter("src > 1").select("country", "src", "idx", F.col("region_found").alias("_r"))
+    rows = pairs.join(s, ["country", "s1"], "left").join(r, ["country", "src", "idx"], "left")
+    here = F.col("country") == country
+    fill = lambda own, new: F.when(here & (F.col(own) == ""), F.coalesce(new, F.lit(""))).otherwise(F.col(own))
+    rows = rows.withColumns({"s_state": fill("s_state", F.col("_s")), "r_state": fill("r_state", F.col("_r"))}).drop("_s", "_r")
+    return rows.withColumn("state_match", F.when(here, state_match(F.col("s_state"), F.col("r_state"))).otherwise(F.col("state_match")))
+
+
+def before_after(pairs: DataFrame, raw: tuple[str, str], clean: tuple[str, str]) -> DataFrame:
+    """(country, n, equal_before, equal_after): true pairs whose texts are equal as they came and as they were normalised."""
+    return pairs.groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(raw[0]) == F.col(raw[1])).alias("equal_before"), F.count_if(F.col(clean[0]) == F.col(clean[1])).alias("equal_after"))

@@ -182,3 +182,12 @@ def adversarial(a: DataFrame, b: DataFrame, columns: list[str], rounds: int = 10
     score = area(predict(model, rows.filter("_held")))
     means = {r["label"]: r for r in rows.groupBy("label").agg(*(F.avg(F.col(c).cast("double")).alias(c) for c in columns)).collect()}
     return score, [(c, g, means[0][c], means[1][c]) for c, g in importances(model, columns)[:top]]
+
+
+def recovery(truth: DataFrame, old: DataFrame, new: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
+    """(country, flag, n_true, in_old, in_new, recovered, lost): true pairs by what two candidate sets have of them, apart for records with the flag (country, src, idx, flag)."""
+    rows = truth.join(flags.select("country", "src", "idx", flag), ["country", "src", "idx"])
+    for name, pairs in (("_old", old), ("_new", new)):
+        rows = rows.join(pairs.select(*PAIR).distinct().withColumn(name, F.lit(1)), PAIR, "left")
+    has_old, has_new = F.col("_old").isNotNull(), F.col("_new").isNotNull()
+    return rows.groupBy("country", flag).agg(F.count(F.lit(1)).alias("n_true"), F.count_if(has_old).alias("in_old"), F.count_if(has_new).alias("in_new"), F.count_if(has_new & ~has_old).alias("recovered"), F.count_if(has_old & ~has_new).alias("lost"))

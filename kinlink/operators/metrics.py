@@ -73,3 +73,15 @@ def set_sizes(decided: DataFrame, ones: DataFrame) -> DataFrame:
 def match_counts(lists: Column) -> Column:
     """The number of ids in a comma list; 0 in an empty one."""
     return F.when(lists == "", 0).otherwise(F.size(F.split(lists, ",")))
+
+
+def choose_variant(scores: list[tuple[str, float, int]], tolerance: float = 0.0005, banned: tuple[str, ...] = ()) -> str:
+    """The variant (name, score, complexity) to take: of those within the tolerance of the best that may be taken the simplest, then the best, then the first by name."""
+    allowed = [v for v in scores if not v[0].startswith(banned)] if banned else list(scores)
+    best = max(s for _, s, _ in allowed)
+    return min((v for v in allowed if v[1] >= best - tolerance), key=lambda v: (v[2], -v[1], v[0]))[0]
+
+
+def probe(decided: DataFrame, countries: list[str]) -> DataFrame:
+    """decided with the matches of some countries taken back, to see what they are worth."""
+    return decided.withColumn("accepted", F.col("accepted") & ~F.col("country").isin(countries))

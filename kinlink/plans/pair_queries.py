@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
 from ..operators import audit, blocking, consistency, decide, features, learning, metrics
-from .blocking_queries import F05, RANKS, records
+from .blocking_queries import F05, records
 from .text_queries import query
 from .views import view, with_views
 
@@ -706,3 +705,68 @@ def pseudo_labels(spark, sf) -> DataFrame:
 def test_like(spark, sf) -> DataFrame:
     """TL1: a fifth of the first-source records gone, records ranked anew."""
     return audit.test_like(_pairs(spark, sf)).select(*PAIR, "rank_r")
+
+
+@query(
+    "pr08_recovery",
+    with_views(
+        "o AS (SELECT country, s1, src, idx FROM pairs WHERE p >= 0.5), n AS (SELECT country, s1, src, idx FROM pairs WHERE score >= 100), t AS (SELECT p.country, p.s1, p.src, p.idx, addr = '' AS addr_empty FROM pairs p WHERE label = 1) SELECT t.country, addr_empty, count(*) AS n_true, count(o.s1) AS in_old, count(n.s1) AS in_new, count(*) FILTER (n.s1 IS NOT NULL AND o.s1 IS NULL) AS recovered, count(*) FILTER (o.s1 IS NOT NULL AND n.s1 IS NULL) AS lost FROM t LEFT JOIN o ON o.country = t.country AND o.s1 = t.s1 AND o.src = t.src AND o.idx = t.idx LEFT JOIN n ON n.country = t.country AND n.s1 = t.s1 AND n.src = t.src AND n.idx = t.idx GROUP BY t.country, addr_empty",
+        "pairs",
+    ),
+)
+def recovery(spark, sf) -> DataFrame:
+    """PR8, between candidates by p and by score."""
+    rows = _pairs(spark, sf)
+    flags = rows.select("country", "src", "idx", (F.col("addr") == "").alias("addr_empty")).distinct()
+    return learning.recovery(rows.filter("label = 1").select(*PAIR), rows.filter("p >= 0.5"), rows.filter("score >= 100"), flags, "addr_empty")
+
+
+@query("tl02_probe", with_views(f"{DECIDED} SELECT country, count(*) FILTER (accepted AND country <> 'O') AS n_accepted FROM d GROUP BY country", "pairs"))
+def probe(spark, sf) -> DataFrame:
+    """TL2: a country's matches taken back."""
+    return metrics.probe(_decided(spark, sf), ["O"]).groupBy("country").agg(F.count_if("accepted").alias("n_accepted"))
+
+
+@query(
+    "rg03_refilled_states",
+    with_views(
+        f"near AS ({NEAR}) SELECT near.country, near.s1, near.src, near.idx, CASE WHEN ss = '' OR rs = '' THEN -1 WHEN ss = rs THEN 1 ELSE 0 END AS state_match FROM (SELECT near.*, CASE WHEN near.country = 'US' AND a.state = '' THEN 'ny' ELSE a.state END AS ss, CASE WHEN near.country = 'US' AND b.state = '' THEN 'ny' ELSE b.state END AS rs FROM near JOIN rec a ON a.src = 1 AND a.country = near.country AND a.idx = near.s1 JOIN rec b ON b.country = near.country AND b.src = near.src AND b.idx = near.idx) near",
+        "rec",
+    ),
+)
+def refilled_states(spark, sf) -> DataFrame:
+    """RG3: one country's empty states filled, everything else as it was."""
+    rec = view(spark, sf, "rec")
+    s = rec.filter("src = 1").select("country", F.col("idx").alias("s1"), F.col("state").alias("s_state"))
+    r = rec.filter("src > 1").select("country", "src", "idx", F.col("state").alias("r_state"))
+    rows = _near(spark, sf).join(s, ["country", "s1"]).join(r, ["country", "src", "idx"])
+    rows = rows.withColumn("state_match", features.state_match(F.col("s_state"), F.col("r_state")))
+    found = rec.select("country", "src", "idx", F.lit("ny").alias("region_found"))
+    return audit.refilled_states(rows, found, "US").select(*PAIR, "state_match")
+
+
+@query("ed13_before_after", with_views("SELECT t.country, count(*) AS n, count(*) FILTER (s.name_raw = r.name_raw) AS equal_before, count(*) FILTER (x.p_name = y.p_name) AS equal_after FROM truth t JOIN raw s ON s.src = 1 AND s.idx = t.s1 JOIN raw r ON r.src = t.src AND r.idx = t.idx JOIN rec x ON x.src = 1 AND x.idx = t.s1 JOIN rec y ON y.src = t.src AND y.idx = t.idx GROUP BY t.country", "raw", "rec", "truth"))
+def before_after(spark, sf) -> DataFrame:
+    """ED13."""
+    raw, rec = view(spark, sf, "raw"), view(spark, sf, "rec")
+    names = raw.select("src", "idx", "name_raw").join(rec.select("src", "idx", "p_name"), ["src", "idx"])
+    s = names.filter("src = 1").select(F.col("idx").alias("s1"), F.col("name_raw").alias("a"), F.col("p_name").alias("c"))
+    r = names.filter("src > 1").select("src", "idx", F.col("name_raw").alias("b"), F.col("p_name").alias("d"))
+    return audit.before_after(view(spark, sf, "truth").join(s, "s1").join(r, ["src", "idx"]), ("a", "b"), ("c", "d"))
+
+
+NATIVE = "translate({x}, 'abcdefghijklmnoprstuvwy', 'अबचदएफगहइजकलमनओपरसतउववय')"
+
+
+@query(
+    "tr08_learned_tokens",
+    with_views(
+        f"v AS (SELECT unnest(string_split({NATIVE.format(x='p_name')}, ' ')) AS key, unnest(string_split(p_name, ' ')) AS value FROM rec), c AS (SELECT key, value, count(*) AS n FROM v GROUP BY key, value), r AS (SELECT *, sum(n) OVER (PARTITION BY key) AS total, row_number() OVER (PARTITION BY key ORDER BY n DESC, value) AS rn FROM c) SELECT key, value, n FROM r WHERE rn = 1 AND n >= 3 AND n / CAST(total AS DOUBLE) >= 0.6",
+        "rec",
+    ),
+)
+def learned_tokens(spark, sf) -> DataFrame:
+    """TR6 to TR8 on names in native letters beside their Latin forms."""
+    from ..operators import translit_learn
+
+    return translit_learn.learn_tokens(view(spark, sf, "rec").select(F.expr(NATIVE.format(x="p_name")).alias("noisy"), F.col("p_name").alias("s1")))
