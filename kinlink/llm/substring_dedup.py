@@ -13,7 +13,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -435,8 +435,8 @@ def distinct(pieces: Pieces) -> tuple[Pieces, list[tuple[int, int, int, int]]]:
 
 def _gather(table: pa.Table) -> pa.Table:
     shards: list[list[Pieces]] = [[] for _ in range(SUBS)]
-    sent = table.filter(pa.compute.is_valid(table.column("blob")))
-    settled = table.filter(pa.compute.is_null(table.column("blob"))).select(["doc_id", "crc", "s", "e"])
+    sent = table.filter(pc.is_valid(table.column("blob")))
+    settled = table.filter(pc.is_null(table.column("blob"))).select(["doc_id", "crc", "s", "e"])
     for blob in sent.column("blob").to_pylist():
         for held, pieces in zip(shards, _unpack(blob)):
             if len(pieces.sizes):
