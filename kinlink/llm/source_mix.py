@@ -145,7 +145,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     bins = some.groupBy("g", "bin").agg(F.count(F.lit(1)).alias("c"), F.first("extra").alias("extra"))
     until = F.sum("c").over(Window.partitionBy("g").orderBy("bin"))
     edge = bins.withColumn("until", until).filter((F.col("until") >= F.col("extra")) & (F.col("until") - F.col("c") < F.col("extra")))
-    edge = edge.select("g", F.col("bin").alias("edge"), (F.col("extra") - F.col("until") + F.col("c")).alias("need"))
+    # written, as it is one row a group at most: joined right behind its window, it would keep the other side from being split
+    edge = staged(edge.select("g", F.col("bin").alias("edge"), (F.col("extra") - F.col("until") + F.col("c")).alias("need")))
     drawn = drawn.join(edge, "g", "left")
     on_edge = F.coalesce(F.col("bin") == F.col("edge"), F.lit(False))
     ranked = drawn.filter(on_edge).withColumn("r", F.concat("g", F.lit("|")))
