@@ -1,6 +1,6 @@
 """Benchmark decontamination with SimHash over item-sized windows.
 
-Windows as long as a benchmark item, at every place where a document shares one of the item's shingles, get a SimHash of their word shingles. A multi-index over byte blocks finds all item fingerprints within RADIUS bits: at that radius one of eight blocks differs in at most RADIUS // 8 bits, and the index holds every such variant of every item block. Candidates are verified by the exact weighted similarity of their shingles, sum of minimum counts over sum of maximum counts. A window without a shared shingle has similarity zero, so none is lost by starting from shared shingles.
+Windows as long as a benchmark item (a shorter document is one window), at every start around the shingles that a document shares with the item, get a SimHash of their word shingles. A multi-index over byte blocks, probed by item, finds the item's fingerprint within RADIUS bits: at that radius one of eight blocks differs in at most RADIUS // 8 bits, and the index holds every such variant of every item block. Candidates are verified by the exact weighted similarity of their shingles, sum of minimum counts over sum of maximum counts. Starts with too few shared shingles in reach for that similarity are not fingerprinted; that bound is exact.
 """
 
 from __future__ import annotations
@@ -69,26 +69,48 @@ def index(found: DataFrame) -> DataFrame:
     return rows.select("item", "item_id", "n", "fp", (F.col("x.b") * (1 << BITS) + F.col("x.v").bitwiseXOR(F.col("flip"))).alias("key"))
 
 
-def windows(docs: DataFrame, widths: list[int], lookup: DataFrame) -> DataFrame:
-    """(doc_id, at, n, width, window): the item-sized windows of docs aligned with a shared shingle; window holds its words.
+def _keyed(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, tkey, size, hashes): the shingles of each text, tkey a hash of it."""
+    # one projection makes the arrays, the next only reads them
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tkey"), _words(F.col("text")).alias("words"))
+    return rows.select("doc_id", "tkey", F.size("words").alias("size"), _shingles(F.col("words"), width).alias("hashes"))
 
-    lookup (hash, width, n, place): where items have which shingle. A document with fewer words than the item has no window.
+
+def candidates(docs: DataFrame, widths: list[int], lookup: DataFrame) -> DataFrame:
+    """(doc_id, tkey, item, width, length, starts, aligned): for each text and item that share shingles, all starts at which a window may reach SIMILAR.
+
+    A window has as many words as the item, or all of a shorter text (length). Of its shingles and the item's at least 4/9 of both counts together must be shared for SIMILAR, and no more are shared than the window has places whose shingle the item holds; starts are all those with as many such places, so none is lost. aligned are the starts at which a shared shingle has the same offset in both. lookup (hash, item, width, n, place): where items have which shingle.
     """
     out = None
     for width in widths:
-        # one projection makes the arrays, the next only reads them: the words ride along by reference until the join has dropped what matches nothing
-        rows = docs.select("doc_id", _words(F.col("text")).alias("words")).select("doc_id", "words", _shingles(F.col("words"), width).alias("hashes"))
-        places = rows.select("doc_id", "words", F.posexplode_outer("hashes").alias("pos", "hash"))  # outer, else a filter on the size is pushed down that makes the words anew for each shingle
-        hits = places.join(lookup.filter(F.col("width") == width).drop("width"), "hash")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), F.size("words") - F.col("n")))
-        hits = hits.filter(F.size("words") >= F.col("n")).select("doc_id", start.alias("at"), "n", F.lit(width).alias("width"), "words")
-        hits = hits.select("doc_id", "at", "n", "width", F.array_join(F.slice("words", F.col("at") + 1, F.col("n")), " ").alias("window"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.dropDuplicates()
+        places = _keyed(docs, width).select("doc_id", "tkey", "size", F.posexplode_outer("hashes").alias("pos", "hash"))  # outer, else a filter on the size is pushed down that makes the words anew for each shingle
+        hits = places.join(lookup.filter(F.col("width") == width), "hash")
+        last = F.greatest(F.lit(0), F.col("size") - F.col("n"))
+        hits = hits.withColumn("start", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("place"), last)))
+        found = hits.groupBy("doc_id", "tkey", "size", "item", "n", "width").agg(F.collect_set("pos").alias("hits"), F.collect_set("start").alias("aligned"))
+        out = found if out is None else out.unionByName(found)
+    length = F.least("n", "size")
+    out = out.withColumn("length", length).withColumn("held", F.col("length") - F.col("width") + 1)
+    out = out.withColumn("least", F.ceil(F.lit(4) * (F.col("held") + F.col("n") - F.col("width") + 1) / 9).cast("int")).filter(F.size("hits") >= F.col("least"))
+    out = out.withColumn("hits", F.array_sort("hits")).withColumn("last", F.greatest(F.lit(0), F.col("size") - F.col("n")))
+    at = lambda i: F.element_at("hits", i)
+
+    def stretch(i: Column) -> Column:
+        """The starts of windows that hold hits i to i + least - 1, but for those that hold hits i - 1 and on."""
+        low = F.greatest(F.lit(0), at(i + F.col("least") - 1) - F.col("held") + 1, F.when(i > 1, F.least(at(F.greatest(i - 1, F.lit(1))), F.col("last")) + 1).otherwise(F.lit(0)))
+        high = F.least(at(i), F.col("last"))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.flatten(F.transform(F.sequence(F.lit(1), F.size("hits") - F.col("least") + 1), stretch))
+    return out.withColumn("starts", starts).filter(F.size("starts") > 0).select("doc_id", "tkey", "item", "width", "length", "starts", "aligned")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= MOST_BROADCAST else df
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, similarity, at, n_windows): one row for each document and benchmark item that has a window of it at SIMILAR or more; the best similarity, the first word of the first such best window, and how many windows reach SIMILAR.
+    """(doc_id, item_id, similarity, at, n_windows): one row for each document and benchmark item that has a window of it at SIMILAR or more, at whatever start; a document shorter than the item is one window. The best similarity; the first word of such a best window, of the first that is aligned with a shared shingle or else of the first; and how many aligned windows reach SIMILAR (none may, where the item is reordered).
 
     Words are runs of letters and digits in lower case. Null and empty texts have no windows; items without words leak nowhere; items shorter than a shingle are one shingle. Repeated rows of one doc_id are one document. Rows without doc_id cannot be named and are left out. Columns other than doc_id, item_id and text are ignored. Empty tables give no rows.
     """
@@ -97,34 +119,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     empty = "doc_id long, item_id long, similarity double, at int, n_windows long"
     if not widths:
         return docs.sparkSession.createDataFrame([], empty)
-    lookup = staged(found.select("width", "n", F.posexplode("shingles").alias("place", "hash")).distinct())
-    if lookup.count() <= MOST_BROADCAST:
-        lookup = F.broadcast(lookup)
+    lookup = staged(found.select("item", "width", "n", F.posexplode("shingles").alias("place", "hash")).distinct())
+    shingles = lookup.count()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).filter("doc_id is not null")
-    seen = staged(windows(docs, widths, lookup))
+    pairs = staged(candidates(docs, widths, _small(lookup, shingles)))
+    named = pairs.select("doc_id", "tkey").distinct()
+    named = _small(named, named.count())
+    by_item = index(found)
+    by_item = _small(by_item, by_item.count())
 
-    # a passage that many documents share is hashed once
-    texts = seen.select("n", "width", "window").distinct().withColumn("words", F.split("window", " "))
-    cases = F.array().cast("array<bigint>")
-    for w in widths:
-        cases = F.when(F.col("width") == w, _shingles(F.col("words"), w)).otherwise(cases)
-    texts = staged(texts.withColumn("shingles", cases))
-    prints = texts.withColumn("fp", simhash(F.col("shingles")))
-    keys = F.array(*(F.lit(b << BITS).cast("long") + _block(F.col("fp"), b) for b in range(BLOCKS)))
-    probes = prints.select("n", "window", F.col("fp").alias("wfp"), F.explode(keys).alias("key"))
-    near = probes.join(index(found), ["n", "key"]).filter(F.bit_count(F.col("wfp").bitwiseXOR(F.col("fp"))) <= RADIUS).select("n", "window", "item").distinct()
-    pairs = near.join(texts.select("n", "window", F.col("shingles").alias("a")), ["n", "window"]).join(found.select("item", "item_id", F.col("shingles").alias("b")), "item")
-
-    # weighted shingles: each union shingle with its counts on both sides
+    seen = None
+    for width in widths:
+        texts = _keyed(docs.withColumn("tkey", F.xxhash64("text")).join(named, ["doc_id", "tkey"], "left_semi"), width).drop("size")
+        rows = texts.join(pairs.filter(F.col("width") == width), ["doc_id", "tkey"])
+        rows = rows.select("doc_id", "item", "width", "length", "hashes", "aligned", F.explode("starts").alias("at"))
+        rows = rows.select("doc_id", "item", "at", F.array_contains("aligned", F.col("at")).alias("aligned"), F.slice("hashes", F.col("at") + 1, F.col("length") - F.col("width") + 1).alias("a"))
+        seen = rows if seen is None else seen.unionByName(rows)
+    keys = F.array(*(F.lit(b << BITS).cast("long") + _block(F.col("wfp"), b) for b in range(BLOCKS)))
+    probes = seen.withColumn("wfp", simhash(F.col("a"))).withColumn("key", F.explode(keys))
+    near = probes.join(by_item.select("item", "item_id", "fp", "key"), ["item", "key"])
+    apart = F.col("wfp").bitwiseXOR(F.col("fp"))
+    # several blocks may meet; the first one of them speaks
+    first = F.coalesce(*(F.when(F.bit_count(_block(apart, b)) <= RADIUS // BLOCKS, F.lit(b)) for b in range(BLOCKS)))
+    near = near.filter((F.bit_count(apart) <= RADIUS) & (F.shiftright("key", BITS) == first))
+    near = near.join(_small(found.select("item", F.col("shingles").alias("b")), shingles), "item")
+
+    # weighted shingles: each shared shingle with its least count; what both sides hold beyond that is not shared
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    both = F.array_union("a", "b")
-    least = F.aggregate(both, F.lit(0), lambda s, x: s + F.least(count(F.col("a"), x), count(F.col("b"), x)))
-    most = F.aggregate(both, F.lit(0), lambda s, x: s + F.greatest(count(F.col("a"), x), count(F.col("b"), x)))
-    pairs = pairs.withColumn("similarity", least / most).filter(F.col("similarity") >= SIMILAR).select("n", "window", "item_id", "similarity")
-
-    hits = seen.select("doc_id", "at", "n", "window").join(pairs, ["n", "window"])
-    best = F.max(F.struct("similarity", (-F.col("at")).alias("neg"))).alias("best")
-    return hits.groupBy("doc_id", "item_id").agg(best, F.count_distinct("at").alias("n_windows")).select("doc_id", "item_id", "best.similarity", (-F.col("best.neg")).alias("at"), "n_windows")
+    near = near.withColumn("shared", F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda s, x: s + F.least(count(F.col("a"), x), count(F.col("b"), x))))
+    hits = near.withColumn("similarity", F.col("shared") / (F.size("a") + F.size("b") - F.col("shared"))).filter(F.col("similarity") >= SIMILAR)
+    hits = hits.select("doc_id", "item_id", "similarity", "at", "aligned")
+    best = F.max(F.struct("similarity", "aligned", (-F.col("at")).alias("neg"))).alias("best")
+    return (
+        hits.groupBy("doc_id", "item_id")
+        .agg(best, F.count_distinct(F.when(F.col("aligned"), F.col("at"))).alias("n_windows"))
+        .select("doc_id", "item_id", "best.similarity", (-F.col("best.neg")).alias("at"), "n_windows")
+    )
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -137,7 +167,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_benchmark_decontamination": op6}
-#: The same windows verified without fingerprints: at this radius none that reaches the similarity is lost.
+#: Windows aligned with a shared shingle, verified without fingerprints. It leaves out documents shorter than the item and windows off these starts, which leaks() finds besides.
 ORACLE = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT DISTINCT item_id, w, len(w) AS n, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM benchmark) x WHERE len(w) > 0),
 ds AS (SELECT doc_id, len(w) AS dn, k, p, array_to_string(w[p + 1:p + k], ' ') AS sh FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM b) ks) x),

@@ -245,6 +245,40 @@ def test_leaks(spark, docs, none):
     assert clean.columns == docs.columns and {d for d, _ in expected} & {r.doc_id for r in clean.collect()} == set()
 
 
+def leaks_at_every_start(rows, items):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    best = {}
+    for d, t in rows:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            k, n = min(5, len(v)), min(len(v), len(w))
+            b = grams(v, k)
+            for s in range(len(w) - n + 1):
+                a = grams(w[s : s + n], k)
+                sim = sum((a & b).values()) / sum((a | b).values())
+                if sim >= 0.8:
+                    best[d, i] = max(best.get((d, i), 0), sim)
+    return best
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_leaks_of_cut_and_reordered_items(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(60)]
+    swapped = words[30:] + words[:30]
+    around = lambda w: f"{prose(rng, 40)} {' '.join(w)} {prose(rng, 40)}"
+    items = [(1, " ".join(words)), (2, "one two three four five six"), (3, "la la la la la la la la la la"), (4, "tiny")]
+    rows = [(1, " ".join(words[:58])), (2, " ".join(words[2:])), (3, around(swapped)), (4, " ".join(swapped)), (5, around(words)), (6, " ".join(words[:40])), (7, around(words[:50])), (8, "la " * 9), (9, "la " * 30), (10, "a tiny thing"), (11, "one two three four five"), (12, around(words[:20] + ["x"] + words[20:40] + ["y", "z"] + words[40:]))]
+    rows += [(20 + i, around(words[: 60 - i] + words[61 - i :])) for i in range(1, 9)]
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {k: r.similarity for k, r in got.items()} == pytest.approx(leaks_at_every_start(rows, items))
+    assert got[1, 1].similarity == 54 / 56 and got[3, 1].similarity == 52 / 60 and got[3, 1].at == 40 and (6, 1) not in got
+
+
 def test_leaks_without_broadcast(spark, docs, monkeypatch):
     _, item = corpus()
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
