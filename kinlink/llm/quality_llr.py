@@ -15,8 +15,7 @@ from .common import staged, table
 ORDERS = (2, 3, 4)  # bytes in an n-gram
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-TRUSTED = 20_000  # trusted documents that are counted for the target, at most
-LABELLED = 40_000  # labelled documents from which the threshold is set, at most
+BINS = 1 << 16  # of scores, in the search for the threshold
 WINDOW = 5
 REPEATED = 20  # per cent of words in repeated windows
 FEWEST = 10
@@ -74,9 +73,11 @@ def _counts(batches):
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw by bucket. All documents are counted for the raw corpus, those of the TRUSTED smallest hashes for the target, so that their ids can be broadcast. Counts are summed on the executors; the driver gets the two multinomials, 2 * BUCKETS numbers at any size of the corpus."""
-    ids = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRUSTED).select("doc_id", F.lit(True).alias("good"))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left").select("text", "good")
+    """log p_target - log p_raw by bucket. All documents are counted for the raw corpus, all trusted ones for the target; labels meet texts by a shuffle on doc_id. Counts are summed on the executors; the driver gets the two multinomials, 2 * BUCKETS numbers at any size of the corpus."""
+    # rows without doc_id are trusted nowhere; the salt deals them out
+    ids = trusted.select("doc_id", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("good"))
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    marked = docs.select("doc_id", "text", salt.alias("salt")).join(ids.hint("shuffle_hash"), ["doc_id", "salt"], "left").select("text", "good")
     rows = marked.mapInArrow(_counts, "which int, bucket int, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toPandas()
     p = np.full((2, BUCKETS), SMOOTHING)
     np.add.at(p, (rows["which"].to_numpy(int), rows["bucket"].to_numpy(int)), rows["n"].to_numpy(float))
@@ -160,10 +161,39 @@ def threshold(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[best] if best == 0 else (cuts[best] + cuts[best - 1]) / 2)
 
 
+def cut_of(known: DataFrame) -> float:
+    """threshold() of all rows of known (score, quality), from counts: of each bin of scores and class, then of each score in the bins that may hold a better cut than the bins' own first scores."""
+    known = known.filter("quality in (0, 1)")
+    ends = known.agg(F.min("score").alias("low"), F.max("score").alias("high")).first()
+    if ends.low is None:
+        return float("-inf")
+    scale = (BINS - 1) / (ends.high - ends.low) if ends.high > ends.low else 0.0
+    known = known.withColumn("bin", F.floor((F.col("score") - F.lit(ends.low)) * F.lit(scale)).cast("int"))
+    good, bad = (F.sum((F.col("quality") == q).cast("long")).alias(n) for q, n in ((1, "good"), (0, "bad")))
+    bins = known.groupBy("bin").agg(good, bad, F.min("score").alias("first"), F.max("score").alias("last")).toPandas().sort_values("bin")
+    g, b = bins["good"].to_numpy(np.int64), bins["bad"].to_numpy(np.int64)
+    if not g.sum() or not b.sum():
+        return float("-inf")
+    over, under = g.sum() - np.cumsum(g) + g, np.cumsum(b) - b
+    at_first = over / g.sum() + under / b.sum()
+    may = (over / g.sum() + (under + b) / b.sum() >= at_first.max()) & (b > 0) & ((g > 0) | (np.arange(len(b)) == len(b) - 1))
+    cuts = [(x, v, float("nan") if i == 0 else bins["last"].iloc[i - 1]) for i, (x, v) in enumerate(zip(bins["first"], at_first))]
+    if may.any():
+        inner = known.join(F.broadcast(known.sparkSession.createDataFrame([(int(x),) for x in bins["bin"][may]], "bin int")), "bin").groupBy("bin", "score").agg(good, bad).toPandas()
+        for i in np.flatnonzero(may):
+            x = inner[inner["bin"] == bins["bin"].iloc[i]].sort_values("score")
+            gi, bi, si = x["good"].to_numpy(np.int64), x["bad"].to_numpy(np.int64), x["score"].to_numpy()
+            values = (over[i] - np.cumsum(gi) + gi) / g.sum() + (under[i] + np.cumsum(bi) - bi) / b.sum()
+            cuts += list(zip(si[1:], values[1:], si[:-1]))
+    most = max(v for _, v, _ in cuts)
+    cut, _, before = min(c for c in cuts if c[1] == most)
+    return float(cut if np.isnan(before) else (cut + before) / 2)
+
+
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Base rules, score and verdict for each row of docs.
 
-    labels (doc_id, quality): quality 1 is the trusted target; rows without label or with null are in the raw corpus alone. The threshold comes from LABELLED labelled documents at most, those of the smallest hash of doc_id, and only from such as the base rules let through; with one class missing, all are kept. Null, empty and white texts have no words and fail the base. Repeated rows are judged each. Columns other than doc_id, text and quality are ignored. An empty table gives no rows.
+    labels (doc_id, quality): quality 1 is the trusted target; rows without label or with null are in the raw corpus alone. The threshold comes from all labelled documents that the base rules let through; with one class missing, all are kept. Null, empty and white texts have no words and fail the base. Repeated rows are judged each. Columns other than doc_id, text and quality are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).dropna().groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -171,8 +201,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = staged(docs.mapInArrow(_scored(weights), _SCHEMA))
     fail = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     rows = rows.withColumn("base_failed", fail)
-    known = rows.filter(~fail).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "score").limit(LABELLED).select("score", "quality").toPandas()
-    cut = threshold(known.loc[known.quality == 1, "score"].to_numpy(), known.loc[known.quality == 0, "score"].to_numpy())
+    cut = cut_of(staged(rows.filter(~fail).join(marks, "doc_id").select("score", "quality")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(cut)))
 
 

@@ -132,6 +132,26 @@ def test_quality_parts_junk(spark):
     assert all(got[i] == (i % 3 > 0) for i in range(150))
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    n = 20_600
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_500, F.lit("abab")).otherwise(F.lit("cdcd")).alias("text")).unionByName(spark.createDataFrame([(None, "abab")] * 5, "doc_id long, text string"))
+    got = quality_llr.ratios(docs, spark.range(n).select(F.col("id").alias("doc_id")))
+    raw, target = np.full(quality_llr.BUCKETS, 1.0), np.full(quality_llr.BUCKETS, 1.0)
+    for text, trusted, rest in (("abab", 20_500, 5), ("cdcd", 100, 0)):
+        for g in quality_llr.pieces(text.encode()):
+            np.add.at(raw, g, trusted + rest)
+            np.add.at(target, g, trusted)
+    assert got == pytest.approx(np.log(target / target.sum()) - np.log(raw / raw.sum()), abs=1e-5)
+
+
+def test_quality_threshold_of_all_labels(spark):
+    rng = np.random.default_rng(4)
+    cases = [(rng.normal(1, 1, 45_000), rng.normal(0, 1, 5_000)), (np.array([1.0, 1.0, 2.0]), np.array([1.0, 3.0])), (np.array([1.0]), np.array([])), (np.array([2.0, 3.0]), np.array([0.0, 1.0])), (np.array([0.0]), np.array([1.0, 1.0, 5.0]))]
+    for good, bad in cases:
+        rows = [(float(x), 1) for x in good] + [(float(x), 0) for x in bad] + [(9.0, 7)]
+        assert quality_llr.cut_of(spark.createDataFrame(rows, "score double, quality int")) == quality_llr.threshold(good, bad)
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(9)
     rows, labels = [], []
