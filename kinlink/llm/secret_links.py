@@ -1,6 +1,6 @@
 """Secret scans with multipart credential linking.
 
-Certain findings (the base kinds) are reported on sight. Weak ones (an access identifier named as such, a random-looking key, an endpoint) are reported only when complementary parts lie within REACH characters: an identifier needs a secret, a secret an identifier or an endpoint with credentials near, an endpoint both an identifier and a secret. Parts are cut out of whole texts by regular expressions on the JVM, and the interval join runs as range-framed windows over the parts of a text, so no pairs are made.
+Certain findings (the base kinds) are reported on sight. Weak ones (an access identifier named as such, a random-looking key, an endpoint) are reported only when complementary parts lie within REACH characters, from the end of one to the start of the other: an identifier needs a secret, a secret an identifier or an endpoint, an endpoint a secret. Parts are cut out of whole texts by regular expressions on the JVM, and the interval join runs as running windows over the parts of a text, so no pairs are made.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ ASSIGN_HEAD = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*
 
 #: Weak parts: kind, pattern.
 WEAK = (
-    ("weak_id", r"""(?i:access_?key_?id|key_?id|client_?id|account_?id|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{4,64}"""),
-    ("weak_key", r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])(?=[A-Za-z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"""),
-    ("weak_end", r"""(?i:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]{4,512}"""),
+    ("weak_id", r"""(?i:access_?key_?id|key_?id|client_?id|account_?id|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?[A-Za-z0-9_.@-]{4,}+"""),
+    ("weak_key", r"""(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{20})(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"""),
+    ("weak_end", r"""(?i:https?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|amqps?|s3)://[A-Za-z0-9._~:/?#@!$&'()*+,;=%-]{4,}+"""),
 )
 #: What a text must hold before a pattern is tried on it; cheaper than the pattern, and true wherever it matches.
 GUARDS = {"assign": r"[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", "access": "AKIA", "weak_id": r"[:=]\x20*[\"']?[A-Za-z0-9_.@-]", "weak_end": "://"}
@@ -88,16 +88,22 @@ def _digest(spans: Column) -> Column:
 def linked(weak: DataFrame) -> DataFrame:
     """(doc_id, tkey, s, e, k) of the weak parts that hold together with complementary ones, from the parts of texts (doc_id, tkey, s, e, k).
 
-    The frame reaches REACH characters either way from a part's start, to the starts of others; parts have a least length, so a frame holds few, whatever the text's length.
+    A part's own length does not use up REACH: the gap runs from the latest end of the parts of a kind that start before it, and to the earliest start of those that follow.
     """
-    near = Window.partitionBy("doc_id", "tkey").orderBy("s").rangeBetween(-REACH, REACH)
-    has = {n: F.max(F.col("k").isin([KINDS.index(x) for x in kinds]).cast("int")).over(near) == 1 for n, kinds in {"id": ("access", "weak_id"), "key": ("assign", "hex", "weak_key"), "end": ("weak_end",)}.items()}
-    rows = weak.withColumns({f"_{n}": c for n, c in has.items()})
+    by = Window.partitionBy("doc_id", "tkey")
+    before = by.orderBy("s", "e", "k").rowsBetween(Window.unboundedPreceding, -1)
+    after = by.orderBy(F.desc("s"), F.desc("e"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    sides = {}
+    for name, kinds in {"id": ("access", "weak_id"), "key": ("assign", "hex", "weak_key"), "end": ("weak_end",)}.items():
+        of = F.col("k").isin([KINDS.index(x) for x in kinds])
+        sides[f"_{name}_before"], sides[f"_{name}_after"] = F.max(F.when(of, F.col("e"))).over(before), F.min(F.when(of, F.col("s"))).over(after)
+    rows = weak.withColumns(sides)
+    near = lambda n: F.coalesce(F.col("s") - F.col(f"_{n}_before") <= REACH, F.lit(False)) | F.coalesce(F.col(f"_{n}_after") - F.col("e") <= REACH, F.lit(False))
     k = F.col("k")
     rule = (
-        F.when(k == KINDS.index("weak_id"), F.col("_key"))
-        .when(k == KINDS.index("weak_key"), F.col("_id"))
-        .when(k == KINDS.index("weak_end"), F.col("_id") & F.col("_key"))
+        F.when(k == KINDS.index("weak_id"), near("key"))
+        .when(k == KINDS.index("weak_key"), near("id") | near("end"))
+        .when(k == KINDS.index("weak_end"), near("key"))
         .otherwise(F.lit(False))
     )
     return rows.filter(rule).select("doc_id", "tkey", "s", "e", "k")

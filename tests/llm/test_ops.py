@@ -362,6 +362,32 @@ def test_secrets(spark, docs, none):
             assert (d, out) in masked
 
 
+def test_long_secret_parts(spark):
+    key = lambda n: ("Zk9x7Qw3Er5Ty8Ui2Op4As6D" * (n // 24 + 1))[:n]
+    late = "g" * 100 + "B7" + "k" * 30
+    long_id, end = "u" * 90, "https://db.example.com/" + "p" * 900
+    texts = [f"client_id = app77 {key(n)} end" for n in (128, 132, 344, 5000)] + [f"client_id = app77 {key(132)}== end", f"client_id = app77 {late} end", f"client_id = {long_id} {key(40)} end", f"client_id = app77 {end} {key(40)} end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_links.found(rows).collect()}
+    for i, n in enumerate((128, 132, 344, 5000, 134, 132)):
+        assert spans[i] == f"weak_id:0:17,weak_key:18:{18 + n}", i
+    assert spans[6] == "weak_id:0:102,weak_key:103:143"
+    assert f"weak_end:18:{18 + len(end)}" in spans[7]
+    assert {r.text for r in secret_links.redact(rows).collect() if r.doc_id < 7} == {"[secret] [secret] end"}
+
+
+def test_secret_gaps_and_endpoints(spark):
+    key, token = "Zk9x7Qw3Er5Ty8Ui2Op4As6D", "token: " + "g" * 400
+    id_at = lambda n: f"{key}{' ' * n}client_id = app77"
+    rows = [(0, f"{token}\nclient_id = app77"), (1, f"client_id = app77\n{token}"), (2, id_at(200)), (3, id_at(201)), (4, f"https://hooks.example.com/x {key}"), (5, f"{key}\nhttps://hooks.example.com/{'x' * 300}"), (6, "https://hooks.example.com/x client_id = app77")]
+    rows += [(7, f"{token} client_id = app77 {' ' * 300} client_id = app78")]
+    spans = {r.doc_id: r.spans for r in secret_links.found(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[0] == "assign:0:407,weak_id:408:425" and spans[1] == "weak_id:0:17,assign:18:425"
+    assert spans[2] == "weak_key:0:24,weak_id:224:241" and spans[3] == ""
+    assert spans[4] == "weak_end:0:27,weak_key:28:52" and spans[5] == "weak_key:0:24,weak_end:25:351" and spans[6] == ""
+    assert spans[7] == "assign:0:407,weak_id:408:425"
+
+
 def test_mix(spark, docs, none):
     got = source_mix.mix(docs).collect()
     rows = docs.select("doc_id", "text", "source").collect()
