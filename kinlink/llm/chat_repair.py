@@ -2,14 +2,13 @@
 
 A legal conversation is a path through a small automaton: an optional system turn, then user and assistant in turn, starting with the user. For each role of an input turn and each state there are a few ways to take the turn: keep it, merge it into the turn before, relabel it, and insert empty turns ahead of it. Dynamic programming finds the cheapest path; the repaired sequence is rendered as fragments that, joined in order, are the formatted conversation.
 
-Costs of stretches are matrices that compose by (min, +), so a conversation of any length is cut into pieces of bounded size: each piece gives its matrix, the matrices give the states at the cuts, and every piece is then repaired by itself.
+Costs of stretches compose by (min, +), so a conversation of any length is cut into pieces of bounded size: each piece gives a summary, the summaries give the states at the cuts, and every piece is then repaired by itself. Paths are totally ordered, by cost and then by their states, and summaries keep that order; so the repair is the same wherever the cuts fall.
 """
 
 from __future__ import annotations
 
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -75,45 +74,80 @@ def moves(cls: int) -> dict[tuple[int, int], tuple[int, tuple[int, ...], int, st
     return best
 
 
-@cache
-def matrix(cls: int) -> np.ndarray:
-    m = np.full((STATES, STATES), FAR, np.int64)
-    for (s, t), (cost, *_) in moves(cls).items():
-        m[s, t] = cost
-    return m
+#: For each state the cost of its cheapest path above the least of all (FAR: none leads there), and the place of that path among those of the other states, by the states passed from the first turn on.
+Vector = tuple[tuple[int, int], ...]
 
 
-def compose(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.minimum((a[:, :, None] + b[None, :, :]).min(axis=1), FAR)
+def start(state: int) -> Vector:
+    return tuple((0 if s == state else FAR, 0) for s in range(STATES))
 
 
-IDENTITY = np.where(np.eye(STATES, dtype=bool), 0, FAR).astype(np.int64)
+def _step(options: list[list[tuple[int, int, int, int]]]) -> tuple[Vector, int, tuple[int, ...]]:
+    """From each next state's ways there (cost, place of the path so far, place of the way, state before): the next vector, the least cost, and the states before."""
+    best = [min(ways) if ways else None for ways in options]
+    least = min(x[0] for x in best if x)
+    order = sorted((x[1], x[2], t) for t, x in enumerate(best) if x)
+    place = {t: i for i, (*_, t) in enumerate(order)}
+    return tuple((x[0] - least, place[t]) if x else (FAR, 0) for t, x in enumerate(best)), least, tuple(x[3] if x else -1 for x in best)
 
 
-def ends(costs: np.ndarray) -> tuple[int, tuple[int, ...], int]:
-    """The cheapest way to end from the states' costs: the last state, roles put in after it, all costs."""
-    options = [(int(costs[s]) + cost, len(roles), s, roles) for s in range(STATES) for t, (cost, roles) in inserts(s).items() if t in ACCEPT]
-    cost, _, state, roles = min(options)
-    return state, roles, cost
+@cache
+def advance(vector: Vector, cls: int) -> tuple[Vector, int, tuple[int, ...]]:
+    """A turn of this class. There are few vectors, so this soon is a table."""
+    ways = moves(cls)
+    return _step([[(c + ways[s, t][0], r, t, s) for s, (c, r) in enumerate(vector) if c < FAR and (s, t) in ways] for t in range(STATES)])
 
 
-def path(classes: list[int], entry: int, leave: int | None) -> list[int]:
-    """The states before each turn and after the last on a cheapest path from entry to leave, or to a cheapest end."""
-    costs = np.full(STATES, FAR, np.int64)
-    costs[entry] = 0
-    before = []
-    for c in classes:
-        step = costs[:, None] + matrix(c)
-        before.append(step.argmin(axis=0))
-        costs = np.minimum(step.min(axis=0), FAR)
-    state = ends(costs)[0] if leave is None else leave
+def last_state(vector: Vector) -> tuple[int, tuple[int, ...]]:
+    """The best last state and the roles put in after it: the least cost, then the fewest roles, then the first path."""
+    options = [(c + cost, len(roles), r, s, roles) for s, (c, r) in enumerate(vector) if c < FAR for t, (cost, roles) in inserts(s).items() if t in ACCEPT]
+    *_, state, roles = min(options)
+    return state, roles
+
+
+def _back(state: int, befores: list[tuple[int, ...]]) -> list[int]:
     states = [state]
-    for b in reversed(before):
-        state = int(b[state])
-        states.append(state)
+    for before in reversed(befores):
+        states.append(before[states[-1]])
     return states[::-1]
 
 
+def path(classes: list[int], entry: int, leave: int | None) -> list[int]:
+    """The states before each turn and after the last on the best path from entry to leave, or to the best end. Of equally cheap paths the best is the one whose states come first, compared from the first turn on; so there is only one, and it is the same however a conversation is cut."""
+    vector, befores = start(entry), []
+    for c in classes:
+        vector, _, before = advance(vector, c)
+        befores.append(before)
+    return _back(last_state(vector)[0] if leave is None else leave, befores)
+
+
+class Summary:
+    """A stretch of turns as a whole: for each state before and each after, the cost of the best path and its place among those from the same state."""
+
+    def __init__(self):
+        self.vectors = [start(s) for s in range(STATES)]
+        self.shifts = [0] * STATES
+
+    def add(self, cls: int) -> None:
+        for s in range(STATES):
+            self.vectors[s], least, _ = advance(self.vectors[s], cls)
+            self.shifts[s] += least
+
+    def numbers(self) -> list[int]:
+        return [n for s in range(STATES) for c, r in self.vectors[s] for n in (min(c + self.shifts[s], FAR) if c < FAR else FAR, r)]
+
+
+def through(summaries: list[list[int]]) -> list[tuple[int, int]]:
+    """The states before and after each stretch of a conversation, in order, from the numbers of their summaries."""
+    vector, befores = start(START), []
+    for numbers in summaries:
+        way = lambda s, t: numbers[2 * (STATES * s + t) : 2 * (STATES * s + t) + 2]  # noqa: B023, E731
+        vector, _, before = _step([[(c + way(s, t)[0], r, way(s, t)[1], s) for s, (c, r) in enumerate(vector) if c < FAR and way(s, t)[0] < FAR] for t in range(STATES)])
+        befores.append(before)
+    states = _back(last_state(vector)[0], befores)
+    return list(zip(states, states[1:]))
+
+
 def fragment(role: int, text: str, first: bool, merged: bool) -> str:
     if merged:
         return "\n\n" + text
@@ -131,9 +165,7 @@ def repair(turns: list[tuple[int | None, str | None, str | None]], entry: int =
             out.append((turn, i, ROLES[r], "insert", INSERT, fragment(r, "", s == START and i == 0, False)))
         out.append((turn, len(roles), ROLES[label], action, cost - INSERT * len(roles), fragment(label, text or "", s == START and not roles, action.endswith("merge"))))
     if last and turns:
-        costs = np.full(STATES, FAR, np.int64)
-        costs[states[-1]] = 0
-        _, roles, _ = ends(costs)
+        _, roles = last_state(start(states[-1]))
         turn, step = turns[-1][0], out[-1][1] + 1
         for i, r in enumerate(roles):
             out.append((turn, step + i, ROLES[r], "insert", INSERT, fragment(r, "", states[-1] == START and i == 0, False)))
@@ -143,14 +175,14 @@ def repair(turns: list[tuple[int | None, str | None, str | None]], entry: int =
 
 
 def _cut(piece: int):
-    """From rows in order: each with its piece and place, and for each piece a row with its matrix."""
+    """From rows in order: each with its piece and place, and for each piece a row with its summary."""
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        seq, at, now, m = -1, 0, object(), IDENTITY
+        seq, at, now, whole = -1, 0, object(), Summary()
         for batch in batches:
             rows = batch.to_pydict()
-            out = {k: [] for k in ("conv_id", "piece", "at", "turn", "role", "text", "matrix")}
+            out = {k: [] for k in ("conv_id", "piece", "at", "turn", "role", "text", "summary")}
 
             def put(conv, at, turn, role, text, costs, out=out):
                 for k, v in zip(out, (conv, part << 32 | seq, at, turn, role, text, costs)):
@@ -159,20 +191,20 @@ def _cut(piece: int):
             for conv, turn, role, text in zip(rows["conv_id"], rows["turn"], rows["role"], rows["text"]):
                 if conv != now or at == piece:
                     if seq >= 0:
-                        put(now, None, None, None, None, m.ravel().tolist())
-                    seq, at, now, m = seq + 1, 0, conv, IDENTITY
+                        put(now, None, None, None, None, whole.numbers())
+                    seq, at, now, whole = seq + 1, 0, conv, Summary()
                 put(conv, at, turn, role, text, None)
-                m = compose(m, matrix(role_class(role)))
+                whole.add(role_class(role))
                 at += 1
             yield pa.RecordBatch.from_pydict(out, schema=_CUT)
         if seq >= 0:
-            yield pa.RecordBatch.from_pydict({"conv_id": [now], "piece": [part << 32 | seq], "at": [None], "turn": [None], "role": [None], "text": [None], "matrix": [m.ravel().tolist()]}, schema=_CUT)
+            yield pa.RecordBatch.from_pydict({"conv_id": [now], "piece": [part << 32 | seq], "at": [None], "turn": [None], "role": [None], "text": [None], "summary": [whole.numbers()]}, schema=_CUT)
 
     return run
 
 
-_CUT = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("at", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("matrix", pa.list_(pa.int64()))])
-_CUT_SQL = "conv_id long, piece long, at int, turn long, role string, text string, matrix array<bigint>"
+_CUT = pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("at", pa.int32()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("summary", pa.list_(pa.int64()))])
+_CUT_SQL = "conv_id long, piece long, at int, turn long, role string, text string, summary array<bigint>"
 
 
 def _bounds(batches):
@@ -181,16 +213,9 @@ def _bounds(batches):
         out = {"piece": [], "entry": [], "leave": []}
         for pieces in batch.column("pieces").to_pylist():
             pieces = sorted(pieces, key=lambda p: p["piece"])
-            ms = [np.array(p["matrix"], np.int64).reshape(STATES, STATES) for p in pieces]
-            costs = [IDENTITY[START]]
-            for m in ms:
-                costs.append(np.minimum((costs[-1][:, None] + m).min(axis=0), FAR))
-            state = ends(costs[-1])[0]
-            for p, m, before in zip(reversed(pieces), reversed(ms), reversed(costs[:-1])):
-                entry = int((before + m[:, state]).argmin())
-                for k, v in zip(out, (p["piece"], entry, state)):
+            for p, (entry, leave) in zip(pieces, through([p["summary"] for p in pieces])):
+                for k, v in zip(out, (p["piece"], entry, leave)):
                     out[k].append(v)
-                state = entry
         yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("piece", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32())]))
 
 
@@ -228,7 +253,7 @@ _OUT_SQL = "conv_id long, turn long, step int, role string, action string, cost
 def repaired(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     """(conv_id, turn, step, role, action, cost, fragment): the repaired turns; by conv_id, turn and step in order, a conversation's fragments joined are its text.
 
-    Turns are ordered by (turn, role, text), null turns first, so repeated rows and ties have a fixed order. A null text is empty; a null or foreign role is unknown and gets the label that costs least. Rows of null conv_id are one conversation. Each conversation's cost is the least there is; between equally cheap repairs of conversations longer than a piece, the cuts decide. Columns other than conv_id, turn, role and text are ignored. An empty table gives no rows. Rows are dealt by ranges of (conv_id, turn), so that a conversation of any length is shared by many tasks.
+    Turns are ordered by turn, null turns first, and of equal ones by a hash of role and text, then role and text; so repeated rows and ties have a fixed order. A null text is empty; a null or foreign role is unknown and gets the label that costs least. Rows of null conv_id are one conversation. Each conversation's cost is the least there is; of equally cheap repairs the one is taken whose states come first, wherever the rows are cut and however they are dealt. Columns other than conv_id, turn, role and text are ignored. An empty table gives no rows. Rows are dealt by ranges of (conv_id, turn), so that a conversation of any length is shared by many tasks.
     """
     spark = conversations.sparkSession
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
@@ -236,12 +261,12 @@ def repaired(conversations: DataFrame, piece: int = PIECE) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("tie", F.xxhash64("role", "text")).repartitionByRange(tasks, "conv_id", "turn", "tie").sortWithinPartitions("conv_id", "turn", "tie", "role", "text")
     cut = staged(dealt.select(*order).mapInArrow(_cut(piece), _CUT_SQL))
-    pieces = cut.filter(F.col("matrix").isNotNull()).select("conv_id", "piece", "matrix")
+    pieces = cut.filter(F.col("summary").isNotNull()).select("conv_id", "piece", "summary")
     many = pieces.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.max("piece").alias("final")).filter("n > 1")
     of_many = pieces.join(many.select(F.col("conv_id").alias("_conv"), "final"), F.col("conv_id").eqNullSafe(F.col("_conv")))
-    bounds = of_many.groupBy("conv_id").agg(F.collect_list(F.struct("piece", "matrix")).alias("pieces")).select("pieces").mapInArrow(_bounds, "piece long, entry int, leave int")
+    bounds = of_many.groupBy("conv_id").agg(F.collect_list(F.struct("piece", "summary")).alias("pieces")).select("pieces").mapInArrow(_bounds, "piece long, entry int, leave int")
     known = staged(bounds.join(of_many.select("piece", (F.col("piece") == F.col("final")).alias("last")), "piece"))
-    turns = cut.filter(F.col("matrix").isNull()).select("conv_id", "piece", "at", "turn", "role", "text").join(known, "piece", "left")
+    turns = cut.filter(F.col("summary").isNull()).select("conv_id", "piece", "at", "turn", "role", "text").join(known, "piece", "left")
     turns = turns.withColumn("last", F.coalesce("last", F.lit(True))).withColumn("leave", F.when(F.col("last"), F.lit(None)).otherwise(F.col("leave")))
     return turns.repartition(tasks, "piece").sortWithinPartitions("piece", "at").mapInArrow(_repaired, _OUT_SQL)
 

@@ -207,6 +207,36 @@ def test_repairs_are_legal_and_cheapest():
             assert [x[0] for x in out if x[3] != "insert"] == list(range(n))
 
 
+def test_repairs_do_not_depend_on_cuts():
+    for classes in itertools.product(range(4), repeat=6):
+        whole = chat_repair.path(list(classes), chat_repair.START, None)
+        for size in range(1, 6):
+            pieces = [classes[i : i + size] for i in range(0, 6, size)]
+            summaries = [chat_repair.Summary() for _ in pieces]
+            for s, p in zip(summaries, pieces):
+                for c in p:
+                    s.add(c)
+            states = [chat_repair.START]
+            for p, (entry, leave) in zip(pieces, chat_repair.through([s.numbers() for s in summaries])):
+                assert entry == states[-1]
+                states += chat_repair.path(list(p), entry, leave)[1:]
+            assert states == whole
+
+
+def test_the_first_of_equally_cheap_paths():
+    def price(states, classes):
+        steps = [chat_repair.moves(c).get((s, t)) for c, s, t in zip(classes, states, states[1:])]
+        if None in steps:
+            return None
+        ends = [(cost, len(roles)) for t, (cost, roles) in chat_repair.inserts(states[-1]).items() if t in chat_repair.ACCEPT]
+        cost, roles = min(ends)
+        return sum(x[0] for x in steps) + cost, roles, states
+
+    for classes in itertools.product(range(4), repeat=4):
+        best = min(p for rest in itertools.product(range(4), repeat=4) if (p := price((chat_repair.START, *rest), classes)))
+        assert tuple(chat_repair.path(list(classes), chat_repair.START, None)) == best[2]
+
+
 def test_repair_renders():
     out = chat_repair.repair([(0, "Human", "a"), (1, "user", None), (2, "gpt", "b")])
     assert "".join(x[5] for x in out) == "<|im_start|>user\na\n\n<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n"

@@ -442,6 +442,21 @@ def test_chats(spark, piece):
     assert chat_repair.repaired(table.limit(0)).count() == 0
 
 
+def test_chats_do_not_depend_on_cuts_and_neighbours(spark):
+    rng = random.Random(18)
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", None]), f"m{t}") for c in range(40) for t in range(rng.randint(1, 9))]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    key = lambda df: Counter(map(tuple, df.collect()))
+    whole = key(chat_repair.repaired(table))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, piece in (("3", 2), ("7", 3), ("41", 2048), ("1", 5)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert key(chat_repair.repaired(table, piece)) == whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
