@@ -152,6 +152,18 @@ def test_fit_comes_near():
         assert abs(taken - target) <= 5
 
 
+def test_fit_in_bounded_memory():
+    sizes, counts = [1, 3, 7, 900, 30_000_000, 100_000_000], [5, 5, 5, 5, 1, 1]
+    total = sum(s * n for s, n in zip(sizes, counts))
+    for target in (50_000_000.0, 29_000_000.0, 31_000_000.0, 101_000_000.0, 1.9 * total, 3.0 * total):
+        rounds, extra = source_mix.fit(sizes, counts, target)
+        assert all(0 <= e <= n for e, n in zip(extra, counts)) and rounds * total + sum(s * e for s, e in zip(sizes, extra)) <= target + 1
+    best = lambda t: source_mix.fit(sizes, counts, t)[1]
+    assert best(30_000_010.0)[4] == 1 and sum(s * e for s, e in zip(sizes, best(30_000_010.0))) == 30_000_010
+    dense = source_mix.fit(list(range(1, 3000)), [10_000] * 2999, 1e10)
+    assert abs(dense[0] * 2999 * 1500 * 10_000 + sum(s * e for s, e in zip(range(1, 3000), dense[1])) - 1e10) <= 1
+
+
 def test_grammar_composition():
     lexer = toxicity_grammar.Lexer({"grobian": "I"})
     names = toxicity_grammar.FEATURES

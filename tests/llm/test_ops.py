@@ -419,6 +419,22 @@ def test_mix(spark, docs, none):
     assert source_mix.mix(none).count() == 0
 
 
+def test_mix_of_one_hot_group(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") < 20_000, F.col("id")).alias("doc_id"), F.lit("two words").alias("text"), F.when(F.col("id") % 3 > 0, F.lit("a")).alias("source"), F.lit("x").alias("h"), F.lit(1).alias("own"))
+    got = source_mix.mix(rows).collect()
+    by = Counter()
+    for r in got:
+        by[r.source, r.taken // 2] += 1
+    # 40,000 words of a weigh 1, 20,000 of null 2, which may take no more than 60,000
+    assert by["a", 0] + by["a", 1] == 20_000 and by["a", 1] == 10_000 and sum(k[1] * v for k, v in by.items() if k[0] is None) == 20_000
+    whole = source_mix.mixed(rows)
+    assert whole.columns == [*rows.columns, "size", "source_size", "target", "taken", "copies"]
+    key = lambda rs: Counter((r.doc_id, r.taken) for r in rs if r.taken and r.doc_id is not None)
+    again = whole.collect()
+    assert Counter(r.source for r in again for _ in range(r.copies)) == Counter({"a": 10_000, None: 20_000})
+    assert {r for r in key(got)} and all(r.text == "two words" and r.own == 1 for r in again)
+
+
 def test_capped_targets(spark):
     rows = spark.createDataFrame([("sa", "a", 1000), ("sb", "b", 10), ("sc", "c", 10), ("n", None, 0)], "skey string, source string, source_size long")
     got = {r.skey: r.target for r in source_mix.targets(rows).collect()}
