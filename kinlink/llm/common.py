@@ -60,6 +60,15 @@ def staged(df: DataFrame) -> DataFrame:
     return Staged(df.sparkSession).put(df)[0]
 
 
+#: Rows of a few numbers each up to which a table is broadcast, so well under 100 MB; beyond, joins with it are shuffles.
+MOST_BROADCAST = 1_000_000
+
+
+def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """df, to be broadcast if it has no more than most rows. Joins give the same either way."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) for each node of an edge; root is the smallest node of its component.
 

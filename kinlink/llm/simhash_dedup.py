@@ -1,29 +1,33 @@
 """SimHash near-duplicates by pivot distance tables.
 
-Every fingerprint gets a table of Hamming distances to fixed reference fingerprints, kept apart for each of four 16-bit blocks. Two fingerprints at RADIUS 2 or less agree in at least two blocks, hence in all table entries of two blocks; those entries are the bucket key. In a bucket, pairs whose whole-width coordinates differ by more than the radius are discarded (the triangle bound) and the survivors are verified bit by bit.
+Every fingerprint gets its Hamming distances to reference fingerprints: an origin, and for each of 16 blocks of four bits the origin with that block inverted. The difference of two such distances tells how many bits of the block differ from the origin, so the table is a vector of 16 numbers, of which one bit more or less moves one number by one. Every fingerprint is entered in the cell of its own vector and in the cells one step away; two that differ in RADIUS bits or less always share a cell. In a cell, pairs are discarded whose distances to any of 16 further, random references differ by more than the radius (the triangle bound), and survivors are verified bit by bit.
 
-A bucket of more than BUCKET members never emits its pairs. Its members emit instead themselves and their 64 one-bit neighbours: two fingerprints at distance 2 or less share such a point, those that share one are at most 2 apart, and no point has more than 65 owners. So all links are found in space linear in the fingerprints.
+Cells of more than BUCKET members do not list pairs. Their members are told apart by the references that differ from the origin in one bit each: these distances determine a fingerprint, so a cell is a point, and members are entered in their own and the 64 points one step away. Those that share a point are at most two bits apart and no point has more than 65 owners, so a star around one owner holds all links that components need, in space linear in the fingerprints.
+
+keep_first() also links texts of similar words whose fingerprints lie further apart than such tables can search; see near_links().
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, staged, table
+from .common import components, small, staged, table
 
 RADIUS = 2
 WIDTH = 3  # words in a shingle
 SEED = 42
-BUCKET = 32  # members up to which a bucket lists its pairs
-BLOCKS = 4
-BITS = 64 // BLOCKS
+BUCKET = 32  # members up to which a cell lists its pairs
+BITS = 4  # in a block; the numbers of a vector are 0 to 4
+BLOCKS = 64 // BITS
+REFERENCES = 16  # random ones
 _CHUNK = 1 << 14
+# of texts that are similar in their words, in keep_first()
+NEAR_WIDTH, NEAR_SIMILAR = 5, 0.8
+NEAR_BANDS, NEAR_ROWS = 24, 5
 
 
 def fingerprint(text: str | None) -> int:
@@ -61,34 +65,46 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_batches, "doc_id long, fp long")
 
 
-def pivots() -> list[int]:
-    """As many reference fingerprints as a block has bits, seeded; chosen so that the distances in a block determine its bits."""
-    for seed in range(1000):
-        refs = np.random.default_rng(seed).integers(0, 1 << 32, (BITS, 2), dtype=np.uint64)
-        refs = [int(a) << 32 | int(b) for a, b in refs]
-        signs = [np.array([[1 - 2 * (r >> (b * BITS + i) & 1) for i in range(BITS)] for r in refs]) for b in range(BLOCKS)]
-        if all(np.linalg.matrix_rank(s) == BITS for s in signs):
-            return refs
-    raise AssertionError("no full-rank references")
+def references() -> tuple[int, list[int]]:
+    """The origin and the random reference fingerprints, seeded."""
+    numbers = np.random.default_rng(SEED).integers(0, 1 << 32, (1 + REFERENCES, 2), dtype=np.uint64)
+    origin, *others = (int(a) << 32 | int(b) for a, b in numbers)
+    return origin, others
+
+
+def _distance(ref: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(ref))))
 
 
-def pivot_table(prints: DataFrame) -> DataFrame:
-    """(fp, key0.., c0, c1): hashes of the block tables, and the whole-width coordinates, one byte each, in two longs."""
-    refs = pivots()
-    masks = [((1 << BITS) - 1) << (b * BITS) for b in range(BLOCKS)]
+def vectors(prints: DataFrame) -> DataFrame:
+    """prints with vector: for each block, by four bits of a long, how many of its bits differ from the origin, from the distances to the origin and to the origin with the block inverted."""
+    origin, _ = references()
+    value = F.lit(0).cast("long")
+    for b in range(BLOCKS):
+        inverted = origin ^ (((1 << BITS) - 1) << (b * BITS))
+        # inverting the block turns the bits that differ into agreeing ones, and the others into differing ones
+        number = F.shiftright(F.lit(BITS) + _distance(origin) - _distance(inverted), 1).cast("long")
+        value = value.bitwiseOR(F.shiftleft(number, b * BITS))
+    return prints.withColumn("vector", value)
 
-    def near(ref: int, mask: int):
-        return F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(ref))).bitwiseAND(F.lit(_signed(mask))))
 
-    half = len(refs) // 2
-    packed = []
-    for part in (refs[:half], refs[half:]):
+def cells(prints: DataFrame) -> DataFrame:
+    """(fp, cell): the vector of each fingerprint and all vectors one step away."""
+    number = lambda b: F.shiftright("vector", b * BITS).bitwiseAND(F.lit(7))
+    steps = [F.when(number(b) > 0, F.col("vector") - F.lit(1 << (b * BITS))) for b in range(BLOCKS)]
+    steps += [F.when(number(b) < BITS, F.col("vector") + F.lit(1 << (b * BITS))) for b in range(BLOCKS)]
+    return vectors(prints).select("fp", F.explode(F.array_compact(F.array(F.col("vector"), *steps))).alias("cell"))
+
+
+def _with_distances(rows: DataFrame) -> DataFrame:
+    """rows with the distances to the random references, one byte each, in two longs."""
+    _, others = references()
+    for name, refs in (("c0", others[:8]), ("c1", others[8:])):
         value = F.lit(0).cast("long")
-        for i, ref in enumerate(part):
-            value = value.bitwiseOR(F.shiftleft(F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(ref)))).cast("long"), 8 * i))
-        packed.append(value)
-    cols = [F.xxhash64(*(near(r, m) for r in refs)).alias(f"t{b}") for b, m in enumerate(masks)]
-    return prints.select("fp", *cols, packed[0].alias("c0"), packed[1].alias("c1"))
+        for i, ref in enumerate(refs):
+            value = value.bitwiseOR(F.shiftleft(_distance(ref).cast("long"), 8 * i))
+        rows = rows.withColumn(name, value)
+    return rows
 
 
 def _apart(a: str, b: str):
@@ -103,19 +119,17 @@ def _apart(a: str, b: str):
 
 def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Links (u, v) between different fingerprints, prints holding each one once; they connect exactly what all pairs at RADIUS or less connect."""
-    keys = pivot_table(prints)
-    pairs = [F.xxhash64(F.lit(i), F.col(f"t{a}"), F.col(f"t{b}")) for i, (a, b) in enumerate(combinations(range(BLOCKS), BLOCKS - RADIUS))]
-    keys = staged(keys.select("fp", "c0", "c1", F.explode(F.array(*pairs)).alias("key")))
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-    cold = keys.join(sizes.filter(F.col("n") <= bucket).select("key"), "key")
-    # a second hash of the key: the join may then split a key's rows without undoing this grouping
-    group = cold.groupBy(F.xxhash64("key", F.lit(1)).alias("k")).agg(F.collect_list(F.struct("fp", "c0", "c1")).alias("m"))
+    entered = cells(prints)
+    sizes = staged(entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+
+    cold = _with_distances(entered.join(sizes.filter(F.col("n") <= bucket).select("cell"), "cell"))
+    # a hash of the cell: the join may then split a cell's rows without undoing this grouping
+    group = cold.groupBy(F.xxhash64("cell", F.lit(1)).alias("k")).agg(F.collect_list(F.struct("fp", "c0", "c1")).alias("m"))
     listed = group.select("m", F.explode("m").alias("a")).select("a", F.explode("m").alias("b")).filter(F.col("a.fp") < F.col("b.fp"))
     close = listed.filter(_apart("a", "b")).filter(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= RADIUS)
     near = close.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
 
-    hot = keys.join(sizes.filter(F.col("n") > bucket).select("key"), "key", "left_semi").select("fp").distinct()
+    hot = entered.join(sizes.filter(F.col("n") > bucket).select("cell"), "cell", "left_semi").select("fp").distinct()
     flips = [F.lit(0).cast("long"), *(F.lit(_signed(1 << i)) for i in range(64))]
     points = hot.select("fp", F.explode(F.transform(F.array(*flips), lambda x: F.col("fp").bitwiseXOR(x))).alias("point"))
     shared = points.groupBy("point").agg(F.collect_list("fp").alias("m")).filter(F.size("m") > 1)
@@ -123,6 +137,74 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """Hashes of the different NEAR_WIDTH-word shingles of a text: lower-cased words joined by blanks, the whole sequence if there are fewer."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    width = min(NEAR_WIDTH, len(words))
+    join, digest = b" ".join, xxhash.xxh64_intdigest
+    grams = zip(*(words[i:] for i in range(width)))
+    return np.unique(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, len(words) - width + 1))
+
+
+_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, NEAR_BANDS * NEAR_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A hash of each band of minimum hashes; none without shingles."""
+    if not len(hashes):
+        return []
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 512):
+        low = np.minimum(low, np.multiply.outer(hashes[at : at + 512], _FACTORS).min(axis=0))
+    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(low.reshape(NEAR_BANDS, NEAR_ROWS))]
+
+
+def _sketched(batches):
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        prints = pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())
+        keys = pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), prints, keys], ["doc_id", "tkey", "fp", "keys"])
+
+
+def _shingled(batches):
+    for batch in batches:
+        found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["fp", "hashes"])
+
+
+def _same_row():
+    return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_key"))
+
+
+def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Links (u, v) between fingerprints whose texts share at least NEAR_SIMILAR of their different NEAR_WIDTH-word shingles. own (fp, place, keys) has each fingerprint once, texts (doc_id, tkey, text) what stands at the places.
+
+    At that similarity fingerprints are some ten bits apart, and up to twenty; nearly all pairs are that close in all distances to references, so tables of these discard nothing. Candidates are therefore texts that share one of NEAR_BANDS bands of NEAR_ROWS minimum hashes, which misses one in 10,000 of those at NEAR_SIMILAR, and they are verified by all their shingles. A cell of more than bucket members lists no pairs: its members are compared with its first member in one of four orders, by band. So a text is compared with up to four of a large family, and with any that it shares a smaller cell with; it joins the family if it is similar to one of them.
+    """
+    entered = own.select("fp", F.posexplode("keys").alias("band", "cell"))
+    firsts = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp")).alias(f"first{i}") for i in range(4)]
+    sizes = staged(entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *firsts).filter("n > 1"))
+    held = entered.join(sizes, "cell")
+    listed = held.filter(F.col("n") <= bucket).groupBy(F.xxhash64("cell", F.lit(1)).alias("k")).agg(F.collect_list("fp").alias("m"))
+    listed = listed.select("m", F.explode("m").alias("u")).select("u", F.explode("m").alias("v")).filter("u < v")
+    first = F.coalesce(*(F.when(F.col("band") % 4 == i, F.col(f"first{i}.fp")) for i in range(4)))
+    star = held.filter(F.col("n") > bucket).select("fp", first.alias("first"))
+    star = star.select(F.least("fp", "first").alias("u"), F.greatest("fp", "first").alias("v")).filter("u < v")
+    pairs = staged(listed.unionByName(star).distinct())
+
+    named = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    named = small(staged(own.join(named, "fp", "left_semi").select("fp", F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"))))
+    sets = texts.join(named, _same_row()).select("fp", "text").mapInArrow(_shingled, "fp long, hashes array<bigint>")
+    sets = staged(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")))  # of repeated rows one
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
+    both = both.filter(F.least(F.size("a"), F.size("b")) >= NEAR_SIMILAR * F.greatest(F.size("a"), F.size("b")))  # the sizes alone rule some out
+    both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
+    return both.filter(F.col("shared") >= NEAR_SIMILAR * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs.
 
@@ -138,9 +220,27 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row for each near-duplicate component: that of its smallest doc_id. Rows without doc_id go, as nothing names them."""
-    kept = classes(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """docs with one row for each group of near-duplicates: that of the smallest doc_id, rows without doc_id last.
+
+    Texts are linked as classes() links them, and where they share NEAR_SIMILAR of their NEAR_WIDTH-word shingles (near_links). Rows are told apart by doc_id and a hash of the text: of several texts of one doc_id in a group the smallest hash stays, and of rows equal in both the least one, compared by all columns (which must have an order); so reruns keep the same row, and no text goes but for one that is linked to it. Null, empty and white texts are one group. Texts of any length are read whole. An empty table gives no rows.
+    """
+    tkey = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), tkey.alias("tkey"), F.col("text").cast("string").alias("text"))
+    texts = keyed.select("doc_id", "tkey", "text")
+    prints = staged(texts.mapInArrow(_sketched, "doc_id long, tkey long, fp long, keys array<bigint>"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tkey")).alias("place")
+    own = staged(prints.groupBy("fp").agg(F.min(F.struct(place, "keys")).alias("x")).select("fp", "x.place", "x.keys"))
+    roots = components(links(own.select("fp")).unionByName(near_links(own, texts)))
+    joined = own.select("fp", "place").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("place").alias("place"))
+    kept = kept.select(F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"), F.lit(True).alias("kept"))
+    copies = prints.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
+    # what stays and stands once needs no more ado
+    told = copies.join(kept, _same_row(), "left").filter("kept is null or n > 1")
+    told = small(staged(told.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), "kept", "n")))
+    marked = keyed.drop("text").join(told, _same_row(), "left")
+    again = marked.filter("kept").groupBy("doc_id", "tkey").agg(F.min("own").alias("own"))
+    return marked.filter("n is null").select("own.*").unionByName(again.select("own.*"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
