@@ -6,7 +6,7 @@ import time
 import duckdb
 import pytest
 
-from kinlink.llm import secret_links
+from kinlink.llm import decontamination, secret_links
 
 
 def in_sql(sql, columns, **tables):
@@ -64,3 +64,25 @@ def test_hostile_runs(spark):
     got = {r.doc_id: r for r in secret_links.found(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert time.time() - began < 60
     assert all(got[i].spans == "" for i in (0, 1, 2, 3, 4, 6)) and got[5].spans.startswith("weak_id:300000:300017,weak_key:")
+
+
+def test_leaks_as_in_sql(spark):
+    rng = random.Random(5)
+    word = lambda: rng.choice(["la", "lo", "mi", "fa", "sol"]) + str(rng.randrange(60))
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 5, 9, 30, 31])))) for i in range(12)] + [(50, "la la la la la la la la"), (51, None), (52, "?!"), (3, "a second item of a known id")]
+    items.append(items[5])
+    rows = []
+    for i in range(150):
+        x = (rng.choice(items)[1] or "").split()
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            k = rng.randrange(len(x) + 1)
+            x[k : k + rng.randint(0, 1)] = [word()] * rng.randint(0, 1)
+        if rng.random() < 0.2:
+            x = x[len(x) // 2 :] + x[: len(x) // 2]
+        around = lambda: [word() for _ in range(rng.choice([0, 4, 60]))]
+        rows.append((i % 140, " ".join([*around(), *x, *around()]).upper() if i % 3 else " ".join([*x, *around(), *x])))
+    rows += [(200, None), (201, ""), (None, items[4][1]), rows[0], rows[0], (202, "la " * 40)]
+    columns = ["doc_id", "item_id", "similarity", "at", "n_windows"]
+    got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).select(*columns).collect()
+    expected = in_sql(decontamination.ORACLE, columns, documents=("doc_id BIGINT, text VARCHAR", rows), benchmark=("item_id BIGINT, text VARCHAR", items))
+    assert sorted(map(tuple, got), key=str) == expected and len(expected) > 100

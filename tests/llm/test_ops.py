@@ -271,7 +271,7 @@ def test_warc_files(spark, tmp_path):
     assert len(got) == 12 and Counter(bytes(r.block) for r in got if r.record_type == "conversion") == Counter({f"text {i}".encode(): 2 for i in range(3)})
 
 
-def leaks_brute(rows, items):
+def leaks_at_every_start(rows, items):
     words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     best = {}
@@ -279,15 +279,12 @@ def leaks_brute(rows, items):
         w = words(t)
         for i, x in items:
             v = words(x)
-            k, n = min(5, len(v)), len(v)
-            if not v or len(w) < n:
+            k, n = min(5, len(v)), min(len(v), len(w))
+            if not v or n < k:
                 continue
-            places = {tuple(v[j : j + k]): [] for j in range(n - k + 1)}
-            for j in range(n - k + 1):
-                places[tuple(v[j : j + k])].append(j)
-            starts = {max(0, min(p - j, len(w) - n)) for p in range(len(w) - k + 1) for j in places.get(tuple(w[p : p + k]), ())}
-            for s in starts:
-                a, b = grams(w[s : s + n], k), grams(v, k)
+            b = grams(v, k)
+            for s in range(len(w) - n + 1):
+                a = grams(w[s : s + n], k)
                 sim = sum((a & b).values()) / sum((a | b).values())
                 if sim >= 0.8:
                     best[d, i] = max(best.get((d, i), 0), sim)
@@ -303,35 +300,17 @@ def test_leaks(spark, docs, none):
     rows += [(3000, prose(random.Random(1), 9) + " " + changed), (3001, item.replace("eta theta", "broken"))]
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows[-2:], "doc_id long, text string")).withColumn("words", F.lit(1))
     got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.leaks(table, bench).collect()}
-    expected = leaks_brute(rows, items)
+    expected = leaks_at_every_start(rows, items)
     assert got == pytest.approx(expected) and (3000, 1) in got and (3001, 1) not in got
     assert decontamination.leaks(none, bench).count() == decontamination.leaks(docs, bench.limit(0)).count() == 0
     clean = decontamination.drop_leaks(docs, bench)
     assert clean.columns == docs.columns and {d for d, _ in expected} & {r.doc_id for r in clean.collect()} == set()
 
 
-def leaks_at_every_start(rows, items):
-    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    grams = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
-    best = {}
-    for d, t in rows:
-        w = words(t)
-        for i, x in items:
-            v = words(x)
-            k, n = min(5, len(v)), min(len(v), len(w))
-            b = grams(v, k)
-            for s in range(len(w) - n + 1):
-                a = grams(w[s : s + n], k)
-                sim = sum((a & b).values()) / sum((a | b).values())
-                if sim >= 0.8:
-                    best[d, i] = max(best.get((d, i), 0), sim)
-    return best
-
-
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_leaks_of_cut_and_reordered_items(spark, monkeypatch, broadcast):
     if not broadcast:
-        monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+        monkeypatch.setattr(decontamination, "small", lambda df, most=0: df)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(60)]
     swapped = words[30:] + words[:30]
@@ -348,17 +327,25 @@ def test_leaks_without_broadcast(spark, docs, monkeypatch):
     _, item = corpus()
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     expected = sorted(map(tuple, decontamination.leaks(docs, bench).collect()))
-    monkeypatch.setattr(decontamination, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(decontamination, "small", lambda df, most=0: df)
     assert sorted(map(tuple, decontamination.leaks(docs, bench).collect())) == expected and expected
 
 
 def test_multi_index_holds_the_radius(spark):
     rng = random.Random(3)
-    rows = spark.createDataFrame([(1, 1, 10, 0)], "item long, item_id long, n int, fp long")
-    keys = {r.key for r in decontamination.index(rows).collect()}
-    for _ in range(300):
-        x = sum(1 << b for b in rng.sample(range(64), rng.randint(0, decontamination.RADIUS)))
-        assert any((b << 8 | x >> 8 * b & 255) in keys for b in range(8))
+    prints = [rng.getrandbits(64) for _ in range(20)]
+    signed = simhash_dedup._signed
+    by_key = decontamination.index(spark.createDataFrame([(10 + i % 2, i, signed(x)) for i, x in enumerate(prints)], "n int, item long, fp long"))
+    windows = [(10 + i % 2, i, signed(x ^ sum(1 << b for b in rng.sample(range(64), k)))) for i, x in enumerate(prints) for k in range(0, 30)]
+    got = {tuple(r) for r in decontamination.near_items(spark.createDataFrame(windows, "n int, w long, wfp long"), by_key).select("w", "wfp", "item").collect()}
+    assert got == {(w, f, i) for n, w, f in windows for i, x in enumerate(prints) if 10 + i % 2 == n and ((f ^ x) & ((1 << 64) - 1)).bit_count() <= decontamination.RADIUS}
+
+
+def test_window_fingerprints(spark):
+    rng = random.Random(4)
+    rows = [(i, [simhash_dedup._signed(rng.getrandbits(64)) for _ in range(i)]) for i in range(0, 12)] + [(99, [5, 5, -1])]
+    for r in spark.createDataFrame(rows, "i int, a array<long>").withColumn("fp", decontamination.simhash("a")).collect():
+        assert r.fp == simhash_dedup._signed(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in r.a) > len(r.a)))
 
 
 ASSIGN = re.compile(r"(?a:(?i:(password|passwd|secret|token|api_?key)))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -535,7 +522,7 @@ def test_pipeline(spark, tmp_path):
     for r, c in zip(left, roots):
         first[c] = min(first.get(c, r[0]), r[0])
     left = [r for r in left if r[0] in first.values()]
-    bad = {d for d, _ in leaks_brute([(r[0], r[1]) for r in left], [(1, item)])}
+    bad = {d for d, _ in leaks_at_every_start([(r[0], r[1]) for r in left], [(1, item)])}
     left = [r for r in left if r[0] not in bad]
     texts = {}
     for d, t, *_ in left:
