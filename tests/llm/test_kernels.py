@@ -164,22 +164,132 @@ def test_fit_in_bounded_memory():
     assert abs(dense[0] * 2999 * 1500 * 10_000 + sum(s * e for s, e in zip(range(1, 3000), dense[1])) - 1e10) <= 1
 
 
-def test_grammar_composition():
-    lexer = toxicity_grammar.Lexer({"grobian": "I"})
-    names = toxicity_grammar.FEATURES
-
-    def seen(text):
-        return {n: round(float(np.expm1(v))) for n, v in zip(names, toxicity_grammar.features(text, lexer)) if v and n.startswith("n_")}
-
-    assert seen("you are an idiot.") == {"n_D": 1}
-    assert seen("an idiot.") == {"n_I": 1}
-    assert seen("an idiot you are") == {"n_I": 1, "n_Y": 1}
-    assert seen("you are not an idiot.") == {"n_d": 1}
-    assert seen("he said idiot.") == {"n_q": 1}
-    assert seen("not. you idiot") == {"n_D": 1}
-    assert seen("IDIOT!! *** grobians") == {"n_I": 2}
-    assert seen("kill you") == {"n_t": 1, "n_Y": 1}
-    assert seen(None) == seen("") == seen("the quiet day") == {}
+def matched(text, stems=None):
+    lexer = toxicity_grammar.Lexer(stems or {})
+    return {n[2:]: round(float(np.expm1(v))) for n, v in zip(toxicity_grammar.FEATURES, toxicity_grammar.features(text, lexer)) if v and n.startswith("n_")}
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("you are an idiot.", {"D": 1}),
+        ("an idiot.", {}),
+        ("The word idiot comes from Greek.", {"q": 1}),
+        ("idiot", {}),
+        ("The clown performed at the circus. Nobody was hurt.", {}),
+        ("an idiot you are", {"Y": 1}),
+        ("you are not an idiot.", {"d": 1}),
+        ("you are never stupid nor kind", {"d": 1}),
+        ("he said idiot.", {"q": 1}),
+        ("he is a moron", {"e": 1}),
+        ("not. you idiot", {"D": 1}),
+        ("IDIOT!! *** grobians", {"R": 1}),
+        ("this scum and that trash", {"R": 1}),
+        ("that scum. A day. Such trash.", {"R": 1}),
+        ("what mildly thing. Another mildling.", {"M": 1}),
+        ("you are mildly", {"d": 1}),
+        ("mildly mildest", {"R": 1}),
+        ("kill you", {"Y": 1}),
+        ("I will kill you", {"S": 1, "Y": 1}),
+        ("you, I will soon kill", {"T": 1}),
+        ("you kill time", {"u": 1}),
+        ("I will not kill you", {}),
+        (None, {}),
+        ("", {}),
+        ("the quiet day", {}),
+    ],
+)
+def test_grammar_matches(text, expected):
+    assert matched(text, {"grobian": "I", "mild": "i"}) == expected
+
+
+def one_by_one(symbols):
+    """The five machines said as plain programs over one clause after another."""
+    out, past = [], 0
+    clauses = "".join(symbols).split("b")
+    for clause in clauses:
+        line, left = [], 0  # negation
+        for c in clause:
+            if c == "n":
+                line.append("o")
+                left = 3
+                continue
+            line.append({"I": "i", "i": "o", "t": "o"}.get(c, c) if left else c)
+            left = max(0, left - 1)
+        stems, line2 = 0, []  # insult
+        for c in line:
+            line2.append("X" if c == "I" or c == "i" and stems else "x" if c == "i" else c)
+            stems += c in "iI"
+        line, left = [], 0  # threat
+        for c in line2:
+            if c == "m":
+                line.append("o")
+                left = 4
+                continue
+            line.append(("W" if left else "w") if c == "t" else c)
+            left = max(0, left - 1)
+        quoted = False  # reported
+        for i, c in enumerate(line):
+            if c == "r":
+                quoted, line[i] = True, "o"
+            elif c in "xXwW" and quoted:
+                line[i] = "q"
+        named = person = pending = False  # target
+        found = []
+        for c in line:
+            if c == "y":
+                if pending and not named and not person:
+                    found.append("Y")
+                named, pending = True, False
+            elif c == "h":
+                person = person or not (named or pending)
+            elif c == "q":
+                found.append("q")
+            elif c in "xXwW":
+                if named:
+                    found.append({"x": "d", "X": "D", "w": "u", "W": "T"}[c])
+                elif c == "W":
+                    found.append("S")
+                elif c == "X" and person:
+                    found.append("e")
+                elif c == "X" and past:
+                    found.append("R")
+                elif c == "x" and past:
+                    found.append("M")
+                past = max(past, {"x": 1, "X": 2, "w": 0, "W": 2}[c])
+                pending = pending or not (named or person)
+        out.append(found)
+    return out
+
+
+def test_grammar_against_plain_programs():
+    g = toxicity_grammar
+
+    def automaton(symbols):
+        state, out, here = 0, [], []
+        for c in symbols:
+            k = g.INPUT.index(c)
+            if (put := g.PUT[state][k]) >= 0:
+                here.append(g.OUTPUT[put])
+            state = g.FOLLOW[state][k]
+            if c == "b":
+                out.append(here)
+                here = []
+        return [*out, here]
+
+    for n in range(5):
+        for symbols in itertools.product(g.INPUT, repeat=n):
+            assert automaton(symbols) == one_by_one(symbols), symbols
+    rng = random.Random(2)
+    for _ in range(5000):
+        symbols = rng.choices(g.INPUT, k=rng.randint(5, 40))
+        assert automaton(symbols) == one_by_one(symbols), symbols
+
+
+def test_scores_without_labels():
+    texts = ["The word idiot comes from Greek.", "idiot", "She saw the clown.", "You are kind.", "", None, "You are an idiot.", "You, we will hurt.", "That scum is trash."]
+    got = toxicity_grammar.scored(texts, toxicity_grammar.Lexer({}), toxicity_grammar.PRIOR) >= toxicity_grammar.CUT
+    assert got.tolist() == [False] * 6 + [True] * 3
 
 
 def least_repair(roles):
