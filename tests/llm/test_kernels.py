@@ -3,6 +3,7 @@
 import heapq
 import itertools
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -388,5 +389,89 @@ def test_warc_round_trip_and_links():
     assert conv_block.decode().split("\n")[-2:] == ["One", "Two link"]
     assert b"title: T & U\r\n" in meta_block and b"outlink: /y\r\n" in meta_block and b"http-status: HTTP/1.1 200 OK\r\n" in meta_block
     data = b"".join(warc_derive.pack(*r) for r in (source, (meta, meta_block), (conv, conv_block)))
-    assert list(warc_derive.unpack(data)) == [source, (meta, meta_block), (conv, conv_block)]
+    assert list(warc_derive.unpack(data)) == [(*source, None), (meta, meta_block, None), (conv, conv_block, None)]
     assert warc_derive.response(None, None, None)[1].endswith(b"\r\n\r\n")
+
+
+def test_warc_records_that_are_not_whole():
+    source = warc_derive.response(1, "u", "<p>a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nb")
+    other = warc_derive.response(2, "v", "<p>c")
+    whole = warc_derive.pack(*source) + warc_derive.pack(*other)
+    assert [x[2] for x in warc_derive.unpack(whole)] == [None, None]
+    bad = [b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\n\r\n\r\n", b"WARC/1.1\r\nContent-Length: 2\r\n\r\nabcdef\r\n\r\n", b"WARC/1.1\r\nContent-Length: 20\r\n\r\nabc\r\n\r\n"]
+    got = list(warc_derive.unpack(b"".join(bad) + whole))
+    assert [x[2] for x in got] == ["no Content-Length", "no Content-Length", "more than 2 bytes", "3 of 20 bytes", None, None] or got[3][2].endswith("of 20 bytes")
+    assert got[-1][:2] == other
+    assert [x[2] for x in warc_derive.unpack(b"junk")] == ["no version line"] and list(warc_derive.unpack(b"")) == []
+
+
+@pytest.mark.parametrize(
+    "html, text, title, links",
+    [
+        ("<p>a<br>b</p><!-- no --><script>x<p></script>c", "a\nb\nc", "", []),
+        ("<head><title>T &lt; U</title><meta></head><body>x", "x", "T < U", []),
+        ("a < b <3 <a href='q\"r'>l</a> <a class=x href=/z>m</a><a title=\"href=no\">", 'a < b <3 l m', "", ['q"r', "/z"]),
+        ("x <a href=\"unclosed>y</a> z <b>w", "x y z w", "", []),
+        ("x <!-- open <p>y", "x", "", []),
+        ("x <style>y", "x", "", []),
+        ("x <b", "x", "", []),
+        ("&amp;lt; &eacute;", "&lt; é", "", []),
+        ("", "", "", []),
+    ],
+)
+def test_visible_text(html, text, title, links):
+    assert warc_derive.scan(html) == (text, title, links)
+
+
+HOSTILE = {
+    "div": "<div>" * 60_000, "comment": "<!--" * 60_000, "a": "<a " * 60_000, "paragraphs": "<b><p>" * 30_000, "ends": "<div>" * 30_000 + "</x>" * 60_000, "inline": "<b><article>" + "<i>" * 30_000 + "</b>" * 30_000, "quotes": "<a b=\"" * 30_000, "mixed": "<a \"'>" * 40_001,
+    "instructions": "<?" * 60_000, "references": "&" * 200_000, "scripts": "<script>" * 30_000, "titles": "<title>" * 30_000, "stray": "< " * 60_000, "items": "<ul><li>" * 30_000, "cells": "<table><tr><td>" * 20_000, "slashes": "</" * 60_000, "sections": "<![" * 30_000 + "<![foo]>", "attributes": "<a " + "x=1 " * 60_000 + ">", "equals": "<a " + "=" * 60_000 + ">", "href": "<a " + "href " * 60_000 + ">",
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_markup_takes_linear_time(kind):
+    began = time.process_time()
+    html_extract.extract(HOSTILE[kind])
+    warc_derive.scan(HOSTILE[kind])
+    assert time.process_time() - began < 3
+
+
+LONG = "<p>" + "A long paragraph of an article with many words in it, " * 6 + "</p>"
+SHORT = "A long paragraph of an article with many words in it, " * 5 + "A long paragraph of an article with many words in it,"
+
+
+@pytest.mark.parametrize(
+    "html, expected",
+    [
+        (f"<article><h1>T</h1>{LONG}<p>See <label>lab</label> and <math><mi>x</mi></math>.</p></article>", ["T", SHORT, "See lab and x."]),
+        (f"<article>{LONG}<section class='reviews'><h2>R</h2><p>Short.</p></section>{LONG}</article>", [SHORT, "R", "Short.", SHORT]),
+        (f"<main><div class='share-price-analysis'>{LONG}{LONG}</div><p>Tail.</p></main>", [SHORT, SHORT, "Tail."]),
+        (f"<article>{LONG}{LONG}<div><p>Al: nice</p><p>Bo: yes</p></div></article>", [SHORT, SHORT]),
+        (f"<body><nav>n</nav><div><div>{LONG * 4}</div><div>{LONG}</div></div><footer>f</footer>", [SHORT] * 5),
+        (f"<article>{LONG * 3}</article><article>{LONG}</article>", [SHORT] * 4),
+        (f"<article>{LONG * 3}<article><p>A comment.</p></article></article>", [SHORT] * 3),
+        (f"<div id=c><h1>Title</h1><div>{LONG}{LONG}</div></div><div><a href=x>one</a><a href=y>two</a></div>", ["Title", SHORT, SHORT]),
+        (f"<div>{LONG[3:-4]}</div><div>Brief.</div><div>{LONG[3:-4]}</div>", [SHORT, "Brief.", SHORT]),
+        (f"<div class='cookie-notice'>{LONG}</div><article>{LONG}<p>Under a licence.</article>", [SHORT, "Under a licence."]),
+        ("<![foo]><p>x <![CDATA[y]]> z</p><?php a ?>", ["x z"]),
+    ],
+)
+def test_regions(html, expected):
+    assert html_extract.extract(html).split("\n\n") == expected
+
+
+def test_made_pages_come_back():
+    rng = random.Random(31)
+    words = lambda a, b: " ".join(rng.choice(["alpha", "beta", "gamma", "of", "the", "&amp;", "é"]) for _ in range(rng.randint(a, b)))
+    for i in range(150):
+        parts = [f"<{t}>{x}</{t}>" for t, x in (("h1", words(3, 8)), *((rng.choice(["p", "p", "p", "blockquote", "h2", "li"]), words(*rng.choice([(30, 90), (30, 90), (1, 8)]))) for _ in range(rng.randint(3, 12))))]
+        parts[1] = f"<p>{words(50, 90)}</p>"
+        truth = [" ".join(x.replace("&amp;", "&").split()) for p in parts for x in [p.split(">", 1)[1].rsplit("<", 1)[0]]]
+        holder = rng.choice(["article", "main"])
+        around = [f"<nav><ul><li><a href=/>{words(1, 3)}</a></ul></nav>", f"<div class='{rng.choice(['ad', 'top-advert', 'sidebar'])}'>{words(5, 60)}</div>", f"<aside>{words(5, 60)}</aside>", f"<form><label>{words(1, 5)}</label><input></form>", f"<script>var x = '<p>{words(30, 60)}</p>';</script>", f"<header>{words(1, 9)}</header>"]
+        rng.shuffle(around)
+        k = rng.randrange(len(around))
+        inside = f"<section id=comments><p>{words(20, 40)}</p></section>" if i % 2 else ""
+        page = f"<html><head><title>{words(2, 5)}</title></head><body>{''.join(around[:k])}<{holder}>{''.join(parts)}{inside}</{holder}>{''.join(around[k:])}<footer>{words(3, 30)}</footer></body></html>"
+        assert html_extract.extract(page).split("\n\n") == truth, page
