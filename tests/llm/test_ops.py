@@ -267,7 +267,11 @@ def test_warc_files(spark, tmp_path):
     records = [warc_derive.response(i, f"http://a.example/{i}", f"<p>text {i}") for i in range(3)]
     (tmp_path / "a.warc").write_bytes(b"".join(warc_derive.pack(*r) for r in records))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(warc_derive.pack(*r)) for r in records))
+    (tmp_path / "c.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n" + warc_derive.pack(*records[0])[:-30])
+    (tmp_path / "d.warc").write_bytes(b"")
     got = warc_derive.derivatives_of_files(spark, str(tmp_path)).collect()
+    assert sorted(r.problem for r in got if r.record_type == "malformed")[-1] == "no WARC-Record-ID" and sum(r.record_type == "malformed" for r in got) == 2
+    got = [r for r in got if not r.problem]
     assert len(got) == 12 and Counter(bytes(r.block) for r in got if r.record_type == "conversion") == Counter({f"text {i}".encode(): 2 for i in range(3)})
 
 
