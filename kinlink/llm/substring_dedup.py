@@ -2,6 +2,8 @@
 
 Equal strings must meet, so text is cut by content: every LENGTH-byte window has a minimizer, the smallest hash of its GRAM-byte grams, and a maximal run of windows with one minimizer is a piece. Pieces go to shards by their minimizer; equal windows have equal minimizers, so all places of a string reach one shard. What a task has already seen under a smaller doc_id is settled there and not sent, so a passage that very many documents share arrives once per task.
 
+No shard grows with the corpus. Before anything is sent, the bytes of pieces are counted by minimizer. Windows whose minimizer has more than HOT bytes (a gram that is common all over the corpus) are keyed by a second, independent minimizer as well, and where such a pair still has more than HOT, by a hash of the whole window. All three are functions of the window, so equal windows still meet.
+
 In a shard, windows whose hash occurs in one document only are set aside. Over the rest a suffix array is built by Larsson-Sadakane refinement (sorting only the groups that are still tied, by the ranks a doubled distance ahead), common prefixes follow in Kasai's text order, and a run of suffixes with common prefixes of LENGTH bytes is one string; its smallest doc_id keeps it. A shard that outgrows a chunk is cut into chunks with a suffix array each, and their strings are merged by binary search.
 """
 
@@ -10,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +29,8 @@ SPREAD = LENGTH - GRAM + 1  # grams in a window
 CHUNK = (1 << 21) - 64  # bytes in a suffix array
 ROUTE = 16 << 20  # bytes of pieces that are sent to one group, about
 SUBS = 16  # shards in a group
+FINE = 64  # parts of a route that are counted each
+HOT = ROUTE  # bytes of pieces in such a part from which its windows are keyed more finely; so there is no more than one hot part for HOT bytes
 FLUSH = 24 << 20  # bytes of pieces that a task holds back
 BLOCK = 1 << 20  # bytes of documents cut at once
 MOST_BROADCAST = 1_000_000  # touched documents up to which their ids are broadcast
@@ -47,9 +52,9 @@ def words(buf: np.ndarray) -> np.ndarray:
     return (x[:-4] << np.uint64(32)) | x[4:]
 
 
-def minimizers(buf: np.ndarray) -> np.ndarray:
-    """For each window of buf the smallest hash among its grams."""
-    m = (_mix(words(buf)) >> np.uint64(32)).astype(np.uint32)
+def minimizers(w: np.ndarray) -> np.ndarray:
+    """For each window the smallest hash among its grams, from the words at all places."""
+    m = (_mix(w) >> np.uint64(32)).astype(np.uint32)
     width = 1
     while 2 * width <= SPREAD:
         m = np.minimum(m[:-width], m[width:])
@@ -58,15 +63,53 @@ def minimizers(buf: np.ndarray) -> np.ndarray:
     return np.minimum(m[:-rest], m[rest:]) if rest else m
 
 
-def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of texts: (number of the text, start in it, bytes, minimizer). Texts shorter than a window have none."""
+def _hashes(w: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """A hash of the LENGTH bytes of the windows at these places, from the words at all places."""
+    n = len(w) - LENGTH + GRAM
+    h = w[:n][at].copy()
+    for i in (*range(8, LENGTH - 8, 8), LENGTH - 8):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= w[i : i + n][at]
+    return _mix(h)
+
+
+class Keys:
+    """How windows are keyed: by their minimizer, those in a hot part by two, those in a part that is still hot by all of their bytes. hot has the hot parts of each step, ascending."""
+
+    def __init__(self, parts: int, hot: list[np.ndarray]):
+        self.parts, self.hot = np.uint64(parts), hot
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        return keys % self.parts
+
+    def _hot(self, keys: np.ndarray, step: int) -> np.ndarray:
+        found = self.part(keys)
+        at = np.minimum(np.searchsorted(self.hot[step], found), len(self.hot[step]) - 1)
+        return self.hot[step][at] == found
+
+    def of(self, w: np.ndarray) -> np.ndarray:
+        keys = _mix(minimizers(w).astype(np.uint64) + np.uint64(1))
+        if self.hot:
+            at = np.flatnonzero(self._hot(keys, 0))
+            if len(at):
+                second = minimizers(w ^ np.uint64(0xD6E8FEB86659FD93))[at]
+                keys[at] = _mix(keys[at] ^ _mix(second.astype(np.uint64) + np.uint64(1)))
+                if len(self.hot) > 1:
+                    at = at[self._hot(keys[at], 1)]
+                    keys[at] = _hashes(w, at)
+        return keys
+
+
+def cut(texts: list[bytes], by: Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts: (number of the text, start in it, bytes, key, a hash of the first and last window). Texts shorter than a window have none."""
     sizes = np.array([len(t) for t in texts], np.int64)
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if len(buf) < LENGTH:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint32),)
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    m = minimizers(buf)
+    w = words(buf)
+    m = by.of(w)
     whole = np.zeros(len(m) + 1, np.int8)  # windows that cross no end of a text
     has = sizes >= LENGTH
     np.add.at(whole, starts[has], 1)
@@ -80,7 +123,67 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     stop[:-1] &= fresh[1:] | ~whole[1:]
     last = np.flatnonzero(stop)
     text = np.searchsorted(ends, first, side="right")
-    return text, first - starts[text], last - first + LENGTH, m[first]
+    both = _hashes(w, first) ^ _mix(_hashes(w, last) + (last - first).astype(np.uint64))
+    return text, first - starts[text], last - first + LENGTH, m[first], both
+
+
+def _blocks(batch) -> Iterator[list[tuple[int, bytes]]]:
+    """(doc_id, text) of the rows with an id and a window, by doc_id in a batch, some BLOCK bytes at once."""
+    rows = sorted((d, t) for d, t in zip(batch.column("doc_id").to_pylist(), map(_encode, batch.column("text").to_pylist())) if d is not None and len(t) >= LENGTH)
+    at = 0
+    while at < len(rows):
+        stop, n = at, 0
+        while stop < len(rows) and (n == 0 or n + len(rows[stop][1]) <= BLOCK):
+            n += len(rows[stop][1])
+            stop += 1
+        yield rows[at:stop]
+        at = stop
+
+
+def _summed(parts: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return found, np.bincount(at, np.concatenate(sizes), len(found)).astype(np.int64)
+
+
+def _weigh(by: Keys):
+    """(part, bytes): bytes of pieces in each part, of those that a task would send."""
+
+    def run(batches):
+        seen: set[int] = set()
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held = 0
+        for batch in batches:
+            for rows in _blocks(batch):
+                _, _, lens, keys, both = cut([t for _, t in rows], by)
+                codes, at = np.unique(both, return_index=True)
+                fresh = at[np.fromiter((c not in seen for c in codes.tolist()), bool, len(codes))]
+                seen.update(codes.tolist())
+                parts.append(by.part(keys[fresh]).astype(np.int64))
+                sizes.append(lens[fresh])
+                held += int(lens[fresh].sum())
+                if held >= FLUSH:
+                    seen.clear()
+                    held = 0
+                    together = _summed(parts, sizes)
+                    parts, sizes = [together[0]], [together[1]]
+        if parts:
+            found, n = _summed(parts, sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["part", "bytes"])
+
+    return run
+
+
+def keyed(docs: DataFrame, routes: int, hot: int = HOT) -> Keys:
+    """How the windows of docs are to be keyed. The driver gets the hot parts alone, at most one for hot bytes of pieces, a long each."""
+    by = Keys(routes * FINE, [])
+    for _ in range(2):
+        weights = docs.mapInArrow(_weigh(by), "part long, bytes long").groupBy("part").agg(F.sum("bytes").alias("bytes"))
+        found = weights.filter(F.col("bytes") > hot).select("part").toPandas()["part"].to_numpy(np.uint64)
+        if not len(found):
+            break
+        by = Keys(routes * FINE, [*by.hot, np.sort(found)])
+    return by
 
 
 def _pack(pieces: list[bytes], docs: np.ndarray, crcs: np.ndarray, offs: np.ndarray, subs: np.ndarray) -> bytes:
@@ -204,15 +307,6 @@ def common_prefixes(buf: np.ndarray, order: np.ndarray, cap: int = LENGTH) -> np
     return plcp[order]
 
 
-def _hashes(w: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each window's LENGTH bytes."""
-    h = w[:n].copy()
-    for i in (*range(8, LENGTH - 8, 8), LENGTH - 8):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h ^= w[i : i + n]
-    return _mix(h)
-
-
 class Shard:
     """One chunk with its windows, their owners and, after solve(), the strings among them: reps, the first place of each, in order, and least, the smallest doc_id that has it."""
 
@@ -230,8 +324,7 @@ class Shard:
     def doubtful(self) -> np.ndarray:
         """Windows whose hash occurs in two documents or more."""
         w = words(np.concatenate([self.buf, np.zeros(8, np.uint8)]))
-        n = len(self.buf) - LENGTH + 1
-        h = _hashes(w, n)[self.valid]
+        h = _hashes(w, self.valid)
         cell = (h >> np.uint64(43)).astype(np.int64)
         some = np.flatnonzero(np.bincount(cell, minlength=1 << 21)[cell] > 1)
         order = some[np.argsort(h[some], kind="stable")]
@@ -345,8 +438,8 @@ def _encode(text: str | None) -> bytes:
 class Outbox:
     """What a task holds back: pieces that are new to it, and spans of pieces that it has seen under a smaller doc_id."""
 
-    def __init__(self, routes: int):
-        self.routes = routes
+    def __init__(self, routes: int, by: Keys):
+        self.routes, self.by = routes, by
         self.clear()
 
     def clear(self) -> None:
@@ -359,7 +452,7 @@ class Outbox:
     def take(self, rows: list[tuple[int, bytes]]) -> None:
         """rows (doc_id, text); the next ones may have smaller ids, as what is settled here needs only a smaller one before."""
         texts = [t for _, t in rows]
-        which, offs, lens, mins = cut(texts)
+        which, offs, lens, keys, _ = cut(texts, self.by)
         docs = np.array([d for d, _ in rows], np.int64)[which]
         crcs = np.array([zlib.crc32(t) for t in texts], np.int64)[which]
         kept = np.ones(len(which), bool)
@@ -375,8 +468,8 @@ class Outbox:
             else:
                 seen[piece] = doc
                 pieces.append(piece)
-        mixed = _mix(mins[kept].astype(np.uint64) + np.uint64(1))
-        self.columns.append((docs[kept], crcs[kept], offs[kept], (mixed % np.uint64(self.routes)).astype(np.int64), (mixed >> np.uint64(60)).astype(np.int64)))
+        keys = keys[kept]
+        self.columns.append((docs[kept], crcs[kept], offs[kept], (keys % np.uint64(self.routes)).astype(np.int64), (keys >> np.uint64(60)).astype(np.int64)))
         self.size += int(lens[kept].sum()) + 60 * int(kept.sum())
 
     def batches(self):
@@ -393,21 +486,14 @@ class Outbox:
         self.clear()
 
 
-def _spread(routes: int):
+def _spread(routes: int, by: Keys | None = None):
     """Blobs of pieces by route, and spans that the task settles itself, dealt by doc_id."""
 
     def run(batches):
-        box = Outbox(routes)
+        box = Outbox(routes, by or Keys(routes * FINE, []))
         for batch in batches:
-            rows = sorted((d, t) for d, t in zip(batch.column("doc_id").to_pylist(), map(_encode, batch.column("text").to_pylist())) if d is not None and len(t) >= LENGTH)
-            at = 0
-            while at < len(rows):
-                stop, n = at, 0
-                while stop < len(rows) and (n == 0 or n + len(rows[stop][1]) <= BLOCK):
-                    n += len(rows[stop][1])
-                    stop += 1
-                box.take(rows[at:stop])
-                at = stop
+            for rows in _blocks(batch):
+                box.take(rows)
                 if box.size >= FLUSH:
                     yield from box.batches()
         yield from box.batches()
@@ -451,11 +537,11 @@ def _gather(table: pa.Table) -> pa.Table:
     return pa.concat_tables([met, settled.cast(_SPAN)])
 
 
-def spans(docs: DataFrame) -> DataFrame:
+def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, crc, s, e): stretches of bytes that go, which may overlap; crc is the CRC-32 of the text's bytes and tells texts of one doc_id apart."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     routes = max(1, round(total * GROWTH / ROUTE))
-    return docs.mapInArrow(_spread(routes), _SENT_SQL).groupBy("route").applyInArrow(_gather, _SPAN_SQL)
+    return docs.mapInArrow(_spread(routes, keyed(docs, routes, hot)), _SENT_SQL).groupBy("route").applyInArrow(_gather, _SPAN_SQL)
 
 
 def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -486,13 +572,13 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removed(docs: DataFrame) -> DataFrame:
+def removed(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of docs.
 
     A null text is empty. Rows of one doc_id never remove from each other; each is judged by its own text, and repeated rows alike. A row without doc_id has no place in the order: it keeps everything and removes nothing. Texts of any length are taken whole. Columns other than doc_id and text are ignored. An empty table gives no rows. Ids of touched documents are broadcast only up to MOST_BROADCAST; beyond, the tables are joined by a shuffle.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = staged(spans(docs).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
+    marks = staged(spans(docs, hot).groupBy("doc_id", "crc").agg(F.collect_list(F.struct("s", "e")).alias("spans")))
     ids = marks.select("doc_id").distinct()
     if ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         ids = F.broadcast(ids)

@@ -50,18 +50,36 @@ def removed_brute(docs):
     return out
 
 
+def by_hand(docs, routes, hot):
+    """The keys that keyed() gives, without Spark."""
+    by = substring_dedup.Keys(routes * substring_dedup.FINE, [])
+    for _ in range(2):
+        rows = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in docs], "text": [t.decode() for _, t in docs]})
+        total = Counter()
+        for batch in substring_dedup._weigh(by)(iter([rows])):
+            for part, n in zip(*(c.to_pylist() for c in batch.columns)):
+                total[part] += n
+        found = np.array(sorted(p for p, n in total.items() if n > hot), np.uint64)
+        if not len(found):
+            break
+        by = substring_dedup.Keys(routes * substring_dedup.FINE, [*by.hot, found])
+    return by
+
+
+@pytest.mark.parametrize("hot", [0, 150, 1 << 30])
 @pytest.mark.parametrize("chunk", [700, 1 << 20])
-def test_substring_removal_is_exact(chunk, monkeypatch):
+def test_substring_removal_is_exact(chunk, hot, monkeypatch):
     whole = substring_dedup.resolve
     monkeypatch.setattr(substring_dedup, "resolve", lambda pieces: whole(pieces, chunk))
     rng = random.Random(3)
-    for _ in range(20):
+    for _ in range(20 if hot > 1000 else 4):
         docs = made_docs(rng, rng.randint(1, 80))
         batches = []
+        by = by_hand(docs, 1, hot) if docs else None
         for half in (docs[::2], docs[1::2]):
             if half:
                 rows = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in half], "text": [t.decode() for _, t in half]})
-                batches += substring_dedup._spread(1)(iter([rows]))
+                batches += substring_dedup._spread(1, by)(iter([rows]))
         got = defaultdict(list)
         if batches:
             for r in substring_dedup._gather(pa.Table.from_batches(batches, schema=substring_dedup._SENT)).to_pylist():
@@ -73,6 +91,23 @@ def test_substring_removal_is_exact(chunk, monkeypatch):
             assert (m == expected).all()
 
 
+def test_a_common_gram_does_not_fill_a_shard():
+    """One gram in every line, which is the minimizer of nearly all windows: its share of what is sent falls with the number of documents."""
+    rng = random.Random(9)
+    low = min((bytes(rng.choices(b"abcdefghijklmnop", k=8)) for _ in range(200_000)), key=lambda g: int(substring_dedup._mix(np.array([int.from_bytes(g)], np.uint64))[0]) >> 32)
+    shares = []
+    for n in (400, 1600):
+        docs = [(i, b" ".join(bytes(rng.choices(b"abcdefghijklmnop", k=12)) + low for _ in range(12))) for i in range(n)]
+        for hot in (1 << 30, 20_000):
+            by = by_hand(docs, 8, hot)
+            _, _, lens, keys, _ = substring_dedup.cut([t for _, t in docs], by)
+            by_key = Counter()
+            for k, size in zip(keys.tolist(), lens.tolist()):
+                by_key[k] += size
+            shares.append(max(by_key.values()) / sum(lens.tolist()))
+    assert shares[0] > 0.5 and shares[2] > 0.5 and shares[1] < 0.05 and shares[3] < 0.6 * shares[1]
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(5)
     for _ in range(20):
