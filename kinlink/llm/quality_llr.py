@@ -1,6 +1,6 @@
 """Quality rules: hashed n-gram log-likelihood ratios.
 
-Two multinomials over hashed byte n-grams are counted, one over the trusted target (documents labelled of quality 1), one over the raw corpus (all documents). A document's score is the mean over its n-grams of log p_target - log p_raw. Every document gets its verdict from one fixed threshold on the score; nothing is sampled.
+Two multinomials over hashed byte n-grams are counted, one over the trusted target (documents labelled of quality 1), one over the raw corpus (all documents). A document's score is the mean over its n-grams of log p_target - log p_raw. The ratios are whole numbers of 1 / SCALE, so sums do not depend on their order and the verdict is the same on every run. Every document gets it from one fixed threshold on the score; nothing is sampled.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from .common import staged, table
 ORDERS = (2, 3, 4)  # bytes in an n-gram
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
+SCALE = 1 << 16  # steps of a log-likelihood ratio of 1
 BINS = 1 << 16  # of scores, in the search for the threshold
 WINDOW = 5
 REPEATED = 20  # per cent of words in repeated windows
@@ -73,7 +74,7 @@ def _counts(batches):
 
 
 def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw by bucket. All documents are counted for the raw corpus, all trusted ones for the target; labels meet texts by a shuffle on doc_id. Counts are summed on the executors; the driver gets the two multinomials, 2 * BUCKETS numbers at any size of the corpus."""
+    """SCALE * (log p_target - log p_raw) by bucket, rounded. All documents are counted for the raw corpus, all trusted ones for the target; labels meet texts by a shuffle on doc_id. Counts are summed on the executors; the driver gets the two multinomials, 2 * BUCKETS numbers at any size of the corpus."""
     # rows without doc_id are trusted nowhere; the salt deals them out
     ids = trusted.select("doc_id", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("good"))
     salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
@@ -82,7 +83,7 @@ def ratios(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
     p = np.full((2, BUCKETS), SMOOTHING)
     np.add.at(p, (rows["which"].to_numpy(int), rows["bucket"].to_numpy(int)), rows["n"].to_numpy(float))
     p = np.log(p / p.sum(axis=1, keepdims=True))
-    return (p[1] - p[0]).astype(np.float32)
+    return np.rint(SCALE * (p[1] - p[0])).astype(np.int64)
 
 
 def rules(text: str | None) -> tuple[int, int, int, int, int]:
@@ -128,11 +129,11 @@ def repeated(words: list[bytes]) -> int:
 
 def score(text: str | None, weights: np.ndarray) -> float:
     """The mean log-likelihood ratio of the text's n-grams; 0 without any."""
-    total, n = 0.0, 0
+    total, n = 0, 0
     for g in pieces(_encode(text)):
-        total += float(weights[g].sum(dtype=np.float64))
+        total += int(weights[g].sum())
         n += len(g)
-    return total / n if n else 0.0
+    return total / n / SCALE if n else 0.0
 
 
 _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
@@ -212,4 +213,39 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_quality_llr": op2}
-ORACLES: dict[str, str] = {}
+
+
+def _oracle() -> str:
+    """The same in SQL: n-grams from the bytes one by one, and the best of all cuts."""
+    word = "[^\\x20\\x09-\\x0D]+"
+    grams = []
+    for order in ORDERS:
+        value = f"{order}::UBIGINT"
+        for i in range(order):
+            value = f"(({value}) * 257::UBIGINT + b[i + {i}]) % 4294967296::UBIGINT"
+        grams.append(f"SELECT r, ({value}) * 2654435769::UBIGINT % 4294967296::UBIGINT AS v FROM (SELECT r, b, unnest(range(1, len(b) - {order - 2})) AS i FROM bytes) o{order}")
+    window = " || ' ' || ".join(f"w[i + {i}]" for i in range(WINDOW))
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
+bytes AS (SELECT r, [CAST('0x' || x AS UBIGINT) for x in regexp_extract_all(hex(encode(t)), '..')] AS b FROM d),
+grams AS (SELECT r, xor(v, v >> 15) * 2246822519::UBIGINT % 4294967296::UBIGINT >> 16 AS g FROM ({" UNION ALL ".join(grams)}) x),
+lab AS (SELECT doc_id, max(quality) AS quality FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+marked AS (SELECT d.r, quality FROM d LEFT JOIN lab ON lab.doc_id = d.doc_id),
+counts AS (SELECT g, count(*) AS raw, count(*) FILTER (quality = 1) AS good FROM grams JOIN marked USING (r) GROUP BY g),
+total AS (SELECT sum(raw) + {BUCKETS} AS raw, sum(good) + {BUCKETS} AS good FROM counts),
+weight AS (SELECT g, CAST(round_even({SCALE} * (ln((counts.good + 1) / CAST(total.good AS DOUBLE)) - ln((counts.raw + 1) / CAST(total.raw AS DOUBLE))), 0) AS BIGINT) AS x FROM counts, total),
+scored AS (SELECT r, CAST(sum(x) AS DOUBLE) / count(*) / {SCALE} AS score FROM grams JOIN weight USING (g) GROUP BY r),
+windows AS (SELECT r, i, {window} AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d) x),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS n FROM windows) x WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + o) AS n FROM again, (SELECT unnest(range(0, {WINDOW})) AS o) x GROUP BY r),
+lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) x WHERE regexp_matches(l, '{word}') GROUP BY r),
+base AS (SELECT d.r, d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in w]), 0) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(score, 0) AS score, len(w) < {FEWEST} OR 100 * coalesce(covered.n, 0) > {REPEATED} * len(w) AS base_failed
+  FROM d LEFT JOIN lines USING (r) LEFT JOIN covered USING (r) LEFT JOIN scored USING (r)),
+known AS (SELECT score, quality FROM base JOIN marked USING (r) WHERE NOT base_failed AND quality IN (0, 1)),
+by_score AS (SELECT score, sum(CAST(quality = 1 AS INT)) AS good, sum(CAST(quality = 0 AS INT)) AS bad FROM known GROUP BY score),
+run AS (SELECT score, lag(score) OVER (ORDER BY score) AS before, CAST(sum(good) OVER (ORDER BY score DESC) AS DOUBLE) / sum(good) OVER () + CAST(sum(bad) OVER (ORDER BY score) - bad AS DOUBLE) / sum(bad) OVER () AS parted, sum(good) OVER () AS goods, sum(bad) OVER () AS bads FROM by_score),
+best AS (SELECT CASE WHEN before IS NULL THEN score ELSE (score + before) / 2 END AS cut FROM run WHERE goods > 0 AND bads > 0 ORDER BY parted DESC, score LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score >= (SELECT cut FROM best), true) AS kept, score FROM base"""
+
+
+ORACLES = {"op2_quality_llr": _oracle()}

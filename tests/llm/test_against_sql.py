@@ -6,7 +6,7 @@ import time
 import duckdb
 import pytest
 
-from kinlink.llm import decontamination, secret_links
+from kinlink.llm import decontamination, quality_llr, secret_links
 
 
 def in_sql(sql, columns, **tables):
@@ -86,3 +86,13 @@ def test_leaks_as_in_sql(spark):
     got = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")).select(*columns).collect()
     expected = in_sql(decontamination.ORACLE, columns, documents=("doc_id BIGINT, text VARCHAR", rows), benchmark=("item_id BIGINT, text VARCHAR", items))
     assert sorted(map(tuple, got), key=str) == expected and len(expected) > 100
+
+
+@pytest.mark.parametrize("labels", [[(i, i % 2) for i in range(0, 100, 3)] + [(6, 1), (None, 1), (9, None)], [(i, 1) for i in range(9)], []])
+def test_quality_as_in_sql(spark, labels):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["", "x "]) + " ".join(rng.choice(["la", "é#", "mi\n", "sol", "f<a", "la la\x0b"]) for _ in range(rng.randint(0, 60)))) for i in range(100)]
+    rows += [(None, None), (5, "a second text"), (200, ""), rows[3], rows[3], (None, "no id " * 12), (201, "\n \n")]
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score"]
+    got = quality_llr.judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).select(*columns).collect()
+    assert sorted(map(tuple, got), key=str) == in_sql(quality_llr.ORACLES["op2_quality_llr"], columns, documents=("doc_id BIGINT, text VARCHAR", rows), labels=("doc_id BIGINT, quality INTEGER", labels))

@@ -177,6 +177,45 @@ def test_quality_parts_junk(spark):
     assert all(got[i] == (i % 3 > 0) for i in range(150))
 
 
+def test_quality_against_plain_counts(spark):
+    rng = random.Random(15)
+    rows = [(i, prose(rng, rng.randint(0, 40)) + rng.choice(["", " ***", " é<", "\n"])) for i in range(80)] + [(3, "other text of a known id, long enough to pass the rules here"), (None, prose(rng, 30)), (90, None), (91, "")]
+    rows += [rows[7], rows[7], (92, rows[8][1])]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 70, 2)] + [(4, 0), (92, None), (None, 1), (999, 1)]
+    marks = {}
+    for d, q in labels:
+        if d is not None and q is not None:
+            marks[d] = max(q, marks.get(d, 0))
+
+    def grams(t):
+        out = []
+        data = (t or "").encode()
+        for n in quality_llr.ORDERS:
+            for i in range(len(data) - n + 1):
+                v = n
+                for b in data[i : i + n]:
+                    v = (v * 257 + b) % 2**32
+                v = v * 2654435769 % 2**32
+                v ^= v >> 15
+                out.append(v * 2246822519 % 2**32 >> 16)
+        return out
+
+    raw, good = Counter(), Counter()
+    for d, t in rows:
+        raw.update(grams(t))
+        good.update(grams(t) if marks.get(d) == 1 else ())
+    n_raw, n_good = sum(raw.values()) + quality_llr.BUCKETS, sum(good.values()) + quality_llr.BUCKETS
+    weight = lambda g: round(quality_llr.SCALE * (np.log((good[g] + 1) / n_good) - np.log((raw[g] + 1) / n_raw)))
+    score = lambda t: sum(map(weight, grams(t))) / len(grams(t)) / quality_llr.SCALE if grams(t) else 0.0
+    failed = lambda t: (r := quality_llr.rules(t))[0] < 10 or 100 * r[4] > 20 * r[0]
+    known = [(score(t), marks[d]) for d, t in rows if d in marks and not failed(t)]
+    cut = quality_llr.threshold(np.array([s for s, q in known if q]), np.array([s for s, q in known if not q]))
+    expected = Counter((d, score(t), failed(t), not failed(t) and score(t) >= cut) for d, t in rows)
+    got = quality_llr.judge(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert Counter((r.doc_id, r.score, r.base_failed, r.kept) for r in got) == expected
+    assert {r.kept for r in got if not r.base_failed} == {True, False}
+
+
 def test_quality_counts_all_trusted_documents(spark):
     n = 20_600
     docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20_500, F.lit("abab")).otherwise(F.lit("cdcd")).alias("text")).unionByName(spark.createDataFrame([(None, "abab")] * 5, "doc_id long, text string"))
@@ -186,7 +225,7 @@ def test_quality_counts_all_trusted_documents(spark):
         for g in quality_llr.pieces(text.encode()):
             np.add.at(raw, g, trusted + rest)
             np.add.at(target, g, trusted)
-    assert got == pytest.approx(np.log(target / target.sum()) - np.log(raw / raw.sum()), abs=1e-5)
+    assert got == pytest.approx(quality_llr.SCALE * (np.log(target / target.sum()) - np.log(raw / raw.sum())), abs=0.501)
 
 
 def test_quality_threshold_of_all_labels(spark):
