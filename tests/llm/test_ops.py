@@ -554,20 +554,33 @@ def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     rows, item = corpus(3, 80)
-    rows = [(i, *r[1:]) for i, r in enumerate(rows) if r[0] is not None]
+    rows += [(2000, "You are an idiot, you worthless scum, and so on it goes.", "en", "src1", 1), (2001, None, None, None, None), (None, "a document without id that says something of its own in many words", "en", "src0", 1), (None, item, "en", "src0", 1)]
     spark.createDataFrame(rows, DOCS).withColumn("fp", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([(0, 1, 0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     # brute force, stage by stage
-    lexer, w = toxicity_grammar.Lexer({}), toxicity_grammar.PRIOR
-    left = [r for r in rows if 1 / (1 + np.exp(-(np.dot(toxicity_grammar.features(r[1], lexer), w[:-1]) + w[-1]))) < 0.3]
-    roots = find_components([simhash_dedup.fingerprint(r[1]) for r in left])
+    lexer = toxicity_grammar.Lexer({})
+    left = [r for r in rows if toxicity_grammar.scored([r[1]], lexer, toxicity_grammar.PRIOR)[0] < 0.3]
+    assert len(left) < len(rows)
+    prints = [simhash_dedup.fingerprint(r[1]) for r in left]
+    grams = [set(simhash_dedup.shingles(r[1]).tolist()) for r in left]
+    ids = list(range(len(left)))
+
+    def root(i):
+        while ids[i] != i:
+            i = ids[i]
+        return i
+
+    for i in range(len(left)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or grams[i] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                ids[root(i)] = root(j)
     first = {}
-    for r, c in zip(left, roots):
-        first[c] = min(first.get(c, r[0]), r[0])
-    left = [r for r in left if r[0] in first.values()]
-    bad = {d for d, _ in leaks_at_every_start([(r[0], r[1]) for r in left], [(1, item)])}
+    for i, r in enumerate(left):
+        first[root(i)] = min(first.get(root(i), (True, 0, None)), (r[0] is None, r[0] or 0, r), key=lambda x: x[:2]) if root(i) in first else (r[0] is None, r[0] or 0, r)
+    left = [x[2] for x in first.values()]
+    bad = {d for d, _ in leaks_at_every_start([(r[0], r[1]) for r in left if r[0] is not None], [(1, item)])}
     left = [r for r in left if r[0] not in bad]
     texts = {}
     for d, t, *_ in left:
@@ -575,17 +588,29 @@ def test_pipeline(spark, tmp_path):
         for s, _, e in base_spans(t):
             out += (t[at:s] + "[secret]") if s >= at else ""
             at = max(at, e)
-        texts[d] = None if t is None else out + t[at:]
-    whole = {d: len((t or "").split()) for d, t in texts.items()}
-    assert set(got) <= set(texts) and bad
-    assert all(got[d].text == texts[d] and got[d].size == whole[d] and got[d].taken == got[d].copies * whole[d] for d in got)
+        texts[d, None if t is None else out + t[at:]] = len((t or "").split()) if t is None else len((out + t[at:]).split())
+    assert {(r.doc_id, r.text) for r in got} <= set(texts) and bad and len({(r.doc_id, r.text) for r in got}) == len(got)
+    assert all(r.size == texts[r.doc_id, r.text] and r.taken == r.copies * r.size > 0 for r in got)
     sums, goal = Counter(), {}
-    for r in got.values():
+    for r in got:
         sums[r.source] += r.taken
         goal[r.source] = r.target
     assert all(abs(sums[s] - goal[s]) <= 30 for s in goal)
 
 
+def test_pipeline_of_empty_tables(spark, tmp_path, none):
+    import corpus_pipeline
+
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    docs = none
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0 and list(docs.columns[:5]) == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_entry_works_without_this_package(tmp_path):
     import os
     import shutil
