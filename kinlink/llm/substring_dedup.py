@@ -27,12 +27,12 @@ LENGTH = 50
 GRAM = 8
 SPREAD = LENGTH - GRAM + 1  # grams in a window
 CHUNK = (1 << 21) - 64  # bytes in a suffix array
-ROUTE = 16 << 20  # bytes of pieces that are sent to one group, about
+ROUTE = 8 << 20  # bytes of pieces that are sent to one group, about
 SUBS = 16  # shards in a group
 FINE = 64  # parts of a route that are counted each
 HOT = ROUTE  # bytes of pieces in such a part from which its windows are keyed more finely; so there is no more than one hot part for HOT bytes
-FLUSH = 24 << 20  # bytes of pieces that a task holds back
-BLOCK = 1 << 20  # bytes of documents cut at once
+FLUSH = 14 << 20  # bytes of pieces that a task holds back
+BLOCK = 1 << 19  # bytes of documents cut at once
 MOST_BROADCAST = 1_000_000  # touched documents up to which their ids are broadcast
 GROWTH = 3.3  # bytes of pieces for a byte of text
 
@@ -533,6 +533,7 @@ def _gather(table: pa.Table) -> pa.Table:
             pieces, gone = distinct(Pieces.join(held))
             rows += gone
             rows += resolve(pieces)
+    pa.default_memory_pool().release_unused()
     met = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _SPAN.types)], schema=_SPAN)
     return pa.concat_tables([met, settled.cast(_SPAN)])
 
