@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged, table
+from .common import WORD, small, staged, table
 
 WEIGHTS = (1, 2, 3)
 MOST_COPIES = 3
 SEED = 20240613
 LEVELS, _BITS = 3, 6  # times the seeded hash is counted by so many more of its bits before any document is ranked
+MOST_GROUPS = 300_000  # sources' lengths up to which the plan is broadcast, some 100 bytes each
 MOST_BUDGET = 1 << 22  # words that the knapsack's table covers; 5 bytes each
 
 
@@ -173,14 +174,14 @@ def fitted(rows: DataFrame) -> DataFrame:
     goals = targets(lengths.groupBy("skey", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
     planned = lengths.join(goals.select("skey", "source_size", "target"), "skey")
     plan = staged(planned.groupBy("skey").applyInPandas(_plan, "skey string, size long, n long, source_size long, target double, rounds long, extra long"))
-    some = rows.join(plan.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).select(*_GROUP, "extra"), list(_GROUP))
+    some = rows.join(small(plan.filter((F.col("extra") > 0) & (F.col("extra") < F.col("n"))).select(*_GROUP, "extra"), MOST_GROUPS), list(_GROUP))
     edge = edges(some.select(_named().alias("g"), "h", "extra"))
     return staged(plan.withColumn("g", _named()).join(edge, "g", "left").drop("g"))
 
 
 def drawn(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with source_size, target and taken."""
-    rows = rows.join(plan, list(_GROUP)).withColumn("leaf", F.shiftrightunsigned("h", 64 - LEVELS * _BITS))
+    rows = rows.join(small(plan, MOST_GROUPS), list(_GROUP)).withColumn("leaf", F.shiftrightunsigned("h", 64 - LEVELS * _BITS))
     at_edge = F.coalesce(F.col("leaf") == F.col("at"), F.lit(False))
     ranked = rows.filter(at_edge).withColumn("r", F.concat(_named(), F.lit("|")))
     ranked = ranked.withColumn("more", F.row_number().over(Window.partitionBy("r").orderBy("h", "doc_id")) <= F.col("need")).drop("r")
