@@ -48,8 +48,9 @@ def segments(unknown: DataFrame, vocab: DataFrame) -> DataFrame:
     """(country, tok, pieces): the cut of each distinct unknown token (country, tok), by its country's vocabulary, one country at a time in a task."""
     totals = vocab.groupBy("country").agg(F.sum("n").alias("total"))
     words = vocab.join(totals, "country").filter((F.length("tok") >= rules.SEGMENT_PIECE) & (F.col("n") >= rules.SEGMENT_COUNT))
-    # only words that occur inside some unknown token travel, and each token meets its own substrings only
-    spans = unknown.select("country", "tok", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - rules.SEGMENT_PIECE + 1), lambda i: F.transform(F.sequence(F.lit(rules.SEGMENT_PIECE), F.length("tok") - i + 1), lambda n: F.substring(F.col("tok"), i, n)))).alias("row"))
+    # only words that occur inside some unknown token travel, and each token meets its own substrings only, none longer than the longest word
+    longest = words.agg(F.max(F.length("tok"))).first()[0] or rules.SEGMENT_PIECE
+    spans = unknown.select("country", "tok", F.explode(F.transform(F.sequence(F.lit(1), F.length("tok") - rules.SEGMENT_PIECE + 1), lambda i: F.transform(F.sequence(F.lit(rules.SEGMENT_PIECE), F.greatest(F.lit(rules.SEGMENT_PIECE), F.least(F.lit(longest), F.length("tok") - i + 1))), lambda n: F.substring(F.col("tok"), i, n)))).alias("row"))
     parts = spans.select("country", "tok", F.explode("row").alias("word")).distinct()
     met = parts.join(words.select("country", F.col("tok").alias("word"), (F.log(F.col("n") / F.col("total"))).alias("p")), ["country", "word"])
     grouped = met.groupBy("country", "tok").agg(F.map_from_entries(F.collect_list(F.struct("word", "p"))).alias("words"))
@@ -71,10 +72,10 @@ def unglued(rows: DataFrame, vocab: DataFrame, column: str) -> DataFrame:
     return rows.join(whole, ["country", "src", "idx"], "left").withColumn(column, F.coalesce("_new", column)).drop("_new")
 
 
-def name_fields(rows: DataFrame, vocab: DataFrame | None = None) -> DataFrame:
-    """rows (country, src, idx, name_raw, ..) with name_clean, name_core, name_alt, name_concat, name_phon and the name's flags; vocab turns on the segmentation of glued words."""
-    rows = rows.withColumn("name_clean", text.clean(F.col("name_raw")))
-    base = text.clean(text.without_tags(F.col("name_raw")))
+def name_fields(rows: DataFrame, vocab: DataFrame | None = None, known: dict[str, str] | None = None) -> DataFrame:
+    """rows (country, src, idx, name_raw, ..) with name_clean, name_core, name_alt, name_concat, name_phon and the name's flags; vocab turns on the segmentation of glued words, known is the learned dictionary of Indic words."""
+    rows = rows.withColumn("name_clean", text.clean(F.col("name_raw"), known=known))
+    base = text.clean(text.without_tags(F.col("name_raw")), known=known)
     rows = rows.withColumn("_x", F.array_join(F.transform(text.tokens(base), text.unleet), " "))
     main, after, found = text.marker_split(F.col("_x"))
     rows = rows.withColumns({"_main": text.tokens(main), "_after": text.tokens(after), "name_has_marker": found})
@@ -102,12 +103,12 @@ def _phrase(tokens: Column, phrases: list[str]) -> Column:
     return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")).rlike(" (?:" + "|".join(phrases) + ") ")
 
 
-def address_fields(rows: DataFrame) -> DataFrame:
-    """rows (country, addr_raw, ..) with addr_clean, addr_core, state, addr_nums, house_num and the address's flags.
+def address_fields(rows: DataFrame, known: dict[str, str] | None = None, states: dict[str, str] | None = None) -> DataFrame:
+    """rows (country, addr_raw, ..) with addr_clean, addr_core, state, addr_nums, house_num and the address's flags; known and states are the learned dictionaries of Indic words and of whole components.
 
     The last component that is a state as a whole gives the state and goes; abbreviations are written out, two-token ones first.
     """
-    cleaned = text.clean(F.col("addr_raw"), address=True)
+    cleaned = text.clean(F.col("addr_raw"), True, known, states)
     comps = F.transform(F.split(cleaned, ","), lambda c: F.array_join(F.filter(F.split(c, " "), lambda t: (t != "null") & (t != "")), " "))
     rows = rows.withColumn("_c", F.filter(comps, lambda c: (c != "") & ~c.isin(rules.PLACEHOLDERS)))
     country = F.col("country")
@@ -138,10 +139,10 @@ def address_fields(rows: DataFrame) -> DataFrame:
     ).drop("_c", "_s", "_at", "_raw", "_t", "_n")
 
 
-def records(raw: DataFrame, segmented: bool = True) -> DataFrame:
-    """The records relation from raw rows (src, idx, entity_id, country, name_raw, addr_raw)."""
+def records(raw: DataFrame, segmented: bool = True, known: dict[str, str] | None = None, states: dict[str, str] | None = None) -> DataFrame:
+    """The records relation from raw rows (src, idx, entity_id, country, name_raw, addr_raw); known and states are learned (translit_learn)."""
     vocab = None
     if segmented:
-        ones = raw.filter("src = 1").withColumn("name_clean", text.clean(F.col("name_raw")))
+        ones = raw.filter("src = 1").withColumn("name_clean", text.clean(F.col("name_raw"), known=known))
         vocab = vocabulary(ones)
-    return address_fields(name_fields(raw, vocab))
+    return address_fields(name_fields(raw, vocab, known), known, states)

@@ -77,7 +77,7 @@ SELECT src, idx, plain_name, array_to_string([t for t in string_split(plain_name
 nullif(regexp_extract(regexp_replace(a, '(^|[^0-9])([0-9]{{3}}) ([0-9]{{3}})([^0-9]|$)', '\\1\\2\\3\\4', 'g'), '^.*(?:^|[^0-9])([0-9]{{5,6}})(?:[^0-9]|$)', 1), '') AS postal,
 nullif(regexp_extract(a, '(?:^|[^0-9])([0-9]{{1,4}})(?:[^0-9]|$)', 1), '') AS house,
 regexp_matches(a, '(?:^| )(?:near|nr|opp|opposite|behind|beside|next to|adjacent|in front of|above)(?: |$)') AS landmark,
-regexp_matches(lower(name_raw), '{text.DBA}') AS trade_marker FROM n""",
+regexp_matches(lower(name_raw), '{rules.TRADE_MARKER}') AS trade_marker FROM n""",
         "raw",
     ),
 )
