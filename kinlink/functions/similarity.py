@@ -102,16 +102,22 @@ def _pairwise(function):
 _ratio, _partial, _jaro = _pairwise(ratio_of), _pairwise(partial_ratio_of), _pairwise(jaro_winkler_of)
 
 
+def _settled(run, a: Column, b: Column, same: float) -> Column:
+    """run(a, b), but equal sides score same and an empty one 0 without being sent."""
+    open_ = (a != b) & (a != "") & (b != "")
+    return F.when(a == b, F.lit(same).cast("float")).when((a == "") | (b == ""), F.lit(0.0).cast("float")).otherwise(run(F.when(open_, a), F.when(open_, b)))
+
+
 def ratio(a: Column, b: Column) -> Column:
-    return _ratio(a, b)
+    return _settled(_ratio, a, b, 100.0)
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
-    return _partial(a, b)
+    return _settled(_partial, a, b, 100.0)
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    return _jaro(a, b)
+    return _settled(_jaro, a, b, 1.0)
 
 
 def _sorted(x: Column) -> Column:
@@ -120,7 +126,7 @@ def _sorted(x: Column) -> Column:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """ratio of the texts with their tokens sorted."""
-    return _ratio(_sorted(a), _sorted(b))
+    return ratio(_sorted(a), _sorted(b))
 
 
 def set_ratio_of(a: str, b: str) -> float:
@@ -139,9 +145,15 @@ def set_ratio_of(a: str, b: str) -> float:
     return best
 
 
-_set = _pairwise(set_ratio_of)
-
-
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """The best of the ratios among common tokens, common plus left and common plus right ones; 100 if one side's tokens are all common, 0 if a side is empty. Equal and empty sides are settled without the batch."""
-    return F.when((a == "") | (b == ""), F.lit(0.0).cast("float")).otherwise(_set(a, b))
+    """The best of the ratios among common tokens, common plus left and common plus right ones; 100 if one side's tokens are all common, 0 if a side is empty. Sets, these cases and the ratios with the common tokens, which are a prefix, are made in place; only the ratio of the two fuller texts is sent."""
+    tokens = lambda x: F.array_sort(F.array_distinct(F.filter(F.split(x, " "), lambda t: t != "")))
+    x, y = tokens(a), tokens(b)
+    both = F.array_join(F.array_intersect(x, y), " ")
+    left, right = (F.array_join(F.array_except(p, q), " ") for p, q in ((x, y), (y, x)))
+    fuller = lambda rest: F.when(both == "", rest).otherwise(F.concat(both, F.lit(" "), rest))
+    ab, ba, n = fuller(left), fuller(right), F.length(both)
+    prefix = lambda z: F.when(n > 0, 200.0 * n / (n + F.length(z))).otherwise(0.0)
+    open_ = (F.size(x) > 0) & (F.size(y) > 0) & (left != "") & (right != "")
+    best = F.greatest(_ratio(F.when(open_, ab), F.when(open_, ba)).cast("double"), prefix(ab), prefix(ba))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).when((left == "") | (right == ""), F.when(n > 0, 100.0).otherwise(0.0)).otherwise(best).cast("float")

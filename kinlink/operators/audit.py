@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LINK_TOKENS = {
-    "phone": r"\+?(?:[0-9][ ().-]{0,2}){6,}[0-9]",
-    "id_tag": r"(?i)\bid\s*:?\s*[0-9]+",
-    "hash_tag": r"#\s*[0-9]+",
-    "handle": r"@[A-Za-z0-9_]{3,}",
-    "domain": r"(?i)\b[a-z0-9-]+\.(?:com|net|org|in|co|fr|io|biz|info|us)\b",
-}
-
+from ..functions import rules
+from .decide import link_key
 
 def overlap(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
     """(n, n_shared): rows of left, and those whose columns occur in right."""
     return left.agg(F.count(F.lit(1)).alias("n")).crossJoin(left.join(right.select(*cols).distinct(), cols, "left_semi").agg(F.count(F.lit(1)).alias("n_shared")))
 
 
-def link_tokens(rows: DataFrame, column: str, kind: str) -> DataFrame:
-    """rows with tok: each distinct link token of a kind in the column."""
-    return rows.withColumn("tok", F.explode(F.array_distinct(F.regexp_extract_all(F.col(column), F.lit(LINK_TOKENS[kind]), F.lit(0)))))
+def link_tokens(rows: DataFrame, kind: str) -> DataFrame:
+    """rows (.., name_raw, addr_raw) with tok: each distinct link token of a kind, from the name, phones from the address too. Phones are their digits, domains in lower case."""
+    pattern, group = rules.LINK_TOKENS[kind]
+    source = F.concat_ws(" ", "name_raw", "addr_raw") if kind == "phone" else F.col("name_raw")
+    found = F.regexp_extract_all(source, F.lit(pattern), F.lit(group))
+    if kind == "phone":
+        found = F.filter(F.transform(found, lambda x: F.regexp_replace(x, "[^0-9]", "")), lambda x: F.length(x) >= 7)
+    elif kind == "domain":
+        found = F.transform(found, F.lower)
+    return rows.withColumn("tok", F.explode(F.array_distinct(found)))
 
 
 def pair_precision(rows: DataFrame, key: list[str], entity: str) -> DataFrame:
@@ -31,6 +34,32 @@ def pair_precision(rows: DataFrame, key: list[str], entity: str) -> DataFrame:
     return total.withColumn("precision", F.when(F.col("n_pairs") > 0, F.col("n_true_pairs") / F.col("n_pairs")))
 
 
+def token_report(rows: DataFrame, kinds: tuple[str, ...] = tuple(rules.LINK_TOKENS)) -> DataFrame:
+    """(kind, n_records, n_pairs, n_true_pairs, precision, n_covered): of each kind of link token the records that carry one, pairs that share one within a country, those of one entity, and entities (0 or more) of which two records share one. rows (src, idx, country, entity, name_raw, addr_raw)."""
+    toks = reduce(DataFrame.unionByName, [link_tokens(rows, k).select(F.lit(k).alias("kind"), "src", "idx", "country", "entity", "tok") for k in kinds])
+    carriers = toks.select("kind", "src", "idx").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n_records"))
+    pairs = lambda n: F.coalesce(F.sum(F.col(n) * (F.col(n) - 1) / 2), F.lit(0.0))
+    by_entity = toks.groupBy("kind", "country", "tok", "entity").agg(F.count(F.lit(1)).alias("m"))
+    whole = by_entity.groupBy("kind", "country", "tok").agg(F.sum("m").alias("n"), pairs("m").alias("same")).groupBy("kind").agg(pairs("n").alias("n_pairs"), F.sum("same").alias("n_true_pairs"))
+    covered = by_entity.filter("entity >= 0 and m > 1").groupBy("kind").agg(F.count_distinct("entity").alias("n_covered"))
+    found = carriers.join(whole, "kind").join(covered, "kind", "left").na.fill(0, ["n_covered"])
+    return found.withColumn("precision", F.when(F.col("n_pairs") > 0, F.col("n_true_pairs") / F.col("n_pairs")))
+
+
+def rule_report(rows: DataFrame, link_rules: tuple[str, ...]) -> DataFrame:
+    """(rule, n_pairs, n_true_pairs, precision, coverage): of each link rule the pairs of one source and country that it links, those of one entity, and their share of all pairs of one entity and source. rows (src, idx, country, entity, name_raw, addr_raw, name_core, addr_core)."""
+    others = rows.filter("src > 1")
+    keyed = reduce(DataFrame.unionByName, [others.select(F.lit(r).alias("rule"), "src", "country", "entity", link_key(r).alias("key")) for r in link_rules]).filter("key is not null")
+    pairs = lambda n: F.coalesce(F.sum(F.col(n) * (F.col(n) - 1) / 2), F.lit(0.0))
+    by_entity = keyed.groupBy("rule", "src", "country", "key", "entity").agg(F.count(F.lit(1)).alias("m"))
+    groups = by_entity.groupBy("rule", "src", "country", "key").agg(F.sum("m").alias("n"), F.sum(F.when(F.col("entity") >= 0, F.col("m") * (F.col("m") - 1) / 2).otherwise(0.0)).alias("same"))
+    found = groups.groupBy("rule").agg(pairs("n").alias("n_pairs"), F.sum("same").alias("n_true_pairs"))
+    every = others.filter("entity >= 0").groupBy("src", "entity").agg(F.count(F.lit(1)).alias("m")).agg(pairs("m").alias("all_true"))
+    found = found.crossJoin(F.broadcast(every))  # one row
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return found.select("rule", "n_pairs", "n_true_pairs", share("n_true_pairs", "n_pairs").alias("precision"), share("n_true_pairs", "all_true").alias("coverage"))
+
+
 def with_entities(rows: DataFrame, truth: DataFrame) -> DataFrame:
     """rows (src, idx) with entity: the first-source record they belong to; those without one get a negative number of their own."""
     joined = rows.join(truth.groupBy("src", "idx").agg(F.min("s1").alias("s1")), ["src", "idx"], "left")
@@ -105,13 +134,19 @@ def orphans(records: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.withColumn("rate", F.col("n_orphans") / F.col("n"))
 
 
+RANK_PARTS = 200  # ranges of values that ranks are counted in
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The rank correlation of two columns, ties taking their mean rank. Ranks come from counts per value, so the window runs over distinct values."""
+    """The rank correlation of two numeric columns, ties taking their mean rank. Ranks come from counts per value, within ranges of values that hold about as many rows each; a window runs over a range, and one over the ranges."""
 
     def ranks(c: str, out: str) -> DataFrame:
-        sizes = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k"))
-        until = F.sum("k").over(Window.orderBy(c))
-        return sizes.select(c, (until - (F.col("k") - 1) / 2).alias(out))
+        bounds = sorted(set(rows.approxQuantile(c, [i / RANK_PARTS for i in range(1, RANK_PARTS)], 0.001)))
+        part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda x: x < F.col(c)))
+        sizes = rows.groupBy(c).agg(F.count(F.lit(1)).alias("k")).withColumn("_part", part)
+        before = sizes.groupBy("_part").agg(F.sum("k").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        within = F.sum("k").over(Window.partitionBy("_part").orderBy(c))
+        return sizes.withColumn("_until", within).join(F.broadcast(before.select("_part", "_before")), "_part").select(c, (F.col("_before") + F.col("_until") - (F.col("k") - 1) / 2).alias(out))
 
     return rows.join(ranks(a, "_ra"), a).join(ranks(b, "_rb"), b).agg(F.corr("_ra", "_rb").alias("rho"))
 
@@ -142,12 +177,21 @@ def hard_negatives(records: DataFrame, truth: DataFrame, column: str) -> DataFra
 
 def sample(rows: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows in a seeded order of their keys; a listing for a report."""
-    return rows.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return rows.orderBy(seeded(keys, seed), *keys).limit(n)
+
+
+def seeded(keys: list[str], seed: int | str = 42) -> Column:
+    """A hash of keys and seed that any engine can make: 32 hexadecimal digits."""
+    return F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed))).cast("binary"))
+
+
+def in_share(keys: list[str], share: float, seed: int | str = 42) -> Column:
+    """Whether the first 32 bits of the seeded hash of keys fall below the share; the same rows everywhere."""
+    return F.conv(F.substring(seeded(keys, seed), 1, 8), 16, 10).cast("long") < F.lit(int(share * 2**32))
 
 
 def bernoulli(rows: DataFrame, keys: list[str], share: float, seed: int = 42) -> DataFrame:
-    """Rows whose crc32 of keys and seed falls below the share; the same rows everywhere."""
-    return rows.filter(F.crc32(F.concat_ws("|", *keys, F.lit(str(seed))).cast("binary")) < F.lit(int(share * 2**32)))
+    return rows.filter(in_share(keys, share, seed))
 
 
 def validate(lists: DataFrame, required: DataFrame, known: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:
@@ -194,8 +238,8 @@ def find_region(rows: DataFrame, cities: DataFrame) -> DataFrame:
     comps = rows.select(*keys, F.explode("components").alias("component"))
     whole = comps.join(cities.withColumnRenamed("city", "component"), "component").groupBy(*keys).agg(F.count_distinct("region").alias("k"), F.min("region").alias("whole"))
     toks = comps.select(*keys, F.filter(F.split("component", " "), lambda t: t != "").alias("t")).filter(F.size("t") > 0)
-    most = 6
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.size("t") - i + 1, F.lit(most))), lambda n: F.array_join(F.slice("t", i, n), " "))))
+    most = F.lit(cities.agg(F.max(F.size(F.split("city", " ")))).first()[0] or 1)  # no run longer than the longest city can be one
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size("t")), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.size("t") - i + 1, most)), lambda n: F.array_join(F.slice("t", i, n), " "))))
     parts = toks.select(*keys, F.explode(runs).alias("city")).distinct().join(cities, "city")
     long = F.length("city")
     best = parts.withColumn("_m", F.max(long).over(Window.partitionBy(*keys))).filter(long == F.col("_m")).groupBy(*keys).agg(F.count_distinct("region").alias("kp"), F.min("region").alias("part"))
@@ -205,10 +249,13 @@ def find_region(rows: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 def test_like(pairs: DataFrame, share: float = 0.19, seed: int = 42) -> DataFrame:
-    """pairs as if a share of the first-source records had not been there: theirs go and records are ranked anew; what they matched stays as orphans."""
-    drop = F.crc32(F.concat_ws("|", "country", F.col("s1").cast("string"), F.lit(str(seed))).cast("binary")) < F.lit(int(share * 2**32))
-    kept = pairs.filter(~drop)
-    return kept.withColumn("rank_r", F.row_number().over(Window.partitionBy("country", "src", "idx").orderBy(F.desc("score"), "s1")))
+    """pairs as if a share of the first-source records had not been there: theirs go, candidates are ranked and counted anew by score and, where there is one, by pscore; what they matched stays as orphans."""
+    from .blocking import with_counts, with_ranks
+
+    kept = pairs.filter(~in_share(["country", "s1"], share, seed))
+    kept = kept.drop("rank_s", "rank_r", "prank_s", "prank_r", "n_cand_s1", "n_cand_rec")
+    kept = with_counts(with_ranks(kept))
+    return with_ranks(kept, "pscore", "prank_s", "prank_r") if "pscore" in pairs.columns else kept
 
 
 def share_bucket(x: Column, width: float = 0.1) -> Column:

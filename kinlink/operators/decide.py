@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -114,6 +115,48 @@ def apply_configuration(pairs: DataFrame, c: dict) -> DataFrame:
     return expected_choice(rows, c["gamma"])
 
 
+def _others(n: Column, t: float) -> Column:
+    """How many of an array's values from the second on reach t; the array is in descending order."""
+    return F.size(F.filter(n, lambda x, i: (i > 0) & (x >= t)))
+
+
+def _reaching(q: str, t: float) -> Column:
+    return F.filter(q, lambda x: x >= t)
+
+
+def configuration_counts(q: str, limited: bool = False) -> list[tuple[str, Column]]:
+    """(name, accepted) of every rule, from a first-source record's q in descending order."""
+    sees = F.slice(_reaching(q, LEAST_Q), 1, MOST)
+    best = F.coalesce(F.get(q, F.lit(0)), F.lit(-1.0))
+    counts = [] if limited else [(f"one {t:.2f}", F.size(_reaching(q, t))) for t in THRESHOLDS]
+    for a, b in product(TWO[2:7], TWO[:5]) if limited else product(TWO, TWO):
+        counts.append((f"two {a:.2f} {b:.2f}", F.when(best >= a, 1 + _others(F.col(q), b)).otherwise(0)))
+    for g in GAMMAS[1:] if limited else GAMMAS:
+        counts.append((f"expected {g:.2f}", best_count(sees, g).cast("int")))
+    return counts
+
+
+def configuration_scores(pairs: DataFrame, truth_sizes: DataFrame, by: tuple[str, ...] = (), limited: bool = False) -> DataFrame:
+    """(home, name, .., score): the macro score of every configuration, all rules of one ownership in one pass; pairs with p and label, truth_sizes (country, s1, t) of all first-source records. by: also by these columns of truth_sizes.
+
+    A rule accepts a prefix of a first-source record's candidates by q but for the two thresholds, which skip none either, as q falls. A record's candidates are one row, of arrays as long as blocking lets them be.
+    """
+    from .blocking import f05
+
+    out = None
+    for home in ("odds",) if limited else ("none", "odds", "argmax"):
+        rows = one_home(pairs, home)
+        sorted_ = F.array_sort(F.collect_list(F.struct((-F.col("q")).alias("_o"), "src", "idx", "q", "label")))
+        lists = rows.groupBy(*ONE).agg(sorted_.alias("x")).select(*ONE, F.col("x.q").alias("q"), F.col("x.label").alias("label"))
+        lists = truth_sizes.join(lists, ONE, "left").withColumns({"q": F.coalesce("q", F.array().cast("array<double>")), "label": F.coalesce("label", F.array().cast("array<int>"))})
+        cells = F.array(*(F.struct(F.lit(name).alias("name"), n.alias("n")) for name, n in configuration_counts("q", limited)))
+        cells = lists.select(*by, "t", "label", F.explode(cells).alias("c")).select(*by, "t", "label", "c.*")
+        right = F.aggregate(F.slice("label", 1, F.col("n")), F.lit(0), lambda s, x: s + x.cast("int"))
+        scores = cells.withColumn("tp", right).groupBy("name", *by).agg(F.avg(f05(F.col("tp"), F.col("n"), F.col("t"))).alias("score")).select(F.lit(home).alias("home"), "name", *by, "score")
+        out = scores if out is None else out.unionByName(scores)
+    return out
+
+
 def threshold_grid(pairs: DataFrame, truth_sizes: DataFrame, ts: list[float] = THRESHOLDS) -> DataFrame:
     """(t, score): the macro score of every single threshold in one pass; pairs with q and label, truth_sizes (country, s1, t) of all first-source records."""
     per = pairs.groupBy(*ONE).agg(*(x for i, t in enumerate(ts) for x in (F.count_if(F.col("q") >= t).alias(f"n{i}"), F.count_if((F.col("q") >= t) & (F.col("label") == 1)).alias(f"h{i}"))))
@@ -140,22 +183,44 @@ def smoothed(pairs: DataFrame, how: str, component: str = "component") -> DataFr
     return pairs.withColumn("p_smooth", value)
 
 
-def link_keys(pairs: DataFrame) -> DataFrame:
-    """pairs with keys: the values by which two candidates of one first-source record and source are held to be the same."""
-    has = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    rules = [("nh", ("name", "house")), ("na", ("name", "addr")), ("ha", ("house", "addr"))]
-    made = [F.when(has(a) & has(b), F.concat_ws("|", F.lit(n), F.col(a), F.col(b))) for n, (a, b) in rules]
-    return pairs.withColumn("keys", F.filter(F.array(*made), lambda x: x.isNotNull()))
+#: The rules by which two records of one source are held to be the same: what makes the key, and what must be empty.
+LINK_RULES = {
+    "name_core+addr_core": (("name_core", "addr_core"), ()),
+    "raw name": (("name_raw",), ()),
+    "raw address": (("addr_raw",), ()),
+    "name_core, both addr empty": (("name_core",), ("addr_core",)),
+}
+
+
+def link_key(rule: str) -> Column:
+    """The key of a rule; null where a part of it is missing."""
+    parts, empty = LINK_RULES[rule]
+    good = reduce(lambda a, b: a & b, [F.col(c) != "" for c in parts] + [F.col(c) == "" for c in empty])
+    return F.when(good, F.concat_ws("|", *parts))
+
+
+def link_keys(rows: DataFrame, rules: tuple[str, ...] = tuple(LINK_RULES)) -> DataFrame:
+    """rows (.., name_core, addr_core, name_raw, addr_raw) with keys: the values by which they are held to be the same, each with its rule."""
+    made = [F.concat_ws("|", F.lit(rule), link_key(rule)) for rule in rules]
+    return rows.withColumn("keys", F.array_compact(F.array(*(F.when(link_key(rule).isNotNull(), key) for rule, key in zip(rules, made)))))
+
 
+def link_components(pairs: DataFrame) -> DataFrame:
+    """pairs (with keys) and component: the smallest idx that can be reached over shared keys within (country, s1, src), over chains of any length.
 
-def link_components(pairs: DataFrame, rounds: int = 6) -> DataFrame:
-    """pairs (with keys) and component: the smallest idx that can be reached over shared keys within (country, s1, src). Minimum labels travel over keys, with path halving; candidates per first-source record are few, so rounds are too."""
+    One pass: a group's candidates are taken one by one, and each joins all components so far that have one of its keys into one. A group is what blocking leaves to one first-source record and source.
+    """
     home = ["country", "s1", "src"]
-    rows = pairs.withColumn("component", F.col("idx"))
-    edges = rows.select(*home, "idx", F.explode("keys").alias("key"))
-    labels = rows.select(*home, "idx", "component")
-    for _ in range(rounds):
-        low = edges.join(labels, [*home, "idx"]).groupBy(*home, "key").agg(F.min("component").alias("m"))
-        best = edges.join(low, [*home, "key"]).groupBy(*home, "idx").agg(F.min("m").alias("m"))
-        labels = labels.join(best, [*home, "idx"], "left").select(*home, "idx", F.least("component", F.coalesce("m", "component")).alias("component"))
+    kind = "array<struct<ids:array<int>,keys:array<string>>>"
+
+    def join(found: Column, x: Column) -> Column:
+        meets = lambda c: F.arrays_overlap(c["keys"], x["keys"])
+        hit = F.filter(found, meets)
+        ids = F.concat(F.flatten(F.transform(hit, lambda c: c["ids"])), F.array(x["idx"]))
+        keys = F.array_union(F.flatten(F.transform(hit, lambda c: c["keys"])), x["keys"])
+        return F.concat(F.filter(found, lambda c: ~meets(c)), F.array(F.struct(ids.alias("ids"), keys.alias("keys"))))
+
+    groups = pairs.groupBy(*home).agg(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.array_distinct("keys").alias("keys"))).alias("x"))
+    found = groups.select(*home, F.explode(F.aggregate("x", F.array().cast(kind), join)).alias("c"))
+    labels = found.select(*home, F.explode("c.ids").alias("idx"), F.array_min("c.ids").alias("component")).distinct()
     return pairs.join(labels, [*home, "idx"])

@@ -169,14 +169,24 @@ def competition(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pair_rows(pairs: DataFrame, rec: DataFrame) -> DataFrame:
-    """pairs joined with both records' prepared fields, s_ and r_ in front."""
-    rows = chains(prepared(rec))
-    rows = weighted(weighted(rows, "nt", idf(rows, "nt"), "nw"), "at", idf(rows, "at"), "aw")
-    keep = ["pname", "palt", "paddr", "pconcat", "pphon", "nt", "at", "nums", "nw", "aw", "chain", "state", "house_num", *FLAGS]
+#: What pair_rows() can add to the prepared fields, each at the price of a join.
+PARTS = ("chain", "name", "address", "vocabulary")
+
+
+def pair_rows(pairs: DataFrame, rec: DataFrame, parts: tuple[str, ...] = PARTS) -> DataFrame:
+    """pairs joined with both records' prepared fields, s_ and r_ in front; parts: chain counts, weights of name and address tokens, share of known tokens."""
+    rows = prepared(rec)
+    keep = ["pname", "palt", "paddr", "pconcat", "pphon", "nt", "at", "nums", "state", "house_num", *FLAGS]
+    if "chain" in parts:
+        rows, keep = chains(rows), [*keep, "chain"]
+    for part, tokens, weights in (("name", "nt", "nw"), ("address", "at", "aw")):
+        if part in parts:
+            rows, keep = weighted(rows, tokens, idf(rows, tokens), weights), [*keep, weights]
     s = rows.filter("src = 1").select("country", F.col("idx").alias("s1"), *(F.col(c).alias(f"s_{c}") for c in keep))
-    r = rows.filter("src > 1").join(vocabulary_share(rows), ["country", "src", "idx"], "left").na.fill(0.0, ["r_tok_in_s1_vocab"])
-    r = r.select("country", "src", "idx", "r_tok_in_s1_vocab", *(F.col(c).alias(f"r_{c}") for c in keep))
+    r, more = rows.filter("src > 1"), []
+    if "vocabulary" in parts:
+        r, more = r.join(vocabulary_share(rows), ["country", "src", "idx"], "left").na.fill(0.0, ["r_tok_in_s1_vocab"]), ["r_tok_in_s1_vocab"]
+    r = r.select("country", "src", "idx", *more, *(F.col(c).alias(f"r_{c}") for c in keep))
     return pairs.join(s, ["country", "s1"]).join(r, ["country", "src", "idx"])
 
 

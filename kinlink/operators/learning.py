@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocking import f05, with_counts, with_ranks
@@ -33,7 +32,8 @@ def half(entity_id: Column) -> Column:
 
 def share_of(key: Column, share: float, salt: str) -> Column:
     """Whether a key is in a seeded sample of this share."""
-    return F.crc32(F.concat_ws("|", key.cast("string"), F.lit(salt)).cast("binary")) < F.lit(int(share * 2**32))
+    first = F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(salt)).cast("binary")), 1, 8)
+    return F.conv(first, 16, 10).cast("long") < F.lit(int(share * 2**32))
 
 
 def feature_columns(rows: DataFrame, drop: tuple[str, ...] = ()) -> list[str]:
@@ -155,10 +155,18 @@ def log_loss(rows: DataFrame, by: list[str], p: str = "p") -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("label") == 1, -F.log(c)).otherwise(-F.log(1 - c))).alias("logloss"))
 
 
+def area_by(rows: DataFrame, by: list[str], p: str = "p") -> DataFrame:
+    """(.., n, auc): the area under the ROC curve of each group, null where a class is missing; from counts by distinct p, equal ones counting half."""
+    rows = rows.select(*by, F.col(p).alias("_p"), F.col("label").cast("long").alias("_y"))
+    sizes = rows.groupBy(*by, "_p").agg(F.sum("_y").alias("a"), F.sum(1 - F.col("_y")).alias("b"))
+    below = F.coalesce(F.sum("b").over(Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = sizes.withColumn("w", F.col("a") * (below + F.col("b") / 2)).groupBy(*by).agg(F.sum("w").alias("w"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return won.select(*by, (F.col("a") + F.col("b")).alias("n"), F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("w") / (F.col("a") * F.col("b"))).alias("auc"))
+
+
 def area(rows: DataFrame, p: str = "p") -> float:
     """The area under the ROC curve."""
-    scored = rows.select(F.col(p).cast("double").alias("_s"), F.col("label").cast("double").alias("label"))
-    return BinaryClassificationEvaluator(rawPredictionCol="_s", labelCol="label").evaluate(scored)
+    return area_by(rows.withColumn("_all", F.lit(1)), ["_all"], p).first()["auc"]
 
 
 def leave_country_out(rows: DataFrame, columns: list[str], source: str, target: str, rounds: int = 20) -> DataFrame:
@@ -184,6 +192,45 @@ def adversarial(a: DataFrame, b: DataFrame, columns: list[str], rounds: int = 10
     return score, [(c, g, means[0][c], means[1][c]) for c, g in importances(model, columns)[:top]]
 
 
+def refit_with_pseudo(rows: DataFrame, scored: DataFrame, columns: list[str], source: str, target: str, rounds: int = 20, high: float = 0.97, low: float = 0.03) -> DataFrame:
+    """Predictions of the target country's pairs by a model of the source country's labelled pairs and the target's confident ones; scored has p for the target's pairs."""
+    sure = pseudo_labels(scored.filter(F.col("country") == target), high=high, low=low).select(*PAIR, F.col("label").cast("int").alias("label"))
+    own = rows.filter(F.col("country") == target)
+    train = rows.filter(F.col("country") == source).unionByName(own.drop("label").join(sure, PAIR).select(*rows.columns))
+    return predict(train_trees(train, columns, rounds), own)
+
+
+def augmented(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """rows with the further columns of more, a table of a later stage that has each pair once; pairs that it lacks get nulls, pairs of its own go."""
+    new = [c for c in more.columns if c not in rows.columns]
+    return rows.join(more.select(*PAIR, *new), PAIR, "left")
+
+
+def save_models(models: list[PipelineModel], path: str) -> None:
+    """Each model in a folder of its own, by number; what was there is replaced."""
+    for i, m in enumerate(models):
+        m.write().overwrite().save(f"{path}/model_{i}")
+
+
+def load_models(path: str, n: int) -> list[PipelineModel]:
+    return [PipelineModel.load(f"{path}/model_{i}") for i in range(n)]
+
+
+def pruner_grid(pairs: DataFrame, truth_sizes: DataFrame, most: int = PRUNER_MOST, tolerance: float = PRUNER_TOLERANCE) -> DataFrame:
+    """(k, big_k, n_pairs, oracle, chosen): every choice of the pruner's ranks in one pass, pairs (.., prank_s, prank_r, label). Chosen are the fewest pairs that stay within the budget of most pairs and within the tolerance of the best score there; truth_sizes (country, s1, t) of all first-source records."""
+    grid = [(k, big) for k in PRUNER_GRID_K for big in PRUNER_GRID_BIG_K]
+    keep = [(F.col("prank_r") <= k) | (F.col("prank_s") <= big) for k, big in grid]
+    agg = [x for i, c in enumerate(keep) for x in (F.count_if(c).alias(f"n{i}"), F.count_if(c & (F.col("label") == 1)).alias(f"h{i}"))]
+    rows = truth_sizes.join(pairs.groupBy("country", "s1").agg(*agg), ["country", "s1"], "left").na.fill(0)
+    cells = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(big).alias("big_k"), F.col(f"n{i}").alias("n"), f05(F.col(f"h{i}"), F.col(f"h{i}"), F.col("t")).alias("f")) for i, (k, big) in enumerate(grid)))
+    table = rows.select(F.explode(cells).alias("c")).groupBy("c.k", "c.big_k").agg(F.sum("c.n").alias("n_pairs"), F.avg("c.f").alias("oracle"))
+    fits = F.col("n_pairs") <= most
+    top = table.agg(F.max(F.when(fits, F.col("oracle"))).alias("top"))
+    table = table.crossJoin(F.broadcast(top)).withColumn("near", F.coalesce(fits & (F.col("oracle") >= F.col("top") - tolerance), F.lit(False)))
+    pick = table.filter("near").agg(F.min(F.struct("n_pairs", "k", "big_k")).alias("b"))
+    return table.crossJoin(F.broadcast(pick)).select("k", "big_k", "n_pairs", "oracle", F.coalesce(F.struct("n_pairs", "k", "big_k") == F.col("b"), F.lit(False)).alias("chosen"))
+
+
 def recovery(truth: DataFrame, old: DataFrame, new: DataFrame, flags: DataFrame, flag: str) -> DataFrame:
     """(country, flag, n_true, in_old, in_new, recovered, lost): true pairs by what two candidate sets have of them, apart for records with the flag (country, src, idx, flag)."""
     rows = truth.join(flags.select("country", "src", "idx", flag), ["country", "src", "idx"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .audit import seeded
 from .blocking import f05
 
 
@@ -61,7 +62,8 @@ def best_per_group(results: DataFrame, group: list[str]) -> DataFrame:
 def mistakes(decided: DataFrame, kind: str, n: int = 15, seed: int = 42) -> DataFrame:
     """A seeded sample of n wrong accepts ('fp') or refused true pairs ('fn'); a listing for a report."""
     wrong = F.col("accepted") & (F.col("label") == 0) if kind == "fp" else ~F.col("accepted") & (F.col("label") == 1)
-    return decided.filter(wrong).orderBy(F.xxhash64("country", "s1", "src", "idx", F.lit(seed)), "country", "s1", "src", "idx").limit(n)
+    key = ["country", "s1", "src", "idx"]
+    return decided.filter(wrong).orderBy(seeded(key, seed), *key).limit(n)
 
 
 def set_sizes(decided: DataFrame, ones: DataFrame) -> DataFrame:

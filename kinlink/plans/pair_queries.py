@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audit, blocking, consistency, decide, features, learning, metrics
 from .blocking_queries import F05, records
+from .blocking_queries import PAIR_SQL as BLOCKED
 from .text_queries import query
 from .views import view, with_views
 
@@ -24,18 +25,17 @@ def _rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
 
 # --- features -------------------------------------------------------------------------------------------------------
 
-#: pairs of records of equal brand within a country, as candidates for features
-NEAR = "SELECT s.country, s.idx AS s1, r.src, r.idx FROM rec s JOIN rec r ON s.country = r.country AND s.p_brand = r.p_brand WHERE s.src = 1 AND r.src > 1"
+#: blocked candidates, of which there are as many as records allow, in common tables that end with ps
+NEAR = "SELECT country, s1, src, idx FROM ps"
 
 
 def _near(spark, sf) -> DataFrame:
-    rec = view(spark, sf, "rec")
-    s = rec.filter("src = 1").select("country", "p_brand", F.col("idx").alias("s1"))
-    return s.join(rec.filter("src > 1").select("country", "p_brand", "src", "idx"), ["country", "p_brand"]).drop("p_brand")
+    keys = blocking.keys(records(spark, sf))
+    return blocking.candidate_pairs(keys, blocking.blocks(keys)).select(*PAIR)
 
 
-def _joined(spark, sf) -> DataFrame:
-    return features.pair_rows(_near(spark, sf), records(spark, sf))
+def _joined(spark, sf, *parts: str) -> DataFrame:
+    return features.pair_rows(_near(spark, sf), records(spark, sf), parts)
 
 
 IDF = """t AS (SELECT DISTINCT country, src, idx, unnest(string_split({c}, ' ')) AS tok FROM rec WHERE {c} <> ''),
@@ -55,7 +55,7 @@ i AS (SELECT near.country, near.s1, near.src, near.idx, sum(w.idf) AS hit, count
 @query(
     "fe05_token_features",
     with_views(
-        COVER.format(c="name_core", near=NEAR)
+        BLOCKED + ", " + COVER.format(c="name_core", near=NEAR)
         + """, rare AS (SELECT t.country, t.src, t.idx, arg_max(t.tok, (w.idf, t.tok)) AS tok FROM t JOIN w ON w.country = t.country AND w.tok = t.tok GROUP BY t.country, t.src, t.idx)
 SELECT near.country, near.s1, near.src, near.idx, round(coalesce(k, 0) / CAST(len(list_distinct(list_concat(string_split(a.name_core, ' '), string_split(b.name_core, ' ')))) AS DOUBLE), 6) AS name_jaccard,
 round(CASE WHEN ma.mass = 0 THEN 0 ELSE coalesce(hit, 0) / ma.mass END, 6) AS name_cov_s, round(CASE WHEN mb.mass = 0 THEN 0 ELSE coalesce(hit, 0) / mb.mass END, 6) AS name_cov_r,
@@ -71,13 +71,13 @@ def token_features(spark, sf) -> DataFrame:
     """FE5 to FE7 and FE25."""
     s, r = (lambda c: F.col(f"s_{c}")), (lambda c: F.col(f"r_{c}"))
     cols = features.token_features(s("nt"), r("nt"), s("nw"), r("nw"), s("pname"), r("pname"), s("pconcat"), r("pconcat"))
-    return _rounded(_joined(spark, sf).select(*PAIR, *(c.alias(n) for n, c in cols.items())), "name_jaccard", "name_cov_s", "name_cov_r")
+    return _rounded(_joined(spark, sf, "name").select(*PAIR, *(c.alias(n) for n, c in cols.items())), "name_jaccard", "name_cov_s", "name_cov_r")
 
 
 @query(
     "fe08_address_cover",
     with_views(
-        COVER.format(c="addr_core", near=NEAR)
+        BLOCKED + ", " + COVER.format(c="addr_core", near=NEAR)
         + """ SELECT near.country, near.s1, near.src, near.idx, round(CASE WHEN ma.mass > 0 AND mb.mass > 0 THEN coalesce(hit, 0) / ma.mass ELSE 0 END, 6) AS addr_cov_s, round(CASE WHEN ma.mass > 0 AND mb.mass > 0 THEN coalesce(hit, 0) / mb.mass ELSE 0 END, 6) AS addr_cov_r
 FROM near LEFT JOIN m ma ON ma.country = near.country AND ma.src = 1 AND ma.idx = near.s1 LEFT JOIN m mb ON mb.country = near.country AND mb.src = near.src AND mb.idx = near.idx LEFT JOIN i ON i.country = near.country AND i.s1 = near.s1 AND i.src = near.src AND i.idx = near.idx""",
         "rec",
@@ -86,13 +86,13 @@ FROM near LEFT JOIN m ma ON ma.country = near.country AND ma.src = 1 AND ma.idx
 def address_cover(spark, sf) -> DataFrame:
     """FE8."""
     cols = features.address_features(F.col("s_at"), F.col("r_at"), F.col("s_aw"), F.col("r_aw"))
-    return _rounded(_joined(spark, sf).select(*PAIR, *(c.alias(n) for n, c in cols.items())), "addr_cov_s", "addr_cov_r")
+    return _rounded(_joined(spark, sf, "address").select(*PAIR, *(c.alias(n) for n, c in cols.items())), "addr_cov_s", "addr_cov_r")
 
 
 @query(
     "fe09_number_features",
     with_views(
-        f"""near AS ({NEAR}), x AS (SELECT near.country, near.s1, near.src, near.idx, [t for t in string_split(a.addr_nums, ' ') if t <> ''] AS sn, [t for t in string_split(b.addr_nums, ' ') if t <> ''] AS rn, a.house_num AS sh, b.house_num AS rh, a.state AS ss, b.state AS rs,
+        f"""{BLOCKED}, near AS ({NEAR}), x AS (SELECT near.country, near.s1, near.src, near.idx, [t for t in string_split(a.addr_nums, ' ') if t <> ''] AS sn, [t for t in string_split(b.addr_nums, ' ') if t <> ''] AS rn, a.house_num AS sh, b.house_num AS rh, a.state AS ss, b.state AS rs,
 string_split(a.name_core, ' ') AS snt, string_split(b.name_core, ' ') AS rnt, [t for t in string_split(a.addr_core, ' ') if t <> ''] AS sat, [t for t in string_split(b.addr_core, ' ') if t <> ''] AS rat, a.name_core AS sname, b.name_core AS rname
 FROM near JOIN rec a ON a.src = 1 AND a.country = near.country AND a.idx = near.s1 JOIN rec b ON b.country = near.country AND b.src = near.src AND b.idx = near.idx)
 SELECT country, s1, src, idx, round(CASE WHEN len(sn) = 0 AND len(rn) = 0 THEN 0 ELSE len(list_intersect(sn, rn)) / CAST(len(list_distinct(list_concat(sn, rn))) AS DOUBLE) END, 6) AS nums_jaccard,
@@ -218,7 +218,7 @@ GROUP_REC = "SELECT country, src, idx, p_name AS name, house_num AS house, addr_
 @query(
     "s26_group_sizes",
     with_views(
-        f"g AS ({GROUP_REC}), near AS ({NEAR}), nh AS (SELECT name, house, count(*) AS k FROM g WHERE src > 1 AND house IS NOT NULL AND name <> '' GROUP BY name, house), na AS (SELECT name, addr, count(*) AS k FROM g WHERE src > 1 AND addr <> '' AND name <> '' GROUP BY name, addr), sh AS (SELECT name, house, count(*) AS k FROM g WHERE src = 1 AND house IS NOT NULL GROUP BY name, house) SELECT near.country, near.s1, near.src, near.idx, coalesce(nh.k, 0) AS grp_r_name_house, coalesce(na.k, 0) AS grp_r_name_addr, coalesce(sh.k, 0) AS grp_s_name_house FROM near JOIN g r ON r.country = near.country AND r.src = near.src AND r.idx = near.idx JOIN g s ON s.country = near.country AND s.src = 1 AND s.idx = near.s1 LEFT JOIN nh ON nh.name = r.name AND nh.house = r.house LEFT JOIN na ON na.name = r.name AND na.addr = r.addr LEFT JOIN sh ON sh.name = s.name AND sh.house = s.house",
+        f"{BLOCKED}, g AS ({GROUP_REC}), near AS ({NEAR}), nh AS (SELECT name, house, count(*) AS k FROM g WHERE src > 1 AND house IS NOT NULL AND name <> '' GROUP BY name, house), na AS (SELECT name, addr, count(*) AS k FROM g WHERE src > 1 AND addr <> '' AND name <> '' GROUP BY name, addr), sh AS (SELECT name, house, count(*) AS k FROM g WHERE src = 1 AND house IS NOT NULL GROUP BY name, house) SELECT near.country, near.s1, near.src, near.idx, coalesce(nh.k, 0) AS grp_r_name_house, coalesce(na.k, 0) AS grp_r_name_addr, coalesce(sh.k, 0) AS grp_s_name_house FROM near JOIN g r ON r.country = near.country AND r.src = near.src AND r.idx = near.idx JOIN g s ON s.country = near.country AND s.src = 1 AND s.idx = near.s1 LEFT JOIN nh ON nh.name = r.name AND nh.house = r.house LEFT JOIN na ON na.name = r.name AND na.addr = r.addr LEFT JOIN sh ON sh.name = s.name AND sh.house = s.house",
         "rec",
     ),
 )
@@ -288,12 +288,6 @@ def expected_scores_of_two(spark, sf) -> DataFrame:
     return rows.select("country", "s1", *(F.round(F.get("e", F.lit(i)), 8).alias(f"e{i}") for i in range(3)))
 
 
-@query("dc08_expected_choice")
-def expected_choice(spark, sf) -> DataFrame:
-    """DC7, DC8 and DC10: the optimiser's matches, gamma by country; held against enumeration in the tests."""
-    return decide.expected_choice(decide.odds(_pairs(spark, sf)), decide.country_gamma(1.0, {"F": 1.5})).select(*PAIR, F.round("q", 8).alias("q"), "accepted")
-
-
 SIZES = "sizes AS (SELECT o.country, o.s1, count(t.idx) AS t FROM ones o LEFT JOIN pair_truth t ON t.country = o.country AND t.s1 = o.s1 GROUP BY o.country, o.s1)"
 
 
@@ -344,13 +338,7 @@ def smoothed(spark, sf) -> DataFrame:
 def link_components(spark, sf) -> DataFrame:
     """DC13 and DC14 for one rule, name and house."""
     one = F.when(F.col("house").isNotNull() & (F.col("house") != ""), F.array(F.concat_ws("|", "name", "house"))).otherwise(F.array().cast("array<string>"))
-    return decide.link_components(_pairs(spark, sf).withColumn("keys", one), rounds=2).select(*PAIR, "component")
-
-
-@query("dc14_all_link_rules")
-def all_link_rules(spark, sf) -> DataFrame:
-    """DC13 and DC14 over all rules; held against union-find in the tests."""
-    return decide.link_components(decide.link_keys(_pairs(spark, sf))).select(*PAIR, "component")
+    return decide.link_components(_pairs(spark, sf).withColumn("keys", one)).select(*PAIR, "component")
 
 
 # --- metrics --------------------------------------------------------------------------------------------------------
@@ -418,19 +406,6 @@ def decision_report(spark, sf) -> DataFrame:
     return _decided(spark, sf).withColumn("rn", rank).filter("accepted or rn <= 3").select(*PAIR, "accepted", F.round("q", 8).alias("q"))
 
 
-@query("rp05_best_configuration")
-def best_configuration(spark, sf) -> DataFrame:
-    """DC9 and RP5: some configurations by their macro score, the best of each home."""
-    spark_rows = None
-    sizes = _sizes(spark, sf)
-    for c in [{"home": h, "rule": "one", "t": t} for h in ("none", "odds", "argmax") for t in (0.3, 0.6)]:
-        d = decide.apply_configuration(_pairs(spark, sf), c).filter("accepted").groupBy("country", "s1").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("tp"))
-        s = sizes.join(d, ["country", "s1"], "left").na.fill(0).agg(F.round(F.avg(blocking.f05(F.col("tp"), F.col("n"), F.col("t"))), 8).alias("score"))
-        s = s.select(F.lit(c["home"]).alias("home"), F.lit(f"{c['rule']} {c['t']}").alias("name"), "score")
-        spark_rows = s if spark_rows is None else spark_rows.unionByName(s)
-    return metrics.best_per_group(spark_rows, ["home"])
-
-
 # --- audits ---------------------------------------------------------------------------------------------------------
 
 
@@ -441,19 +416,6 @@ def overlap(spark, sf) -> DataFrame:
     return audit.overlap(rec.filter("src = 1"), rec.filter("src = 2"), ["name_core", "state"])
 
 
-@query(
-    "au02_link_tokens",
-    with_views(
-        "x AS (SELECT idx % 50 AS entity, unnest(list_distinct(regexp_extract_all(name_raw, '#\\s*[0-9]+'))) AS tok FROM raw), g AS (SELECT tok, entity, count(*) AS m FROM x GROUP BY tok, entity), s AS (SELECT tok, sum(m) AS n, sum(m * (m - 1) / 2) AS same FROM g GROUP BY tok) SELECT CAST(sum(n * (n - 1) / 2) AS DOUBLE) AS n_pairs, CAST(sum(same) AS DOUBLE) AS n_true_pairs, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS n_rows, round(sum(same) / sum(n * (n - 1) / 2), 8) AS precision FROM s",
-        "raw",
-    ),
-)
-def link_tokens(spark, sf) -> DataFrame:
-    """AU2 and AU3: what hash tags link, and how often rightly."""
-    rows = audit.link_tokens(view(spark, sf, "raw").withColumn("entity", F.col("idx") % 50), "name_raw", "hash_tag")
-    return _rounded(audit.pair_precision(rows, ["tok"], "entity"), "precision", to=8)
-
-
 @query("au03_entities", with_views("SELECT r.src, r.idx, coalesce(CAST(t.s1 AS BIGINT), -(CAST(r.src AS BIGINT) * 1099511627776 + r.idx + 1)) AS entity FROM rec r LEFT JOIN (SELECT src, idx, min(s1) AS s1 FROM truth GROUP BY src, idx) t ON t.src = r.src AND t.idx = r.idx WHERE r.src > 1", "rec", "truth"))
 def entities(spark, sf) -> DataFrame:
     """AU3: whose each record is; orphans are their own."""
@@ -566,12 +528,6 @@ def hard_negatives(spark, sf) -> DataFrame:
     return _rounded(audit.hard_negatives(view(spark, sf, "rec"), view(spark, sf, "truth"), "p_name"), "precision", to=8)
 
 
-@query("ed12_sample_listing")
-def sample_listing(spark, sf) -> DataFrame:
-    """ED12 and RP6: a seeded sample for a report, which is a listing of a few by nature."""
-    return metrics.mistakes(_decided(spark, sf), "fp").select(*PAIR)
-
-
 @query(
     "vl01_validated_lists",
     with_views(
@@ -695,18 +651,6 @@ def leave_country_out(spark, sf) -> DataFrame:
     return learning.leave_country_out(rows, cols, "F", "O", 3).select(*PAIR, "p")
 
 
-@query("ml10_pseudo_labels")
-def pseudo_labels(spark, sf) -> DataFrame:
-    """ML10."""
-    return learning.pseudo_labels(_pairs(spark, sf), high=0.9, low=0.1).select(*PAIR, "p", "label")
-
-
-@query("tl01_test_like")
-def test_like(spark, sf) -> DataFrame:
-    """TL1: a fifth of the first-source records gone, records ranked anew."""
-    return audit.test_like(_pairs(spark, sf)).select(*PAIR, "rank_r")
-
-
 @query(
     "pr08_recovery",
     with_views(
@@ -730,7 +674,7 @@ def probe(spark, sf) -> DataFrame:
 @query(
     "rg03_refilled_states",
     with_views(
-        f"near AS ({NEAR}) SELECT near.country, near.s1, near.src, near.idx, CASE WHEN ss = '' OR rs = '' THEN -1 WHEN ss = rs THEN 1 ELSE 0 END AS state_match FROM (SELECT near.*, CASE WHEN near.country = 'US' AND a.state = '' THEN 'ny' ELSE a.state END AS ss, CASE WHEN near.country = 'US' AND b.state = '' THEN 'ny' ELSE b.state END AS rs FROM near JOIN rec a ON a.src = 1 AND a.country = near.country AND a.idx = near.s1 JOIN rec b ON b.country = near.country AND b.src = near.src AND b.idx = near.idx) near",
+        f"{BLOCKED}, near AS ({NEAR}) SELECT near.country, near.s1, near.src, near.idx, CASE WHEN ss = '' OR rs = '' THEN -1 WHEN ss = rs THEN 1 ELSE 0 END AS state_match FROM (SELECT near.*, CASE WHEN near.country = 'US' AND a.state = '' THEN 'ny' ELSE a.state END AS ss, CASE WHEN near.country = 'US' AND b.state = '' THEN 'ny' ELSE b.state END AS rs FROM near JOIN rec a ON a.src = 1 AND a.country = near.country AND a.idx = near.s1 JOIN rec b ON b.country = near.country AND b.src = near.src AND b.idx = near.idx) near",
         "rec",
     ),
 )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import blocking_queries, pair_queries, text_queries
+from .plans import blocking_queries, pair_queries, report_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +16,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    assert blocking_queries and pair_queries  # importing them registers their queries
+    assert blocking_queries and pair_queries and report_queries  # importing them registers their queries
     return dict(text_queries.Q)
 
 
