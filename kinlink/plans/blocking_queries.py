@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import blocking
-from .text_queries import PHON, query
+from .text_queries import PHON, SIMS, query
 from .views import view, with_views
 
 KEYS = ["country", "src", "idx"]
@@ -128,10 +128,18 @@ def lost_recall(spark, sf) -> DataFrame:
     return blocking.lost_recall(keys, blocking.blocks(keys), view(spark, sf, "truth"), 2000)
 
 
-@query("bk18_quick_scores")
+QUICK = f"""{PAIR_SQL}, nx AS (SELECT ps.*, a.name_core AS sn, b.name_core AS rn, b.name_alt AS ra, a.name_phon AS sp, b.name_phon AS rp, a.addr_core AS sa, b.addr_core AS rd FROM ps JOIN r a ON a.src = 1 AND a.country = ps.country AND a.idx = ps.s1 JOIN r b ON b.country = ps.country AND b.src = ps.src AND b.idx = ps.idx),
+tp AS (SELECT sn AS a, rn AS b FROM nx UNION SELECT sn, ra FROM nx UNION SELECT sp, rp FROM nx UNION SELECT sa, rd FROM nx), {SIMS}"""
+
+
+@query(
+    "bk18_quick_scores",
+    with_views(f"{QUICK} SELECT country, s1, src, idx, bits, nkeys, greatest(n.tset, CASE WHEN ra <> '' THEN l.tset ELSE 0 END, p.tset) AS sim_name, d.tset AS sim_addr FROM nx JOIN ts n ON n.a = sn AND n.b = rn JOIN ts l ON l.a = sn AND l.b = ra JOIN ts p ON p.a = sp AND p.b = rp JOIN ts d ON d.a = sa AND d.b = rd", "rec"),
+)
 def quick_scores(spark, sf) -> DataFrame:
-    """BK18 and BK19 on blocked pairs: Python similarity, so rows only."""
-    return blocking.with_ranks(blocking.quick_scores(_pairs_of(spark, sf), records(spark, sf)))
+    """BK18 on blocked pairs."""
+    rows = blocking.quick_scores(_pairs_of(spark, sf), records(spark, sf))
+    return rows.withColumns({c: F.round(F.col(c).cast("double"), 3) for c in ("sim_name", "sim_addr")}).drop("score")
 
 
 RANKS = "SELECT country, s1, src, idx, score, label, row_number() OVER (PARTITION BY country, s1 ORDER BY score DESC, src, idx) AS rank_s, row_number() OVER (PARTITION BY country, src, idx ORDER BY score DESC, s1) AS rank_r FROM pairs"

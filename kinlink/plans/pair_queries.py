@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import audit, blocking, consistency, decide, features, learning, metrics
 from .blocking_queries import F05, records
 from .blocking_queries import PAIR_SQL as BLOCKED
-from .text_queries import query
+from .text_queries import SIMS, query
 from .views import view, with_views
 
 PAIR = ["country", "s1", "src", "idx"]
@@ -149,10 +149,30 @@ def competition(spark, sf) -> DataFrame:
     return rows.select(*PAIR, *(f"r_{k}_{c}" for k in ("oth", "margin") for c in ("name", "addr", "score")), "r_n_name90", "s_rank_name", "s_rank_addr", "s_gap_best", "s_n_near")
 
 
-@query("fe01_similarity_features")
+SIDES = f"{BLOCKED}, nx AS (SELECT ps.country, ps.s1, ps.src, ps.idx, a.name_core AS sn, b.name_core AS rn, b.name_alt AS ra, a.name_concat AS sc, b.name_concat AS rc, a.name_phon AS sp, b.name_phon AS rp, a.addr_core AS sa, b.addr_core AS rd FROM ps JOIN r a ON a.src = 1 AND a.country = ps.country AND a.idx = ps.s1 JOIN r b ON b.country = ps.country AND b.src = ps.src AND b.idx = ps.idx)"
+FIVE = "tp AS (SELECT sn AS a, rn AS b FROM nx UNION SELECT sn, ra FROM nx UNION SELECT sc, rc FROM nx UNION SELECT sp, rp FROM nx UNION SELECT sa, rd FROM nx)"
+PARTIAL = ("name_partial", "addr_partial")
+
+
+@query(
+    "fe01_similarity_features",
+    with_views(
+        f"""{SIDES}, {FIVE}, {SIMS} SELECT country, s1, src, idx, n.tset AS name_tsr, n.tsort AS name_tsort, n.ratio AS name_ratio, round(jaro_winkler_similarity(sn, rn), 4) AS name_jw, CASE WHEN ra <> '' THEN l.tset ELSE 0 END AS name_alt_tsr, c.ratio AS concat_ratio, p.tset AS phon_tsr, d.tset AS addr_tsr, d.tsort AS addr_tsort, d.ratio AS addr_ratio
+FROM nx JOIN ts n ON n.a = sn AND n.b = rn JOIN ts l ON l.a = sn AND l.b = ra JOIN ts c ON c.a = sc AND c.b = rc JOIN ts p ON p.a = sp AND p.b = rp JOIN ts d ON d.a = sa AND d.b = rd""",
+        "rec",
+    ),
+)
 def similarity_features(spark, sf) -> DataFrame:
-    """FE1 to FE4 over Arrow: rows only."""
-    return _joined(spark, sf).select(*PAIR, *(c.alias(n) for n, c in features.similarity_features().items()))
+    """FE1 to FE4, but for partial ratios."""
+    cols = {n: c for n, c in features.similarity_features().items() if n not in PARTIAL}
+    rows = _joined(spark, sf).select(*PAIR, *(c.cast("double").alias(n) for n, c in cols.items()))
+    return rows.withColumns({n: F.round(n, 4 if n == "name_jw" else 3) for n in cols})
+
+
+@query("fe03_partial_ratios")
+def partial_ratios(spark, sf) -> DataFrame:
+    """The partial ratios among FE1 to FE4: rows only."""
+    return _joined(spark, sf).select(*PAIR, *(c.alias(n) for n, c in features.similarity_features().items() if n in PARTIAL))
 
 
 @query("fe00_all_features")

@@ -281,15 +281,16 @@ lc AS (SELECT u, v, list_reduce(list_concat([[0 for z in x]], [[z] for z in y]),
 RATIO = "CASE WHEN {u} = {v} THEN 100 WHEN {u} = '' OR {v} = '' THEN 0 ELSE 200.0 * {n} / (length({u}) + length({v})) END"
 
 
-@query(
-    "sim01_ratios",
-    f"""WITH n AS ({NAMES.format(part='part')}), w AS (SELECT a, b, list_sort(list_distinct(string_split(a, ' '))) AS x, list_sort(list_distinct(string_split(b, ' '))) AS y, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM n),
-s AS (SELECT a, b, sa, sb, array_to_string([t for t in x if list_contains(y, t)], ' ') AS z, array_to_string([t for t in x if NOT list_contains(y, t)], ' ') AS l, array_to_string([t for t in y if NOT list_contains(x, t)], ' ') AS r FROM w),
-f AS (SELECT *, trim(z || ' ' || l) AS ab, trim(z || ' ' || r) AS ba FROM s), us AS (SELECT a AS u, b AS v FROM f UNION ALL SELECT sa, sb FROM f UNION ALL SELECT ab, ba FROM f), {LCS}
-SELECT f.a, f.b, round({RATIO.format(u='f.a', v='f.b', n='l1.n')}, 3) AS ratio, round({RATIO.format(u='sa', v='sb', n='l2.n')}, 3) AS tsort,
+#: tp: pairs of texts (a, b), to ts: the same with ratio, tsort and tset
+SIMS = f"""zw AS (SELECT a, b, list_sort(list_distinct(string_split(a, ' '))) AS x, list_sort(list_distinct(string_split(b, ' '))) AS y, array_to_string(list_sort(string_split(a, ' ')), ' ') AS sa, array_to_string(list_sort(string_split(b, ' ')), ' ') AS sb FROM (SELECT DISTINCT a, b FROM tp) d),
+zs AS (SELECT a, b, sa, sb, array_to_string([t for t in x if list_contains(y, t)], ' ') AS z, array_to_string([t for t in x if NOT list_contains(y, t)], ' ') AS l, array_to_string([t for t in y if NOT list_contains(x, t)], ' ') AS r FROM zw),
+zf AS (SELECT *, trim(z || ' ' || l) AS ab, trim(z || ' ' || r) AS ba FROM zs), us AS (SELECT a AS u, b AS v FROM zf UNION ALL SELECT sa, sb FROM zf UNION ALL SELECT ab, ba FROM zf), {LCS},
+ts AS (SELECT zf.a, zf.b, round({RATIO.format(u='zf.a', v='zf.b', n='l1.n')}, 3) AS ratio, round({RATIO.format(u='sa', v='sb', n='l2.n')}, 3) AS tsort,
 round(CASE WHEN l = '' OR r = '' THEN CASE WHEN z <> '' THEN 100 ELSE 0 END ELSE greatest(200.0 * l3.n / (length(ab) + length(ba)), CASE WHEN z <> '' THEN greatest(200.0 * length(z) / (length(z) + length(ab)), 200.0 * length(z) / (length(z) + length(ba))) ELSE 0 END) END, 3) AS tset
-FROM f LEFT JOIN lc l1 ON l1.u = f.a AND l1.v = f.b LEFT JOIN lc l2 ON l2.u = sa AND l2.v = sb LEFT JOIN lc l3 ON l3.u = ab AND l3.v = ba""",
-)
+FROM zf LEFT JOIN lc l1 ON l1.u = zf.a AND l1.v = zf.b LEFT JOIN lc l2 ON l2.u = sa AND l2.v = sb LEFT JOIN lc l3 ON l3.u = ab AND l3.v = ba)"""
+
+
+@query("sim01_ratios", f"WITH tp AS ({NAMES.format(part='part')}), {SIMS} SELECT a, b, ratio, tsort, tset FROM ts")
 def ratios(spark, sf) -> DataFrame:
     """SIM1 to SIM3."""
     a, b = F.col("a"), F.col("b")
