@@ -27,6 +27,23 @@ def test_clean(spark):
     assert one(spark, lambda x: text.clean(x, True), "<NULL>", "n/a", "D##85 , Rue  X") == ["", "", "d85,rue x"]
 
 
+def test_scripts_beyond_latin(spark):
+    assert one(spark, text.clean, "ＲＥＤ　Ｒｉｎｇ", "ﬁne ﬀ ½", "राम कृष्ण Ltd", "Ångström ǅ", "ﬃ‐x", None) == ["red ring", "fine ff 1 2", "ram krishn ltd", "angstrom dz", "ffi x", None]
+    assert one(spark, lambda x: text.clean(x, known={"राम": "rama"}), "राम १२") == ["rama 12"]
+    assert one(spark, lambda x: text.clean(x, True, {}, {"दिल्ली": "delhi"}), "१ मार्ग, दिल्ली") == ["1 marg,delhi"]
+    assert one(spark, text.plain, "Ｃａﬁé №5") == ["cafie No5"]  # lower case comes first
+    raw = spark.createDataFrame([(1, 1, "S1-1", "India", "श्री राम", "७ मार्ग, गोआ")], "src int, idx int, entity_id string, country string, name_raw string, addr_raw string")
+    r = normalize.records(raw, False, {"राम": "ram"}, {"गोआ": "goa"}).first()
+    assert (r.name_core, r.name_has_indic, r.state, r.house_num) == ("ram", True, "ga", "7")
+
+
+def test_long_unknown_tokens_are_cut_by_known_words(spark):
+    vocab = spark.createDataFrame([("US", "blue", 9), ("US", "ring", 9)], "country string, tok string, n long")
+    unknown = spark.createDataFrame([("US", "bluering"), ("US", "x" * 5000), ("US", "bluering" * 200)], "country string, tok string")
+    got = {r.tok: r.pieces for r in normalize.segments(unknown, vocab).collect()}
+    assert got == {"bluering": ["blue", "ring"], "bluering" * 200: ["blue", "ring"] * 200}
+
+
 def test_markers(spark):
     for value, main, after, found in (
         ("junk formerly known as real name", "junk real name", "real name", True),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kinlink.functions import similarity
 from kinlink.operators import audit, blocking, decide, learning, metrics
-from kinlink.operators.translit_learn import kept
+from kinlink.operators.translit_learn import kept, learn_states
 from kinlink.sources import tsv
 
 
@@ -80,22 +80,94 @@ def test_odds_and_thresholds(spark):
     assert len(decide.configurations()) == 3 * (13 + 81 + 5) and len(decide.configurations(True)) == 29
 
 
+def unions(keys):
+    """The smallest member of each one's component, by closing groups over shared keys."""
+    out, left = {}, set(range(len(keys)))
+    while left:
+        group, front = set(), {min(left)}
+        while front:
+            group |= front
+            front = {i for i in left - group if any(keys[i] & keys[g] for g in group)}
+        out |= {i: min(group) for i in group}
+        left -= group
+    return out
+
+
 def test_link_components_are_union_find(spark):
     rng = random.Random(4)
-    rows = [("US", s, 2, i, f"n{rng.randint(0, 3)}", f"h{rng.randint(0, 4)}", rng.choice(["", f"a{rng.randint(0, 4)}"])) for s in range(6) for i in range(8)]
-    pairs = spark.createDataFrame(rows, "country string, s1 int, src int, idx int, name string, house string, addr string")
+    rows = [("US", s, 2, i, rng.choice(["", "n1", "n2"]), rng.choice(["", "a1", "a2", "a3"]), f"N{rng.randint(0, 9)}", rng.choice(["", f"A{rng.randint(0, 9)}"])) for s in range(6) for i in range(9)]
+    pairs = spark.createDataFrame(rows, "country string, s1 int, src int, idx int, name_core string, addr_core string, name_raw string, addr_raw string")
     keyed = decide.link_keys(pairs)
     got = {(r.s1, r.idx): r.component for r in decide.link_components(keyed).collect()}
-    keys = {(r.s1, r.idx): set(r["keys"]) for r in keyed.collect()}
+
+    def keys(r):
+        _, _, _, _, n, a, nr, ar = r
+        return {k for k in (("both", n, a) if n and a else None, ("raw", nr) if nr else None, ("addr", ar) if ar else None, ("name", n) if n and not a else None) if k}
+
     for s in range(6):
-        left = set(range(8))
-        while left:
-            group, front = set(), {min(left)}
-            while front:
-                group |= front
-                front = {i for i in left - group if any(keys[s, i] & keys[s, g] for g in group)}
-            assert all(got[s, i] == min(group) for i in group)
-            left -= group
+        own = [r for r in rows if r[1] == s]
+        assert {i: got[s, i] for i in range(9)} == unions([keys(r) for r in own])
+
+
+def test_link_components_of_a_long_chain(spark):
+    rows = [("US", 1, 2, i, [f"k{i}", f"k{i + 1}"]) for i in range(40)] + [("US", 1, 2, 77, []), ("US", 1, 3, 5, ["k1"])]
+    random.Random(1).shuffle(rows)
+    pairs = spark.createDataFrame(rows, "country string, s1 int, src int, idx int, keys array<string>").repartition(3)
+    got = {(r.src, r.idx): r.component for r in decide.link_components(pairs).collect()}
+    assert {got[2, i] for i in range(40)} == {0} and got[2, 77] == 77 and got[3, 5] == 5
+
+
+def test_configuration_scores_are_those_of_each_configuration(spark):
+    rng = random.Random(8)
+    rows = [("US", s, 2, i, round(rng.random(), 3), rng.randint(0, 1)) for s in range(7) for i in range(rng.randint(0, 6))] + [("US", 1, 2, 3, 0.5, 1)]
+    rows = list({r[:4]: r for r in rows}.values())
+    pairs = spark.createDataFrame(rows, "country string, s1 int, src int, idx int, p double, label int")
+    sizes = spark.createDataFrame([("US", s, s % 3) for s in range(9)], "country string, s1 int, t int")
+    got = {(r.home, r.name): r.score for r in decide.configuration_scores(pairs, sizes).collect()}
+    assert len(got) == 297
+    for c in [{"home": "odds", "rule": "one", "t": 0.35}, {"home": "none", "rule": "two", "t1": 0.6, "t2": 0.3}, {"home": "argmax", "rule": "two", "t1": 0.3, "t2": 0.7}, {"home": "odds", "rule": "expected", "gamma": 1.25}]:
+        d = decide.apply_configuration(pairs, c).filter("accepted").groupBy("country", "s1").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("tp"))
+        expected = sizes.join(d, ["country", "s1"], "left").na.fill(0).agg(F.avg(blocking.f05(F.col("tp"), F.col("n"), F.col("t")))).first()[0]
+        name = {"one": lambda: f"one {c['t']:.2f}", "two": lambda: f"two {c['t1']:.2f} {c['t2']:.2f}", "expected": lambda: f"expected {c['gamma']:.2f}"}[c["rule"]]()
+        assert got[c["home"], name] == pytest.approx(expected), c
+    assert len(decide.configuration_scores(pairs, sizes, limited=True).collect()) == 29
+
+
+def test_similarity_columns_are_the_plain_ones(spark):
+    rng = random.Random(14)
+    words = ["red", "ring", "a", "blue", "works", "ab"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 5))), " ".join(rng.choices(words, k=rng.randint(0, 5)))) for _ in range(300)] + [(None, "a"), ("a", None)]
+    a, b = F.col("a"), F.col("b")
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", similarity.token_set_ratio(a, b), similarity.ratio(a, b), similarity.partial_ratio(a, b), similarity.jaro_winkler(a, b)).collect()
+    for x, y, *values in got:
+        if x is None or y is None:
+            assert values[1:] == [None] * 3
+        else:
+            assert values == pytest.approx([similarity.set_ratio_of(x, y), similarity.ratio_of(x, y), similarity.partial_ratio_of(x, y), similarity.jaro_winkler_of(x, y)], abs=1e-4), (x, y)
+
+
+def test_link_tokens(spark):
+    rows = [(2, 0, "US", 5, "x (ID: 77) y id:9", ""), (2, 1, "US", 5, "ID 77 #Tag_1 #12", ""), (2, 2, "US", -3, "call +1 (555) 010-1234 @me.you", ""), (3, 3, "US", -4, "WWW.Shop.COM shop.com", "555 0101234 1")]
+    table = spark.createDataFrame(rows, "src int, idx int, country string, entity long, name_raw string, addr_raw string")
+    tok = lambda k: sorted((r.idx, r.tok) for r in audit.link_tokens(table, k).collect())
+    assert tok("id_tag") == [(0, "77"), (0, "9"), (1, "77")] and tok("hash_tag") == [(1, "Tag_1")] and tok("handle") == [(2, "me.you")]
+    assert tok("domain") == [(3, "shop.com")] and tok("phone") == [(2, "15550101234"), (3, "55501012341")]
+    report = {r.kind: r for r in audit.token_report(table).collect()}
+    assert (report["id_tag"].n_pairs, report["id_tag"].n_true_pairs, report["id_tag"].n_covered) == (1.0, 1.0, 1) and report["phone"].precision is None
+
+
+def test_rank_correlation_in_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randint(0, 60), rng.randint(0, 5)) for _ in range(400)]
+
+    def rank(values):
+        order = sorted(values)
+        return [(order.index(v) + len(order) - 1 - order[::-1].index(v)) / 2 for v in values]
+
+    x, y = rank([a for a, _ in rows]), rank([b for _, b in rows])
+    mx, my = sum(x) / len(x), sum(y) / len(y)
+    rho = sum((p - mx) * (q - my) for p, q in zip(x, y)) / (sum((p - mx) ** 2 for p in x) * sum((q - my) ** 2 for q in y)) ** 0.5
+    assert audit.spearman(spark.createDataFrame(rows, "a int, b int"), "a", "b").first()["rho"] == pytest.approx(rho)
 
 
 @pytest.mark.parametrize("pred,true,expected", [("S2-00047 S2-00193 S3-00812", "S2-00047 S3-00812", 0.7142857), ("", "", 1.0), ("S2-1", "", 0.0), ("", "S2-1 S3-2", 0.0), ("S2-1 S3-2 S3-3", "S3-3 S2-1 S3-2", 1.0)])
@@ -155,6 +227,12 @@ def test_votes(spark):
     assert [tuple(r) for r in kept(spark.createDataFrame(rows, "key string, value string")).collect()] == [("k", "a", 3)]
 
 
+def test_learned_states(spark):
+    rows = [("दिल्ली,नगर", ["delhi", "nagar"], "dl")] * 4 + [("दिल्ली,क", ["delhi"], "")] + [("गोआ", ["x"], "ga")] * 3
+    got = {r["key"]: r["value"] for r in learn_states(spark.createDataFrame(rows, "noisy_addr string, s1_components array<string>, state string")).collect()}
+    assert got == {"गोआ": "ga", "दिल्ली": "dl"}  # नगर sounds like another component of the first source's address
+
+
 def test_learning_folds(spark):
     rows = spark.createDataFrame([("US", i % 40, 2, i, float(i % 7), None if i % 5 == 0 else 1.0, int(i % 7 > 3)) for i in range(400)], "country string, s1 int, src int, idx int, x double, y double, label int")
     ids = rows.select("country", "s1").distinct().withColumn("entity_id", F.concat(F.lit("S1-"), F.col("s1").cast("string")))
@@ -165,6 +243,34 @@ def test_learning_folds(spark):
     assert learning.calibration_table(got).agg(F.sum("n")).first()[0] == 400
 
 
+def test_models_are_saved_averaged_and_told_apart(spark, tmp_path):
+    rows = [("US" if i % 3 else "France", i % 40, 2, i, float(i % 7), float(i % 11) + (5.0 if i % 2 else 0.0), int(i % 7 > 3)) for i in range(400)]
+    table = spark.createDataFrame(rows, "country string, s1 int, src int, idx int, x double, y double, label int")
+    full, cols = learning.filled(learning.folds(table, table.select("country", "s1").distinct().withColumn("entity_id", F.concat_ws("-", "country", F.col("s1").cast("string")))), ["x", "y"], [])
+    _, models = learning.out_of_fold(full, cols, share=1.0, rounds=2, depth=2)
+    learning.save_models(models, str(tmp_path / "models"))
+    learning.save_models(models, str(tmp_path / "models"))
+    again = learning.load_models(str(tmp_path / "models"), 2)
+    key = lambda ms: sorted((r.idx, r.p_m0, r.p_m1, r.p) for r in learning.averaged(full, ms).collect())
+    assert key(again) == key(models)
+    assert all(p == pytest.approx((a + b) / 2) for _, a, b, p in key(models))
+    score, top = learning.adversarial(full.filter("idx % 2 = 0"), full.filter("idx % 2 = 1"), cols, 3)
+    assert score > 0.6 and top[0][0] == "y" and top[0][3] > top[0][2]
+    assert learning.feature_columns(full, drop=("y",)) == ["x"]
+    refit = learning.refit_with_pseudo(full, full.withColumn("p", F.col("label").cast("double")), cols, "US", "France", 2)
+    assert refit.count() == full.filter("country = 'France'").count() and learning.area(refit) > 0.9
+    assert learning.rank_shift([("a", 1.0), ("b", 0.5)], [("b", 1.0), ("a", 0.5)])[0][1] in (1, -1)
+    more = full.filter("idx < 10").select("country", "s1", "src", "idx", F.lit(7).alias("z"))
+    assert learning.augmented(full, more).agg(F.count(F.lit(1)), F.sum("z")).first()[:] == (400, 70)
+
+
+def test_long_cities(spark):
+    name = "dadra and nagar haveli and daman and diu"
+    rows = spark.createDataFrame([("I", 2, 0, [f"near {name} road"]), ("I", 2, 1, ["daman and"])], "country string, src int, idx int, components array<string>")
+    cities = spark.createDataFrame([(name, "dn"), ("daman", "dd")], "city string, region string")
+    assert {r.idx: r.region_found for r in audit.find_region(rows, cities).collect()} == {0: "dn", 1: "dd"}
+
+
 def test_regions(spark):
     comps = spark.createDataFrame([("lille", "hdf")] * 3 + [("lyon", "ara")] * 3 + [("ville", "hdf"), ("ville", "ara"), ("ville", "ara")], "component string, region string")
     cities = audit.region_cities(comps, 3)
