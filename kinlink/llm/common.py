@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -36,8 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_WRITTEN: set[str] = set()  # staged tables of this process
+
+
 class Staged:
-    """Tables written to the shared folder, so that a lost executor costs no recomputation of what led to them."""
+    """Tables written to the shared folder, so that a lost executor costs no recomputation of what led to them. They last as long as the process, as results read them lazily; release() deletes them before."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -46,6 +50,7 @@ class Staged:
     def put(self, df: DataFrame) -> tuple[DataFrame, str]:
         path = f"{self.root}/staged-{uuid.uuid4().hex}"
         schema = df.schema
+        _WRITTEN.add(path)
         df.write.parquet(path)
         return self.spark.read.schema(schema).parquet(path), path
 
@@ -53,6 +58,20 @@ class Staged:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        _WRITTEN.discard(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all staged tables of this process. Results that were not written yet can no longer be read."""
+    for path in sorted(_WRITTEN):
+        Staged(spark).drop(path)
+
+
+@atexit.register
+def _released_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and _WRITTEN:
+        release(spark)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -93,6 +112,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         store.drop(state_at)
         state, state_at = after.select("node", "root"), after_at
         if not changed:
+            store.drop(both_at)
             break
     else:
         raise RuntimeError("components did not settle")
