@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,6 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="kinlink-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return context._jsc.sc().getCheckpointDir().get()
 
