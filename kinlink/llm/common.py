@@ -90,6 +90,13 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in slices of so many rows, so that a worker holds the texts of few rows as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of edges (u, v): one row (node, root) for each node of an edge; root is the smallest node of its component.
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 SIGMA = 1.0  # of the Gaussian, in lines
 DENSE = 0.5  # of the densest container's ratio of text to tags that another one needs
@@ -265,7 +265,7 @@ def extract(html: str | None) -> str:
 
 
 def _batches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = [extract(h) for h in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import slices, staged, table
 
 ORDERS = (2, 3, 4)  # bytes in an n-gram
 BUCKETS = 1 << 16
@@ -56,7 +56,7 @@ def _encode(text: str | None) -> bytes:
 def _counts(batches):
     """(which, bucket, n): counts of this task; which is 1 in the target, 0 in all documents."""
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text, good in zip(batch.column("text").to_pylist(), batch.column("good").to_pylist()):
             for g in pieces(_encode(text)):
                 c = np.bincount(g, minlength=BUCKETS) if len(g) > 4096 else None
@@ -141,7 +141,7 @@ _SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 def _scored(weights: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             found = [rules(t) for t in texts]
             cols = [pa.array(c, pa.int64()) for c in (zip(*found) if found else [[]] * 5)]

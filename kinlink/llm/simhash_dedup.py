@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, small, staged, table
+from .common import components, slices, small, staged, table
 
 RADIUS = 2
 WIDTH = 3  # words in a shingle
@@ -55,7 +55,7 @@ def _signed(x: int) -> int:
 
 
 def _batches(batches):
-    for batch in batches:
+    for batch in slices(batches):
         prints = [_signed(fingerprint(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
@@ -162,7 +162,7 @@ def bands(hashes: np.ndarray) -> list[int]:
 
 
 def _sketched(batches):
-    for batch in batches:
+    for batch in slices(batches):
         texts = batch.column("text").to_pylist()
         prints = pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())
         keys = pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))
@@ -170,7 +170,7 @@ def _sketched(batches):
 
 
 def _shingled(batches):
-    for batch in batches:
+    for batch in slices(batches):
         found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["fp", "hashes"])
 

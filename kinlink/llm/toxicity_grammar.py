@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import slices, staged, table
 
 FIT_ROWS = 16_000  # labelled documents that arcs and weights are fitted on, at most
 HELD_OUT = 2  # crc32(doc_id) mod FOLDS of documents whose labels are never read
@@ -209,7 +209,7 @@ def _words(text: str | None) -> set[str]:
 
 def _family(batches):
     """Adds two minimum hashes of the words, by which near copies meet."""
-    for batch in batches:
+    for batch in slices(batches):
         keys = []
         for t in batch.column("text").to_pylist():
             words = _words(t) or {""}
@@ -227,7 +227,7 @@ def _stem_counts(batches):
         counts.clear()
         return rows
 
-    for batch in batches:
+    for batch in slices(batches):
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = _words(text)
             for stem in {w[:n] for w in words for n in STEMS if len(w) >= n} | {w + "$" for w in words}:
@@ -257,7 +257,7 @@ def learn_stems(sample: DataFrame) -> dict[str, str]:
 def _featured(stems: dict[str, str]):
     def run(batches):
         lexer = Lexer(stems)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [features(t, lexer) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
 
@@ -291,7 +291,7 @@ def scored(texts: list[str | None], lexer: Lexer, weights: np.ndarray) -> np.nda
 def _scored(stems: dict[str, str], weights: np.ndarray):
     def run(batches):
         lexer = Lexer(stems)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scored(batch.column("text").to_pylist(), lexer, weights))], ["doc_id", "score"])
 
     return run
@@ -300,7 +300,7 @@ def _scored(stems: dict[str, str], weights: np.ndarray):
 def _clean(stems: dict[str, str], weights: np.ndarray):
     def run(batches):
         lexer = Lexer(stems)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array(scored(batch.column("text").to_pylist(), lexer, weights) < CUT))
 
     return run
