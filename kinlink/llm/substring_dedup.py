@@ -4,7 +4,7 @@ Equal strings must meet, so text is cut by content: every LENGTH-byte window has
 
 No shard grows with the corpus. Before anything is sent, the bytes of pieces are counted by minimizer. Windows whose minimizer has more than HOT bytes (a gram that is common all over the corpus) are keyed by a second, independent minimizer as well, and where such a pair still has more than HOT, by a hash of the whole window. All three are functions of the window, so equal windows still meet.
 
-In a shard, windows whose hash occurs in one document only are set aside. Over the rest a suffix array is built by Larsson-Sadakane refinement (sorting only the groups that are still tied, by the ranks a doubled distance ahead), common prefixes follow in Kasai's text order, and a run of suffixes with common prefixes of LENGTH bytes is one string; its smallest doc_id keeps it. A shard that outgrows a chunk is cut into chunks with a suffix array each, and their strings are merged by binary search.
+In a shard, windows whose hash occurs in one document only are set aside. Over the rest a suffix array is built by Larsson-Sadakane refinement (sorting only the groups that are still tied, by the ranks a doubled distance ahead), common prefixes follow in Kasai's text order, and a run of suffixes with common prefixes of LENGTH bytes is one string; its smallest doc_id keeps it. A shard that outgrows a chunk sets windows aside over all of it first; what is left is one chunk in most cases, and else is cut into chunks with a suffix array each, whose strings are merged by binary search.
 """
 
 from __future__ import annotations
@@ -92,7 +92,12 @@ class Keys:
         if self.hot:
             at = np.flatnonzero(self._hot(keys, 0))
             if len(at):
-                second = minimizers(w ^ np.uint64(0xD6E8FEB86659FD93))[at]
+                # only over the grams of these windows, side by side
+                edge = np.zeros(len(w) + 1, np.int32)
+                edge[at] += 1
+                edge[at + SPREAD] -= 1
+                held = np.cumsum(edge[:-1]) > 0
+                second = minimizers(w[held] ^ np.uint64(0xD6E8FEB86659FD93))[(np.cumsum(held) - 1)[at]]
                 keys[at] = _mix(keys[at] ^ _mix(second.astype(np.uint64) + np.uint64(1)))
                 if len(self.hot) > 1:
                     at = at[self._hot(keys[at], 1)]
@@ -186,20 +191,18 @@ def keyed(docs: DataFrame, routes: int, hot: int = HOT) -> Keys:
     return by
 
 
-def _pack(pieces: list[bytes], docs: np.ndarray, crcs: np.ndarray, offs: np.ndarray, subs: np.ndarray) -> bytes:
-    """Pieces in the order of their shard and document, packed; doc_ids as differences."""
-    order = np.lexsort((offs, docs, subs))
-    chosen = [pieces[i] for i in order.tolist()]
+def _pack(pieces: list[bytes], docs: np.ndarray, crcs: np.ndarray, offs: np.ndarray, sizes: np.ndarray, subs: np.ndarray) -> bytes:
+    """Pieces, which are in the order of their shard and document, in one run of bytes; doc_ids as differences."""
     parts = [
-        struct.pack("<I", len(chosen)),
+        struct.pack("<I", len(pieces)),
         np.bincount(subs, minlength=SUBS).astype("<u4").tobytes(),
-        np.diff(docs[order], prepend=np.int64(0)).astype("<i8").tobytes(),
-        crcs[order].astype("<u4").tobytes(),
-        offs[order].astype("<i8").tobytes(),
-        np.fromiter(map(len, chosen), "<u4", len(chosen)).tobytes(),
-        *chosen,
+        np.diff(docs, prepend=np.int64(0)).tobytes(),
+        crcs.tobytes(),
+        offs.tobytes(),
+        sizes.tobytes(),
+        *pieces,
     ]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return b"".join(parts)
 
 
 class Pieces:
@@ -208,29 +211,43 @@ class Pieces:
     def __init__(self, data: bytes, sizes, docs, crcs, offs):
         self.data, self.sizes, self.docs, self.crcs, self.offs = data, sizes, docs, crcs, offs
 
-    @classmethod
-    def join(cls, many: list[Pieces]) -> Pieces:
-        return cls(b"".join(p.data for p in many), *(np.concatenate([getattr(p, n) for p in many]) for n in ("sizes", "docs", "crcs", "offs")))
-
     def part(self, a: int, b: int) -> Pieces:
         ends = np.concatenate([[0], np.cumsum(self.sizes)])
         return Pieces(self.data[ends[a] : ends[b]], *(getattr(self, n)[a:b] for n in ("sizes", "docs", "crcs", "offs")))
 
 
-def _unpack(blob: bytes) -> list[Pieces]:
-    """The pieces of each shard in the blob."""
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = struct.unpack_from("<I", data)[0]
-    at = 4
-    arrays = []
-    for kind, count in (("<u4", SUBS), ("<i8", n), ("<u4", n), ("<i8", n), ("<u4", n)):
-        a = np.frombuffer(data, kind, count, at)
-        arrays.append(a)
-        at += a.nbytes
-    counts, ids, crcs, offs, sizes = arrays
-    every = Pieces(data[at:], sizes.astype(np.int64), np.cumsum(ids), crcs, offs)
-    stops = np.cumsum(counts)
-    return [every.part(b - c, b) for b, c in zip(stops.astype(int), counts.astype(int))]
+def _unpack(blobs: list[bytes]) -> Iterator[Pieces]:
+    """The pieces of each shard in the blobs, those of all blobs together."""
+    texts: list[list[bytes]] = [[] for _ in range(SUBS)]
+    many, columns = [], []
+    expand = zstandard.ZstdDecompressor().decompress
+    for blob in blobs:
+        data = expand(blob)
+        n = struct.unpack_from("<I", data)[0]
+        at = 4
+        arrays = []
+        for kind, count in (("<u4", SUBS), ("<i8", n), ("<u4", n), ("<i8", n), ("<u4", n)):
+            a = np.frombuffer(data, kind, count, at)
+            arrays.append(a)
+            at += a.nbytes
+        counts, ids, crcs, offs, sizes = arrays
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])] + at
+        for own, s, e in zip(texts, ends[:-1].tolist(), ends[1:].tolist()):
+            if e > s:
+                own.append(data[s:e])
+        many.append(counts)
+        # copies, as views would hold the bytes of all pieces
+        columns.append((sizes.astype(np.int64), np.cumsum(ids), crcs.copy(), offs.copy()))
+    if not many:
+        return
+    shard = np.repeat(np.tile(np.arange(SUBS), len(many)), np.concatenate(many))
+    order = np.argsort(shard, kind="stable")
+    every = [np.concatenate(c)[order] for c in zip(*columns)]
+    stops = np.cumsum(np.bincount(shard, minlength=SUBS))
+    for sub, (s, e) in enumerate(zip([0, *stops[:-1].tolist()], stops.tolist())):
+        if e > s:
+            data, texts[sub] = b"".join(texts[sub]), []
+            yield Pieces(data, *(c[s:e] for c in every))
 
 
 def suffix_array(buf: np.ndarray, depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -315,28 +332,15 @@ class Shard:
         self.buf = np.frombuffer(pieces.data, np.uint8)
         ends = np.cumsum(pieces.sizes)
         self.starts = ends - pieces.sizes
-        many = pieces.sizes - LENGTH + 1
-        self.valid = np.repeat(self.starts - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+    def windows(self) -> np.ndarray:
+        """The places at which windows start, ascending."""
+        many = self.pieces.sizes - LENGTH + 1
+        return np.repeat(self.starts - np.cumsum(many) + many, many) + np.arange(many.sum())
 
     def owner(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
 
-    def doubtful(self) -> np.ndarray:
-        """Windows whose hash occurs in two documents or more."""
-        w = words(np.concatenate([self.buf, np.zeros(8, np.uint8)]))
-        h = _hashes(w, self.valid)
-        cell = (h >> np.uint64(43)).astype(np.int64)
-        some = np.flatnonzero(np.bincount(cell, minlength=1 << 21)[cell] > 1)
-        order = some[np.argsort(h[some], kind="stable")]
-        key = h[order]
-        if not len(key):
-            return np.empty(0, np.int64)
-        new = np.concatenate([[True], key[1:] != key[:-1]])
-        heads = np.flatnonzero(new)
-        doc = self.pieces.docs[self.owner(self.valid[order])]
-        mixed = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
-        return np.sort(self.valid[order[mixed[np.cumsum(new) - 1]]])
-
     def solve(self, places: np.ndarray) -> None:
         """Groups the windows at places (ascending) by their string."""
         self.places = places
@@ -399,20 +403,68 @@ def search(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where((lo < len(among)) & (among[at] == keys).all(axis=1), at, -1)
 
 
-def resolve(pieces: Pieces, chunk: int = CHUNK) -> list[tuple[int, int, int, int]]:
-    """What goes from the pieces of one shard. One chunk is solved at once; several get a suffix array each and are merged."""
-    if len(pieces.data) <= chunk or len(pieces.sizes) < 2:
-        shard = Shard(pieces)
-        shard.solve(shard.doubtful())
-        return shard.spans()
-    ends = np.cumsum(pieces.sizes)
+def _cuts(sizes: np.ndarray, chunk: int) -> list[tuple[int, int]]:
+    """Stretches of items of chunk together, or of one that is larger."""
+    ends = np.cumsum(sizes)
     cuts = [0]
     while cuts[-1] < len(ends):
         done = ends[cuts[-1] - 1] if cuts[-1] else 0
         cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + chunk, side="right"))))
-    shards = [Shard(pieces.part(a, b)) for a, b in zip(cuts, cuts[1:])]
-    for s in shards:
-        s.solve(s.valid)
+    return list(zip(cuts, cuts[1:]))
+
+
+def doubtful(pieces: Pieces, chunk: int = CHUNK) -> np.ndarray:
+    """Places of the windows whose hash occurs in two documents or more, ascending; hashes are made of a chunk at a time, twice."""
+    parts = [(Shard(pieces.part(a, b)), int(pieces.sizes[:a].sum())) for a, b in _cuts(pieces.sizes, chunk)]
+    bits = max(21, (len(pieces.data) - 1).bit_length())
+    held = np.zeros(1 << bits, np.int64)
+
+    def hashed(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        places = shard.windows()
+        h = _hashes(words(np.concatenate([shard.buf, np.zeros(8, np.uint8)])), places)
+        return places, h, (h >> np.uint64(64 - bits)).astype(np.int64)
+
+    last = None
+    for shard, _ in parts:
+        last = hashed(shard)
+        held += np.bincount(last[2], minlength=1 << bits)
+    keys, docs, at = [], [], []
+    for shard, base in parts:
+        places, h, cell = last if len(parts) == 1 else hashed(shard)
+        some = np.flatnonzero(held[cell] > 1)
+        keys.append(h[some])
+        docs.append(shard.pieces.docs[shard.owner(places[some])])
+        at.append(places[some] + base)
+    key, doc, place = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (keys, docs, at))
+    if not len(key):
+        return np.empty(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    key, doc = key[order], doc[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    heads = np.flatnonzero(new)
+    mixed = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
+    return np.sort(place[order[mixed[np.cumsum(new) - 1]]])
+
+
+def resolve(pieces: Pieces, chunk: int = CHUNK) -> list[tuple[int, int, int, int]]:
+    """What goes from the pieces of one shard. Windows that no other document has are set aside over the whole of it. If what the others cover fits a chunk it is solved at once; else chunks get a suffix array each and are merged."""
+    places = doubtful(pieces, chunk)
+    if not len(places):
+        return []
+    ends = np.cumsum(pieces.sizes)
+    # bytes that are covered, by piece
+    fresh = np.minimum(np.diff(places, prepend=np.int64(-LENGTH)), LENGTH)
+    covered = np.bincount(np.searchsorted(ends, places, side="right"), fresh, len(ends)).astype(np.int64)
+    if covered.sum() <= chunk or len(ends) < 2:
+        whole = Shard(pieces)
+        whole.solve(places)
+        return whole.spans()
+    shards = []
+    for a, b in _cuts(covered, chunk):
+        base = int(ends[a - 1]) if a else 0
+        s = Shard(pieces.part(a, b))
+        s.solve(places[np.searchsorted(places, base) : np.searchsorted(places, int(ends[b - 1]))] - base)
+        shards.append(s)
     own = [s.least for s in shards]
     for i, a in enumerate(shards):
         keys, least = a.keys(), own[i].copy()
@@ -469,17 +521,20 @@ class Outbox:
                 seen[piece] = doc
                 pieces.append(piece)
         keys = keys[kept]
-        self.columns.append((docs[kept], crcs[kept], offs[kept], (keys % np.uint64(self.routes)).astype(np.int64), (keys >> np.uint64(60)).astype(np.int64)))
+        self.columns.append((docs[kept], crcs[kept].astype("<u4"), offs[kept], lens[kept].astype("<u4"), (keys >> np.uint64(60)).astype(np.int64), (keys % np.uint64(self.routes)).astype(np.int64)))
         self.size += int(lens[kept].sum()) + 60 * int(kept.sum())
 
     def batches(self):
         if self.pieces:
-            docs, crcs, offs, routes, subs = (np.concatenate(c) for c in zip(*self.columns))
-            order = np.argsort(routes, kind="stable")
-            cuts = np.flatnonzero(np.diff(routes[order], prepend=-1))
-            for part in np.split(order, cuts[1:]):
-                blob = _pack([self.pieces[i] for i in part.tolist()], docs[part], crcs[part], offs[part], subs[part])
-                yield pa.RecordBatch.from_pydict({"route": [int(routes[part[0]])], "blob": [blob], "doc_id": [None], "crc": [None], "s": [None], "e": [None]}, schema=_SENT)
+            docs, crcs, offs, sizes, subs, routes = (np.concatenate(c) for c in zip(*self.columns))
+            order = np.lexsort((offs, docs, subs, routes))
+            docs, crcs, offs, sizes, subs, routes = (c[order] for c in (docs, crcs, offs, sizes, subs, routes))
+            pieces = [self.pieces[i] for i in order.tolist()]
+            cuts = np.flatnonzero(np.diff(routes, prepend=-1, append=-1)).tolist()
+            squeeze = zstandard.ZstdCompressor(level=3).compress
+            blobs = [squeeze(_pack(pieces[a:b], docs[a:b], crcs[a:b], offs[a:b], sizes[a:b], subs[a:b])) for a, b in zip(cuts, cuts[1:])]
+            none = pa.nulls(len(blobs), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(routes[cuts[:-1]], pa.int32()), pa.array(blobs, pa.binary()), none, none, none, none], schema=_SENT)
         if self.spans:
             doc, crc, s, e = zip(*self.spans)
             yield pa.RecordBatch.from_pydict({"route": [d % self.routes for d in doc], "blob": [None] * len(doc), "doc_id": doc, "crc": crc, "s": s, "e": e}, schema=_SENT)
@@ -520,19 +575,13 @@ def distinct(pieces: Pieces) -> tuple[Pieces, list[tuple[int, int, int, int]]]:
 
 
 def _gather(table: pa.Table) -> pa.Table:
-    shards: list[list[Pieces]] = [[] for _ in range(SUBS)]
     sent = table.filter(pc.is_valid(table.column("blob")))
     settled = table.filter(pc.is_null(table.column("blob"))).select(["doc_id", "crc", "s", "e"])
-    for blob in sent.column("blob").to_pylist():
-        for held, pieces in zip(shards, _unpack(blob)):
-            if len(pieces.sizes):
-                held.append(pieces)
     rows: list[tuple[int, int, int, int]] = []
-    for held in shards:
-        if held:
-            pieces, gone = distinct(Pieces.join(held))
-            rows += gone
-            rows += resolve(pieces)
+    for shard in _unpack(sent.column("blob").to_pylist()):
+        pieces, gone = distinct(shard)
+        rows += gone
+        rows += resolve(pieces)
     pa.default_memory_pool().release_unused()
     met = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _SPAN.types)], schema=_SPAN)
     return pa.concat_tables([met, settled.cast(_SPAN)])

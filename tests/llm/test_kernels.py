@@ -108,6 +108,32 @@ def test_a_common_gram_does_not_fill_a_shard():
     assert shares[0] > 0.5 and shares[2] > 0.5 and shares[1] < 0.05 and shares[3] < 0.6 * shares[1]
 
 
+def test_a_large_shard_solves_only_windows_of_two_documents(monkeypatch):
+    """A shard of several chunks sorts what two documents may share, not all of its windows."""
+    rng = random.Random(11)
+    shared = rng.randbytes(80)
+    texts = [rng.randbytes(3000) for _ in range(40)]
+    texts[5], texts[31] = shared + texts[5], texts[31] + shared
+    sizes = np.array([len(t) for t in texts], np.int64)
+    pieces = substring_dedup.Pieces(b"".join(texts), sizes, np.arange(40), np.zeros(40, np.int64), np.zeros(40, np.int64))
+    solved, whole = [], substring_dedup.Shard.solve
+    monkeypatch.setattr(substring_dedup.Shard, "solve", lambda self, places: (solved.append(len(places)), whole(self, places))[1])
+    assert substring_dedup.resolve(pieces, 20_000) == [(31, 0, 3000, 3080)]
+    assert sum(solved) == 2 * 31
+
+
+def test_a_flush_sends_all_routes_in_one_batch():
+    rng = random.Random(12)
+    docs = [(i, rng.randbytes(400)) for i in range(30)]
+    box = substring_dedup.Outbox(50, substring_dedup.Keys(50 * substring_dedup.FINE, []))
+    box.take(docs)
+    sent = list(box.batches())
+    assert len(sent) == 1 and len(set(sent[0].column("route").to_pylist())) == sent[0].num_rows > 40
+    found = list(substring_dedup._unpack(sent[0].column("blob").to_pylist()))
+    held = [(d, p.data[a : a + n], o) for p in found for d, a, n, o in zip(p.docs.tolist(), (np.cumsum(p.sizes) - p.sizes).tolist(), p.sizes.tolist(), p.offs.tolist())]
+    assert len(held) == sum(len(p.sizes) for p in found) > 100 and all(docs[d][1][o : o + len(x)] == x for d, x, o in held)
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(5)
     for _ in range(20):
