@@ -18,7 +18,7 @@ def test_name_pairs_are_those_of_all_parts(spark, tmp_path):
     assert found == pairs(text_queries._name_pairs(spark, str(tmp_path))) and ("a", "a") in found and ("b", "a") in found and ("c", "c") not in found
 
 
-@pytest.mark.parametrize("name,n", [("sim06_best_match", 3), ("sim01_ratios", 9), ("sim05_jaro_winkler", 9)])
+@pytest.mark.parametrize("name,n", [("sim06_best_match", 3), ("sim01_ratios", 9), ("sim05_jaro_winkler", 9), ("sim04_partial_ratio", 9)])
 def test_a_large_group_of_parts(spark, tmp_path, name, n):
     """60,000 parts of one type and brand, 1.8 billion pairs, but three names."""
     spark.range(60_000).selectExpr("id AS p_partkey", f"{KINDS} AS p_name", "'t' AS p_type", "'b' AS p_brand").write.parquet(str(tmp_path / "part.parquet"))
