@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,26 @@ def test_configuration_scores_are_those_of_each_configuration(spark):
     assert len(decide.configuration_scores(pairs, sizes, limited=True).collect()) == 29
 
 
+def test_configuration_counts_are_those_of_single_records(spark, monkeypatch):
+    """Records of many candidates, that go over several gatherings, against best_count(); a candidate without p is accepted by none."""
+    monkeypatch.setattr(decide, "GATHER", 50)
+    rng = random.Random(18)
+    lists = [sorted((round(rng.random() ** 2, 2) for _ in range(rng.randint(0, 40))), reverse=True) for _ in range(60)]
+    table = spark.createDataFrame([([x for x in q if x >= 0.01][:15],) for q in lists], "q array<double>")
+    for g in (0.8, 1.0, 1.5):
+        q = np.array([r.q + [0.0] * (15 - len(r.q)) for r in table.collect()])
+        assert decide.best_counts(q, g).tolist() == [r[0] for r in table.select(decide.best_count(F.col("q"), g)).collect()]
+    rows = [("US", s, 2, i, p, rng.randint(0, 1)) for s, q in enumerate(lists) for i, p in enumerate(q)]
+    kinds = "country string, s1 int, src int, idx int, p double, label int"
+    without = [(c, s, 3, -1, None, 1) for c, s in {r[:2] for r in rows}]
+    sizes = spark.createDataFrame([("US", s, s % 5) for s in range(len(lists))], "country string, s1 int, t int")
+    scores = [{(r.home, r.name): r.score for r in decide.configuration_scores(spark.createDataFrame(x, kinds), sizes).collect() if r.home != "odds"} for x in (rows, rows + without)]
+    assert scores[0] == pytest.approx(scores[1]) and len(scores[0]) == 198
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("country", "s1", "src", "idx", "none", "label"), r)) for r in rows[i : i + 7]]) for i in range(0, len(rows), 7)]
+    got = {r["s1"]: r["n"] for b in decide._counted(("none",), False)(iter(batches)) for r in b.to_pylist()}
+    assert got.keys() == {r[1] for r in rows} and all(n[0] == sum(p >= 0.2 for p in lists[s]) for s, n in got.items())
+
+
 def test_similarity_columns_are_the_plain_ones(spark):
     rng = random.Random(14)
     words = ["red", "ring", "a", "blue", "works", "ab"]
