@@ -1,11 +1,13 @@
-"""Name pairs of large groups of parts, which joining all parts would not finish."""
+"""Queries that must not walk all pairs of large groups of rows."""
 
 import time
 
 import pytest
 
 import __spark_entry__ as entry
-from kinlink.plans import text_queries
+from kinlink.operators import blocking
+from kinlink.plans import blocking_queries, text_queries
+from kinlink.plans.views import view
 
 KINDS = "CASE id % 3 WHEN 0 THEN 'red ring' WHEN 1 THEN 'red bolt' ELSE 'old gear' END"
 
@@ -25,3 +27,19 @@ def test_a_large_group_of_parts(spark, tmp_path, name, n):
     began = time.monotonic()
     assert len(entry.queries()[name](spark, str(tmp_path)).collect()) == n
     assert time.monotonic() - began < 30
+
+
+def test_lost_recall_of_groups_is_that_of_their_pairs(spark, tmp_path):
+    """Records of few names, many of them alike: the query joins no true pairs one by one, and counts what listing them counts."""
+    spark.range(900).selectExpr("id AS p_partkey", f"{KINDS.replace("id % 3", "id % 5")} AS p_name", "concat('T', id % 2) AS p_type", "concat('Brand#', id % 4) AS p_brand", "cast(id % 12 AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    sf = str(tmp_path)
+    keys = blocking.keys(blocking_queries.records(spark, sf))
+    listed = blocking.lost_recall(keys, blocking.blocks(keys), view(spark, sf, "truth"), 2000).first()
+    asked = []
+    original = blocking_queries.view
+    blocking_queries.view = lambda s, d, name: (asked.append(name), original(s, d, name))[1]
+    try:
+        assert entry.queries()["bk17_lost_recall"](spark, sf).first() == listed and "truth" not in asked
+    finally:
+        blocking_queries.view = original
+    assert listed.n_true > 1000
