@@ -29,6 +29,11 @@ def test_a_large_group_of_parts(spark, tmp_path, name, n):
     assert time.monotonic() - began < 30
 
 
+def test_best_configuration_walks_no_lists_of_candidates(spark):
+    plan = entry.queries()["rp05_best_configuration"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+
+
 def test_lost_recall_of_groups_is_that_of_their_pairs(spark, tmp_path):
     """Records of few names, many of them alike: the query joins no true pairs one by one, and counts what listing them counts."""
     spark.range(900).selectExpr("id AS p_partkey", f"{KINDS.replace("id % 3", "id % 5")} AS p_name", "concat('T', id % 2) AS p_type", "concat('Brand#', id % 4) AS p_brand", "cast(id % 12 AS int) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
