@@ -5,6 +5,7 @@ Conventions at the edges: two empty texts score 100 and one empty text 0, but an
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,8 +44,8 @@ def partial_ratio_of(a: str, b: str) -> float:
     chars = set(a)
     for start in range(1 - m, len(b)):
         lo, hi = max(start, 0), min(start + m, len(b))
-        # a window that neither begins nor ends with a character of a is no better than a shorter one
-        if (lo and b[lo] not in chars) or (hi < len(b) and b[hi - 1] not in chars):
+        # a window that begins without a character of a is no better than the next one, and one at the begin that ends so no better than a shorter one
+        if b[lo] not in chars if lo else hi < len(b) and b[hi - 1] not in chars:
             continue
         best = max(best, ratio_of(a, b[lo:hi]))
         if best == 100.0:
@@ -52,6 +53,65 @@ def partial_ratio_of(a: str, b: str) -> float:
     return best
 
 
+WORD = 63  # letters of the shorter text up to which partial_ratios() works on many pairs at once
+TOGETHER = 1 << 16  # windows that it looks at in one step
+
+
+def _letters(texts: list[str], pad: int) -> np.ndarray:
+    """Code points of texts as rows, filled up with pad."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), max(1, int(sizes.max(initial=0)))), pad, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def _partial_of_many(a: list[str], b: list[str]) -> np.ndarray:
+    """partial_ratio_of() of pairs with 0 < len(a) <= len(b) and len(a) <= WORD: the rows of lcs() for all windows of all pairs, a machine word each."""
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    x, y = _letters(a, -1), _letters(b, -2)
+    # for each letter of b the places in a that have it
+    places = np.zeros(y.shape, np.uint64)
+    for i in range(x.shape[1]):
+        places |= np.where(y == x[:, i : i + 1], np.uint64(1) << np.uint64(i), np.uint64(0))
+    many = m + n - 1
+    pair = np.repeat(np.arange(len(a)), many)
+    start = np.arange(len(pair)) - np.repeat(np.cumsum(many) - many, many) + 1 - m[pair]
+    lo, hi = np.maximum(start, 0), np.minimum(start + m[pair], n[pair])
+    full = (np.uint64(1) << m[pair].astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    for k in range(int(m.max())):
+        at = lo + k
+        hit = row & np.where(at < hi, places[pair, np.minimum(at, y.shape[1] - 1)], np.uint64(0))
+        row = ((row + hit) | (row - hit)) & full
+    score = 200.0 * (m[pair] - np.bitwise_count(row).astype(np.int64)) / (m[pair] + hi - lo)
+    return np.maximum.reduceat(score, np.cumsum(many) - many)
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """partial_ratio_of() of each pair."""
+    out = [0.0] * len(pairs)
+    held: list[int] = []
+    windows = 0
+
+    def settle() -> None:
+        a, b = zip(*(sorted(pairs[i], key=len) for i in held))
+        for i, score in zip(held, _partial_of_many(list(a), list(b)).tolist()):
+            out[i] = score
+
+    for i, (a, b) in enumerate(pairs):
+        if not a or not b or min(len(a), len(b)) > WORD:
+            out[i] = partial_ratio_of(a, b)
+            continue
+        held.append(i)
+        windows += len(a) + len(b)
+        if windows >= TOGETHER:
+            settle()
+            held, windows = [], 0
+    if held:
+        settle()
+    return out
+
+
 def jaro_winkler_of(a: str, b: str, weight: float = 0.1) -> float:
     """0 to 1; the common prefix of up to four characters counts where the Jaro similarity exceeds 0.7."""
     if not a and not b:
@@ -99,7 +159,15 @@ def _pairwise(function):
     return run
 
 
-_ratio, _partial, _jaro = _pairwise(ratio_of), _pairwise(partial_ratio_of), _pairwise(jaro_winkler_of)
+@F.pandas_udf(T.FloatType())
+def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
+    both = list(zip(a, b))
+    found = list({p for p in both if p[0] is not None and p[1] is not None})
+    scores = dict(zip(found, partial_ratios(found)))
+    return pd.Series([scores.get(p) for p in both], dtype="float32")
+
+
+_ratio, _jaro = _pairwise(ratio_of), _pairwise(jaro_winkler_of)
 
 
 def _settled(run, a: Column, b: Column, same: float) -> Column:

@@ -44,6 +44,24 @@ def test_other_similarities():
         assert similarity.partial_ratio_of(a, b) == pytest.approx(max(similarity.ratio_of(s, w) for w in windows))
 
 
+def test_partial_ratios_of_many_pairs(monkeypatch):
+    """Many pairs at a time, one by one only where the shorter text fills more than a machine word."""
+    rng = random.Random(21)
+    made = lambda most: "".join(rng.choice("abc é\U0001f600") for _ in range(rng.randint(0, most)))
+    pairs = [(made(14), made(14)) for _ in range(400)] + [(made(40), made(200)) for _ in range(40)] + [("ab" * 31 + "c", "ba" * 60), ("ab" * 40, "ba" * 50), ("", ""), ("a", "")]
+    expected = [similarity.partial_ratio_of(a, b) for a, b in pairs]
+    assert similarity.partial_ratio_of("acb", "zzabzz") == pytest.approx(200 * 2 / 6)  # all best windows begin or end without a letter of the shorter
+    for (a, b), score in zip(pairs, expected):
+        s, t = sorted((a, b), key=len)
+        assert score == pytest.approx(max((similarity.ratio_of(s, t[max(i, 0) : i + len(s)]) for i in range(1 - len(s), len(t))), default=0) if s else 0 if t else 100)
+    monkeypatch.setattr(similarity, "TOGETHER", 500)
+    assert similarity.partial_ratios(pairs) == pytest.approx(expected)
+    asked = []
+    monkeypatch.setattr(similarity, "partial_ratio_of", lambda a, b: asked.append(min(len(a), len(b))) or 0.0)
+    similarity.partial_ratios(pairs)
+    assert all(n == 0 or n > similarity.WORD for n in asked)
+
+
 def expected_brute(q, j):
     total = 0.0
     for truth in itertools.product((0, 1), repeat=len(q)):
