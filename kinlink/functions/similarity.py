@@ -112,6 +112,31 @@ def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
     return out
 
 
+def _ratio_of_many(a: list[str], b: list[str]) -> np.ndarray:
+    """ratio_of() of pairs with 0 < len(a) <= len(b) and len(a) <= WORD, a machine word each."""
+    m, n = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    x, y = _letters(a, -1), _letters(b, -2)
+    full = (np.uint64(1) << m.astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    bits = np.uint64(1) << np.arange(x.shape[1], dtype=np.uint64)
+    for k in range(y.shape[1]):
+        hit = row & np.where(x == y[:, k : k + 1], bits, np.uint64(0)).sum(axis=1, dtype=np.uint64)
+        row = ((row + hit) | (row - hit)) & full
+    return 200.0 * (m - np.bitwise_count(row).astype(np.int64)) / (m + n)
+
+
+def ratios(pairs: list[tuple[str, str]], together: int = 2048) -> list[float]:
+    """ratio_of() of each pair; those of like length side by side."""
+    short = [i for i, (a, b) in enumerate(pairs) if 0 < min(len(a), len(b)) <= WORD]
+    out = dict.fromkeys(short, 0.0)
+    short.sort(key=lambda i: max(map(len, pairs[i])))
+    for at in range(0, len(short), together):
+        some = short[at : at + together]
+        a, b = zip(*(sorted(pairs[i], key=len) for i in some))
+        out.update(zip(some, _ratio_of_many(list(a), list(b)).tolist()))
+    return [out[i] if i in out else ratio_of(*p) for i, p in enumerate(pairs)]
+
+
 def jaro_winkler_of(a: str, b: str, weight: float = 0.1) -> float:
     """0 to 1; the common prefix of up to four characters counts where the Jaro similarity exceeds 0.7."""
     if not a and not b:
@@ -159,15 +184,20 @@ def _pairwise(function):
     return run
 
 
-@F.pandas_udf(T.FloatType())
-def _partial(a: pd.Series, b: pd.Series) -> pd.Series:
-    both = list(zip(a, b))
-    found = list({p for p in both if p[0] is not None and p[1] is not None})
-    scores = dict(zip(found, partial_ratios(found)))
-    return pd.Series([scores.get(p) for p in both], dtype="float32")
+def _distinct(function):
+    """function, which takes a list of pairs, over the distinct pairs of a batch."""
+
+    @F.pandas_udf(T.FloatType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = list(zip(a, b))
+        found = list({p for p in both if p[0] is not None and p[1] is not None})
+        scores = dict(zip(found, function(found)))
+        return pd.Series([scores.get(p) for p in both], dtype="float32")
+
+    return run
 
 
-_ratio, _jaro = _pairwise(ratio_of), _pairwise(jaro_winkler_of)
+_ratio, _partial, _jaro = _distinct(ratios), _distinct(partial_ratios), _pairwise(jaro_winkler_of)
 
 
 def _settled(run, a: Column, b: Column, same: float) -> Column:

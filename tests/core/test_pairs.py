@@ -62,6 +62,18 @@ def test_partial_ratios_of_many_pairs(monkeypatch):
     assert all(n == 0 or n > similarity.WORD for n in asked)
 
 
+def test_ratios_of_many_pairs(monkeypatch):
+    rng = random.Random(22)
+    made = lambda most: "".join(rng.choice("abc é\U0001f600") for _ in range(rng.randint(0, most)))
+    pairs = [(made(14), made(14)) for _ in range(300)] + [(made(70), made(200)) for _ in range(60)] + [("ab" * 31 + "c", "ba" * 60), ("", "")]
+    assert similarity.ratios(pairs, 50) == pytest.approx([similarity.ratio_of(a, b) for a, b in pairs])
+    assert similarity.ratios([]) == []
+    asked = []
+    monkeypatch.setattr(similarity, "ratio_of", lambda a, b: asked.append(min(len(a), len(b))) or 0.0)
+    similarity.ratios(pairs)
+    assert all(n == 0 or n > similarity.WORD for n in asked)
+
+
 def expected_brute(q, j):
     total = 0.0
     for truth in itertools.product((0, 1), repeat=len(q)):
