@@ -9,10 +9,12 @@ keep_first() also links texts of similar words whose fingerprints lie further ap
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, slices, small, staged, table
@@ -26,8 +28,12 @@ BLOCKS = 64 // BITS
 REFERENCES = 16  # random ones
 _CHUNK = 1 << 14
 # of texts that are similar in their words, in keep_first()
-NEAR_WIDTH, NEAR_SIMILAR = 5, 0.8
-NEAR_BANDS, NEAR_ROWS = 24, 5
+NEAR_WIDTH, NEAR_PART, NEAR_OF = 5, 4, 5
+NEAR_SIMILAR = NEAR_PART / NEAR_OF
+NEAR_BITS = 512  # of the parities of a set's hashes
+SAMPLED, MOST_SAMPLED, MOST_COMMON = 16, 25_000, 1 << 18  # one text of so many tells which shingles are common, of so many texts at most; how many of them workers know
+BLOCK, MOST_BLOCKS = 256, 32  # members of a large cell that meet in one group, and groups that a member is sent to
+LISTED, ROUNDS = 1000, 4  # open pairs for each member from which further stars come first, and how many
 
 
 def fingerprint(text: str | None) -> int:
@@ -148,61 +154,172 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter((digest(join(g), SEED) for g in grams), np.uint64, len(words) - width + 1))
 
 
-_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, NEAR_BANDS * NEAR_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _common_counts(batches):
+    for batch in slices(batches):
+        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["hash"])
+
 
+def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that two texts or more of a sample hold, in order, and in how many. They only order the shingles of a text: links are the same whatever is common, cells are smaller if it is known."""
+    of = max(SAMPLED, -(-texts.count() // MOST_SAMPLED))
+    sample = texts.filter(F.pmod(F.xxhash64("tkey", F.lit(SEED)), F.lit(of)) == 0).select("text")
+    counts = staged(sample.mapInArrow(_common_counts, "hash long").groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    least, room = 2, MOST_COMMON
+    for row in sorted(counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect(), reverse=True):
+        room -= row["count"]
+        if room < 0:
+            least = row["n"] + 1
+            break
+    kept = counts.filter(F.col("n") >= least).toArrow()
+    hashes = kept.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], kept.column("n").to_numpy()[order]
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A hash of each band of minimum hashes; none without shingles."""
-    if not len(hashes):
-        return []
-    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), 512):
-        low = np.minimum(low, np.multiply.outer(hashes[at : at + 512], _FACTORS).min(axis=0))
-    return [_signed(xxhash.xxh64_intdigest(row.tobytes(), band)) for band, row in enumerate(low.reshape(NEAR_BANDS, NEAR_ROWS))]
 
+def prefix(hashes: np.ndarray, known: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of the shingles of a text, in order, the first that are not common, then the rarest: so many that any text at NEAR_SIMILAR has one of them among its own. The order is one for all texts, and the first shingle that two such texts share is among the first of both."""
+    n, (frequent, counts) = len(hashes), known
+    if len(frequent) and n:
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes = hashes[np.argsort(np.where(frequent[at] == hashes, counts[at], 0), kind="stable")]
+    return hashes[: n + 1 + (-n * NEAR_PART // NEAR_OF)] if n else hashes
 
-def _sketched(batches):
-    for batch in slices(batches):
-        texts = batch.column("text").to_pylist()
-        prints = pa.array([_signed(fingerprint(t)) for t in texts], pa.int64())
-        keys = pa.array([bands(shingles(t)) for t in texts], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), prints, keys], ["doc_id", "tkey", "fp", "keys"])
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """For each of NEAR_BITS classes of hashes whether their number is odd. Sets differ in at least as many shingles as parities."""
+    odd = np.bincount((hashes % np.uint64(NEAR_BITS)).astype(np.int64), minlength=NEAR_BITS).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+_SKETCH = "doc_id long, tkey long, fp long, skey long, size int, bits array<bigint>, keys array<bigint>"
 
 
-def _shingled(batches):
+def _sketched(known, batches):
+    longs = pa.list_(pa.int64())
     for batch in slices(batches):
-        found = [shingles(t).view(np.int64) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.list_(pa.int64()))], ["fp", "hashes"])
+        fps, skeys, sizes, bits, keys = [], [], [], [], []
+        for text in batch.column("text").to_pylist():
+            hashes = shingles(text)
+            fps.append(_signed(fingerprint(text)))
+            skeys.append(_signed(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)))
+            sizes.append(len(hashes))
+            bits.append(parities(hashes))
+            keys.append(prefix(hashes, known).view(np.int64))
+        columns = [pa.array(fps, pa.int64()), pa.array(skeys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, longs), pa.array(keys, longs)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tkey"), *columns], ["doc_id", "tkey", "fp", "skey", "size", "bits", "keys"])
+
+
+def _linked(batches):
+    sets = {}  # of the texts read last
+    for batch in slices(batches):
+        kept = []
+        for u, v, x, y in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "x", "y"))):
+            if len(sets) > 200:
+                sets.clear()
+            for skey, text in ((u, x), (v, y)):
+                if skey not in sets:
+                    sets[skey] = shingles(text)
+            both = len(sets[u]) + len(sets[v])
+            kept.append(_enough(both - len(np.union1d(sets[u], sets[v])), both))
+        yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
 
 def _same_row():
     return F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_key"))
 
 
-def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (u, v) between fingerprints whose texts share at least NEAR_SIMILAR of their different NEAR_WIDTH-word shingles. own (fp, place, keys) has each fingerprint once, texts (doc_id, tkey, text) what stands at the places.
+def _enough(shared, both):
+    """Whether of two sets with so many members in sum enough are shared for NEAR_SIMILAR."""
+    return shared * (NEAR_PART + NEAR_OF) >= both * NEAR_PART
+
+
+def _may_share(a: str, b: str):
+    """Whether two sets may be at NEAR_SIMILAR whose first shared shingle is this cell's: no more are shared than either has from there on."""
+    left = F.least(*(F.col(f"{s}.size") - F.col(f"{s}.at") for s in (a, b)))
+    return _enough(left, F.col(f"{a}.size") + F.col(f"{b}.size"))
+
+
+def _may_agree(a: str, b: str):
+    """Whether two sets may be at NEAR_SIMILAR that differ in at least so many shingles as their parities."""
+    apart = sum(F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(NEAR_BITS // 64))
+    both = F.col(f"{a}.size") + F.col(f"{b}.size")
+    return _enough(both - apart, 2 * both)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a.skey", "b.skey").alias("u"), F.greatest("a.skey", "b.skey").alias("v"))
+
+
+def verified(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs (u, v) of sets that share NEAR_SIMILAR, by all their shingles."""
+    marks = own.select("skey", "size", "bits")
+    pairs = pairs.distinct().join(marks.alias("a"), F.col("u") == F.col("a.skey")).join(marks.alias("b"), F.col("v") == F.col("b.skey"))
+    pairs = staged(pairs.filter(_may_agree("a", "b")).select("u", "v"))
+    named = pairs.select(F.col("u").alias("skey")).unionByName(pairs.select(F.col("v").alias("skey"))).distinct()
+    named = small(staged(own.join(named, "skey", "left_semi").select("skey", F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"))))
+    # of repeated rows one; texts are shuffled, as their shingles take some four times the space
+    read = staged(texts.join(named, _same_row()).groupBy("skey").agg(F.first("text").alias("text")))
+    both = pairs.join(read.select(F.col("skey").alias("u"), F.col("text").alias("x")), "u").join(read.select(F.col("skey").alias("v"), F.col("text").alias("y")), "v")
+    return staged(both.select("u", "v", "x", "y").mapInArrow(_linked, "u long, v long"))
+
+
+def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
+    """Pairs of each member with the centre (cell, skey, size, at) of its cell."""
+    return _ordered(members.alias("a").join(small(staged(centres)).alias("b"), "cell").filter(F.col("a.skey") != F.col("b.skey")).filter(_may_share("a", "b")))
+
+
+def _centres(members: DataFrame, seed) -> DataFrame:
+    least = members.groupBy("cell").agg(F.min(F.struct(F.xxhash64("skey", seed), "skey", "size", "at")).alias("x"))
+    return least.select("cell", "x.skey", "x.size", "x.at")
+
+
+def _listed(members: DataFrame, own: DataFrame) -> DataFrame:
+    """All pairs of members of a cell that have different roots and may be at NEAR_SIMILAR. members (cell, skey, size, at, root, n, few, major): the few that are not of the cell's largest root meet all, in groups by hash, so no cell is one task."""
+    members = staged(members.join(own.select("skey", "bits"), "skey"))
+    blocks = lambda n: F.least(F.lit(MOST_BLOCKS), F.ceil(n / BLOCK)).cast("int")
+    parts = lambda n: F.pmod(F.xxhash64("skey"), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    few, all_ = F.col("few"), F.col("n")
+    left = members.filter("root != major").withColumn("p", parts(few)).withColumn("q", every(all_)).alias("a")
+    right = members.withColumn("q", parts(all_)).withColumn("p", every(few)).alias("b")
+    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.major")) | (F.col("a.skey") < F.col("b.skey")))
+    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("cell", "p", "q")]
+    return _ordered(left.join(right, keys[0] & keys[1] & keys[2] & apart & _may_share("a", "b") & _may_agree("a", "b")))
+
+
+def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET, listed: int = LISTED) -> DataFrame:
+    """Links (u, v) between fingerprints that connect exactly what all pairs of texts connect that share at least NEAR_SIMILAR of their different NEAR_WIDTH-word shingles. own (skey, fp, size, place, bits, keys) has each set of shingles once, with one of its fingerprints; texts (doc_id, tkey, text) what stands at the places.
+
+    At that similarity fingerprints are some ten bits apart, and up to twenty; nearly all pairs are that close in all distances to references, so tables of these discard nothing. Candidates are therefore sets that share a shingle of both prefixes (keys), which any two at NEAR_SIMILAR do. What their sizes, the place of the shingle and their parities rule out goes, the others are verified by all their shingles.
 
-    At that similarity fingerprints are some ten bits apart, and up to twenty; nearly all pairs are that close in all distances to references, so tables of these discard nothing. Candidates are therefore texts that share one of NEAR_BANDS bands of NEAR_ROWS minimum hashes, which misses one in 10,000 of those at NEAR_SIMILAR, and they are verified by all their shingles. A cell of more than bucket members lists no pairs: its members are compared with its first member in one of four orders, by band. So a text is compared with up to four of a large family, and with any that it shares a smaller cell with; it joins the family if it is similar to one of them.
+    A cell of more than bucket members first compares them with one of them. What is then connected needs no more pairs; a cell whose members still have different roots lists all pairs of different roots, after further stars around members of its largest root if there are very many. So pairs within a family are not listed, and no pair is left out that could connect two.
     """
-    entered = own.select("fp", F.posexplode("keys").alias("band", "cell"))
-    firsts = [F.min(F.struct(F.xxhash64("fp", F.lit(i)), "fp")).alias(f"first{i}") for i in range(4)]
-    sizes = staged(entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *firsts).filter("n > 1"))
-    held = entered.join(sizes, "cell")
-    listed = held.filter(F.col("n") <= bucket).groupBy(F.xxhash64("cell", F.lit(1)).alias("k")).agg(F.collect_list("fp").alias("m"))
-    listed = listed.select("m", F.explode("m").alias("u")).select("u", F.explode("m").alias("v")).filter("u < v")
-    first = F.coalesce(*(F.when(F.col("band") % 4 == i, F.col(f"first{i}.fp")) for i in range(4)))
-    star = held.filter(F.col("n") > bucket).select("fp", first.alias("first"))
-    star = star.select(F.least("fp", "first").alias("u"), F.greatest("fp", "first").alias("v")).filter("u < v")
-    pairs = staged(listed.unionByName(star).distinct())
-
-    named = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    named = small(staged(own.join(named, "fp", "left_semi").select("fp", F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"))))
-    sets = texts.join(named, _same_row()).select("fp", "text").mapInArrow(_shingled, "fp long, hashes array<bigint>")
-    sets = staged(sets.groupBy("fp").agg(F.first("hashes").alias("hashes")))  # of repeated rows one
-    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("fp").alias("v"), F.col("hashes").alias("b")), "v")
-    both = both.filter(F.least(F.size("a"), F.size("b")) >= NEAR_SIMILAR * F.greatest(F.size("a"), F.size("b")))  # the sizes alone rule some out
-    both = both.withColumn("shared", F.size(F.array_intersect("a", "b")))
-    return both.filter(F.col("shared") >= NEAR_SIMILAR * (F.size("a") + F.size("b") - F.col("shared"))).select("u", "v")
+    entered = own.select("skey", "size", F.posexplode("keys").alias("at", "cell"))
+    held = staged(entered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
+    cold, hot = held.filter(F.col("n") <= bucket), held.filter(F.col("n") > bucket).drop("n")
+    a, b = cold.alias("a"), cold.alias("b")
+    pairs = _ordered(a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.skey") < F.col("b.skey")) & _may_share("a", "b")))
+    found = verified(pairs.unionByName(_star(hot, _centres(hot, F.pmod("cell", F.lit(4))))), own, texts)
+    for turn in range(ROUNDS + 1):
+        roots = components(found)
+        members = staged(hot.join(roots.select(F.col("node").alias("skey"), "root"), "skey", "left").withColumn("root", F.coalesce("root", "skey")))
+        of = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell")
+        of = of.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("most"))
+        of = of.filter("n > most.c").select("cell", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), (F.col("n") - F.col("most.c")).alias("few"), F.col("most.root").alias("major"))
+        still = staged(of)
+        left = still.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+        if not left.n:
+            break
+        members = members.join(small(still), "cell")
+        if turn == ROUNDS or left.pairs <= listed * left.n:
+            found = found.unionByName(verified(_listed(members, own), own, texts))
+            break
+        star = _star(members.filter("root != major"), _centres(members.filter("root = major"), F.pmod("cell", F.lit(4)) + 4 * (turn + 1)))
+        found = staged(found.unionByName(verified(star, own, texts)))
+    name = own.select("skey", "fp")
+    found = found.join(name.select(F.col("skey").alias("u"), F.col("fp").alias("x")), "u").join(name.select(F.col("skey").alias("v"), F.col("fp").alias("y")), "v")
+    return found.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).filter("u < v").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -227,11 +344,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     tkey = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), tkey.alias("tkey"), F.col("text").cast("string").alias("text"))
     texts = keyed.select("doc_id", "tkey", "text")
-    prints = staged(texts.mapInArrow(_sketched, "doc_id long, tkey long, fp long, keys array<bigint>"))
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tkey")).alias("place")
-    own = staged(prints.groupBy("fp").agg(F.min(F.struct(place, "keys")).alias("x")).select("fp", "x.place", "x.keys"))
-    roots = components(links(own.select("fp")).unionByName(near_links(own, texts)))
-    joined = own.select("fp", "place").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    prints = staged(texts.mapInArrow(partial(_sketched, common(texts)), _SKETCH))
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tkey"))).alias("place")
+    points = staged(prints.groupBy("fp").agg(place))
+    # texts of one set have the same size, parities and prefix; those without words share fingerprint zero
+    own = staged(prints.filter("size > 0").groupBy("skey").agg(place, F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))))
+    alike = prints.select("skey", F.col("fp").alias("v")).distinct().join(own.select("skey", F.col("fp").alias("u")), "skey").filter("u < v").select("u", "v")
+    roots = components(links(points.select("fp")).unionByName(near_links(own, texts)).unionByName(alike))
+    joined = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("place").alias("place"))
     kept = kept.select(F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"), F.lit(True).alias("kept"))
     copies = prints.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))

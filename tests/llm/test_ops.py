@@ -150,6 +150,63 @@ def test_near_copies_go(spark):
     assert simhash_dedup.keep_first(table.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def families():
+    """Texts of large families whose members are mostly just below or above the similarity, some of one fingerprint with different words, and of each group by brute force the first doc_id."""
+    rng = random.Random(31)
+    texts = []
+    for size, n, most in ((120, 60, 3), (90, 200, 6), (60, 300, 12)):  # members, words, edits
+        base = prose(rng, n).split()
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, most)):
+                copy[rng.randrange(n)] = prose(rng, 2)
+            texts.append(" ".join(copy))
+    tails = [prose(rng, 60) for _ in range(3)]
+    texts += ["no " * 400 + t for t in tails]  # one fingerprint, that of the repeated words
+    texts += ["no " * 9 + t for t in tails] + ["no " * 9 + t + " and more" for t in tails]  # the same words or nearly, another fingerprint
+    texts += [" ".join(["up"] * i) for i in range(8)] + ["one two three four", "one two three four five", "One Two three four"]
+    prints, sets = [simhash_dedup.fingerprint(t) for t in texts], [set(simhash_dedup.shingles(t).tolist()) for t in texts]
+    ids = list(range(len(texts)))
+
+    def root(i):
+        while ids[i] != i:
+            i = ids[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 or sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                ids[max(root(i), root(j))] = min(root(i), root(j))
+    return texts, sorted({root(i) for i in range(len(texts))})
+
+
+@pytest.mark.parametrize("bucket, listed, block", [(32, 1000, 256), (2, 1000, 7), (2, 0, 7), (1000, 1000, 256)])
+def test_large_families_lose_no_link(spark, families, monkeypatch, bucket, listed, block):
+    texts, expected = families
+    near = simhash_dedup.near_links
+    monkeypatch.setattr(simhash_dedup, "near_links", lambda own, docs: near(own, docs, bucket, listed))
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    table = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3)
+    assert sorted(r.doc_id for r in simhash_dedup.keep_first(table).collect()) == expected
+
+
+def test_prefixes_meet_and_bounds_hold():
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
+    known = common, rng.integers(2, 6, 40)
+    for n in (1, 2, 4, 5, 6, 9, 50, 333):
+        a = np.unique(np.concatenate([rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.choice(common, min(n, 20))]))
+        for lost in range(len(a) // 5 + 1):  # a subset at the similarity or above
+            b = np.sort(rng.permutation(a)[lost:])
+            assert 5 * len(b) >= 4 * len(a)
+            x, y = (simhash_dedup.prefix(s, known).tolist() for s in (a, b))
+            first = min(set(x) & set(y), key=x.index)
+            assert first == min(set(x) & set(y), key=y.index) and min(len(a) - x.index(first), len(b) - y.index(first)) >= len(b)
+            apart = sum(((p ^ q) & ((1 << 64) - 1)).bit_count() for p, q in zip(simhash_dedup.parities(a).tolist(), simhash_dedup.parities(b).tolist()))
+            assert apart <= lost
+
+
 def test_components_of_paths(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
