@@ -27,6 +27,7 @@ BITS = 4  # in a block; the numbers of a vector are 0 to 4
 BLOCKS = 64 // BITS
 REFERENCES = 16  # random ones
 _CHUNK = 1 << 14
+_PAIRS = 1 << 20  # compared at a time
 # of texts that are similar in their words, in keep_first()
 NEAR_WIDTH, NEAR_PART, NEAR_OF = 5, 4, 5
 NEAR_SIMILAR = NEAR_PART / NEAR_OF
@@ -34,6 +35,7 @@ NEAR_BITS = 512  # of the parities of a set's hashes
 SAMPLED, MOST_SAMPLED, MOST_COMMON = 16, 25_000, 1 << 18  # one text of so many tells which shingles are common, of so many texts at most; how many of them workers know
 BLOCK, MOST_BLOCKS = 256, 32  # members of a large cell that meet in one group, and groups that a member is sent to
 LISTED, ROUNDS = 1000, 4  # open pairs for each member from which further stars come first, and how many
+NEAREST, CLOSER = 4, 8  # members nearest to one that are verified first, and times as many in each next round
 
 
 def fingerprint(text: str | None) -> int:
@@ -265,27 +267,57 @@ def verified(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
-    """Pairs of each member with the centre (cell, skey, size, at) of its cell."""
+    """Pairs of each member with the centres (cell, skey, size, at) of its cell."""
     return _ordered(members.alias("a").join(small(staged(centres)).alias("b"), "cell").filter(F.col("a.skey") != F.col("b.skey")).filter(_may_share("a", "b")))
 
 
 def _centres(members: DataFrame, seed) -> DataFrame:
-    least = members.groupBy("cell").agg(F.min(F.struct(F.xxhash64("skey", seed), "skey", "size", "at")).alias("x"))
-    return least.select("cell", "x.skey", "x.size", "x.at")
-
-
-def _listed(members: DataFrame, own: DataFrame) -> DataFrame:
-    """All pairs of members of a cell that have different roots and may be at NEAR_SIMILAR. members (cell, skey, size, at, root, n, few, major): the few that are not of the cell's largest root meet all, in groups by hash, so no cell is one task."""
+    """Two of each cell: one by hash, and the one with the fewest shingles before the cell's, so with the fewest of its own; copies of a text with changes of their own are near that one, if near to any."""
+    by = (F.struct(F.xxhash64("skey", seed), "skey", "size", "at"), F.struct(F.col("at") / F.col("size"), F.xxhash64("skey", seed), "skey", "size", "at"))
+    least = members.groupBy("cell").agg(*(F.min(x).alias(k) for k, x in zip("xy", by)))
+    rows = least.select("cell", F.explode(F.array(*(F.struct(f"{k}.skey", f"{k}.size", f"{k}.at") for k in "xy"))).alias("x"))
+    return rows.select("cell", "x.*").distinct()
+
+
+def _nearest_of(most: int, left: pa.Table, right: pa.Table) -> pa.Table:
+    """For each member of left the most members of right of another root that are nearest by their parities, of those that may be at NEAR_SIMILAR; more: whether there are others."""
+    (us, m, am, ru, xs), (vs, n, an, rv, ys) = ([t.column(c).to_numpy() for c in ("skey", "size", "at", "root")] + [t.column("bits").combine_chunks().flatten().to_numpy().reshape(t.num_rows, NEAR_BITS // 64)] for t in (left, right))
+    found, step = [], max(1, _PAIRS // max(1, len(vs)))
+    for at in range(0, len(us) if len(vs) else 0, step):
+        rows = slice(at, at + step)
+        both = m[rows, None].astype(np.int64) + n[None]
+        apart = np.zeros(both.shape, np.int64)
+        for i in range(xs.shape[1]):
+            apart += np.bitwise_count((xs[rows, i, None] ^ ys[None, :, i]).view(np.uint64))
+        fine = (ru[rows, None] != rv[None]) & _enough(np.minimum((m - am)[rows, None], (n - an)[None]), both) & _enough(both - apart, 2 * both)
+        for i in np.flatnonzero(fine.any(axis=1)):
+            j = np.flatnonzero(fine[i])
+            far, more = apart[i, j] / both[i, j], len(j) > most
+            if more:
+                kept = np.argpartition(far, most - 1)[:most]
+                j, far = j[kept], far[kept]
+            found.append((np.full(len(j), us[at + i]), vs[j], far, np.full(len(j), more)))
+    columns = [np.concatenate(x) for x in zip(*found)] if found else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)]
+    return pa.table(columns, names=["u", "v", "far", "more"])
+
+
+def _nearest(members: DataFrame, own: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """Pairs of each member that is not of its cell's largest root with the most members nearest to it, of those in its cells that have another root and may be at NEAR_SIMILAR; and whether any member has more such. members (cell, skey, size, at, root, n, few, major). The few meet all of a cell in groups by hash, so no cell is one task; what leaves a group, and what is verified, grows with the members and not with their pairs."""
     members = staged(members.join(own.select("skey", "bits"), "skey"))
     blocks = lambda n: F.least(F.lit(MOST_BLOCKS), F.ceil(n / BLOCK)).cast("int")
     parts = lambda n: F.pmod(F.xxhash64("skey"), blocks(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     few, all_ = F.col("few"), F.col("n")
-    left = members.filter("root != major").withColumn("p", parts(few)).withColumn("q", every(all_)).alias("a")
-    right = members.withColumn("q", parts(all_)).withColumn("p", every(few)).alias("b")
-    apart = (F.col("a.root") != F.col("b.root")) & ((F.col("b.root") == F.col("b.major")) | (F.col("a.skey") < F.col("b.skey")))
-    keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("cell", "p", "q")]
-    return _ordered(left.join(right, keys[0] & keys[1] & keys[2] & apart & _may_share("a", "b") & _may_agree("a", "b")))
+    columns = ("cell", "p", "q", "skey", "size", "at", "root", "bits")
+    left = members.filter("root != major").withColumn("p", parts(few)).withColumn("q", every(all_)).select(*columns)
+    right = members.withColumn("q", parts(all_)).withColumn("p", every(few)).select(*columns)
+    met = left.groupBy("cell", "p", "q").cogroup(right.groupBy("cell", "p", "q"))
+    near = met.applyInArrow(lambda x, y: _nearest_of(most, x, y), "u long, v long, far double, more boolean")
+    # a pair may meet in several cells, and each group has its own nearest
+    near = near.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("far", "v"))).alias("m"), F.max("more").alias("more"))
+    near = staged(near.select("u", F.slice("m", 1, most).alias("m"), (F.col("more") | (F.size("m") > most)).alias("more")))
+    pairs = near.select("u", F.explode("m.v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return pairs, near.filter("more").limit(1).count() > 0
 
 
 def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET, listed: int = LISTED) -> DataFrame:
@@ -293,7 +325,7 @@ def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET, listed: i
 
     At that similarity fingerprints are some ten bits apart, and up to twenty; nearly all pairs are that close in all distances to references, so tables of these discard nothing. Candidates are therefore sets that share a shingle of both prefixes (keys), which any two at NEAR_SIMILAR do. What their sizes, the place of the shingle and their parities rule out goes, the others are verified by all their shingles.
 
-    A cell of more than bucket members first compares them with one of them. What is then connected needs no more pairs; a cell whose members still have different roots lists all pairs of different roots, after further stars around members of its largest root if there are very many. So pairs within a family are not listed, and no pair is left out that could connect two.
+    A cell of more than bucket members first compares them with two of them. What is then connected needs no more pairs. Where members of a cell still have different roots, those that are not of its largest root are compared with all others in workers, after further stars around members of its largest root if there are very many pairs; of what may be at NEAR_SIMILAR the NEAREST are verified, what they link is one root, and of the rest CLOSER times as many, until no member has more. So neither pairs within a family nor all of a member's links are listed, and no pair is left out that could connect two.
     """
     entered = own.select("skey", "size", F.posexplode("keys").alias("at", "cell"))
     held = staged(entered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
@@ -301,7 +333,8 @@ def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET, listed: i
     a, b = cold.alias("a"), cold.alias("b")
     pairs = _ordered(a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.skey") < F.col("b.skey")) & _may_share("a", "b")))
     found = verified(pairs.unionByName(_star(hot, _centres(hot, F.pmod("cell", F.lit(4))))), own, texts)
-    for turn in range(ROUNDS + 1):
+    turn, most = 0, NEAREST
+    while True:
         roots = components(found)
         members = staged(hot.join(roots.select(F.col("node").alias("skey"), "root"), "skey", "left").withColumn("root", F.coalesce("root", "skey")))
         of = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell")
@@ -313,9 +346,15 @@ def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET, listed: i
             break
         members = members.join(small(still), "cell")
         if turn == ROUNDS or left.pairs <= listed * left.n:
-            found = found.unionByName(verified(_listed(members, own), own, texts))
-            break
-        star = _star(members.filter("root != major"), _centres(members.filter("root = major"), F.pmod("cell", F.lit(4)) + 4 * (turn + 1)))
+            turn = ROUNDS
+            near, more = _nearest(members, own, most)
+            found = staged(found.unionByName(verified(near, own, texts)))
+            if not more:
+                break
+            most *= CLOSER
+            continue
+        turn += 1
+        star = _star(members.filter("root != major"), _centres(members.filter("root = major"), F.pmod("cell", F.lit(4)) + 4 * turn))
         found = staged(found.unionByName(verified(star, own, texts)))
     name = own.select("skey", "fp")
     found = found.join(name.select(F.col("skey").alias("u"), F.col("fp").alias("x")), "u").join(name.select(F.col("skey").alias("v"), F.col("fp").alias("y")), "v")

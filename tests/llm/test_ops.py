@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +192,52 @@ def test_large_families_lose_no_link(spark, families, monkeypatch, bucket, liste
     assert sorted(r.doc_id for r in simhash_dedup.keep_first(table).collect()) == expected
 
 
+@pytest.mark.parametrize("members", [150, 300])
+def test_pairs_verified_grow_with_the_members(spark, monkeypatch, members):
+    rng = random.Random(61)
+    texts = []
+    for kind in range(2):  # most members are near to few of their own family only, so a centre by chance settles little
+        base = [f"{kind}w{i}" for i in range(140)]
+        for i in range(members):
+            copy = list(base)
+            for at in rng.sample(range(7, 133), 1 if i % 10 == 0 else 2):
+                copy[at] = f"{kind}x{i}y{at}"
+            texts.append(" ".join(copy))
+    sets = [set(simhash_dedup.shingles(t).tolist()) for t in texts]
+    prints = [simhash_dedup.fingerprint(t) for t in texts]
+    links = [(j, i) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or (prints[i] ^ prints[j]).bit_count() <= 2]
+    ids = list(range(len(texts)))
+    for _ in ids:
+        for i, j in links:
+            ids[i] = ids[j] = min(ids[i], ids[j])
+    asked, verified = [], simhash_dedup.verified
+    monkeypatch.setattr(simhash_dedup, "verified", lambda pairs, *a: asked.append(pairs.distinct().count()) or verified(pairs, *a))
+    kept = simhash_dedup.keep_first(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(ids))
+    assert len(links) > 15 * len(texts) and sum(asked) <= 12 * len(texts)
+
+
+def test_nearest_members_of_other_roots():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))]
+    for i in range(60):
+        sets.append(np.sort(np.concatenate([rng.permutation(sets[0])[rng.integers(0, 15) :], rng.integers(0, 1 << 63, rng.integers(0, 15), dtype=np.uint64)])))
+    rows = [{"skey": i, "size": len(s), "at": 0, "root": i % 7, "bits": simhash_dedup.parities(s).tolist()} for i, s in enumerate(sets)]
+    table = pa.Table.from_pylist(rows, schema=pa.schema({"skey": pa.int64(), "size": pa.int32(), "at": pa.int32(), "root": pa.int64(), "bits": pa.list_(pa.int64())}))
+    shared = lambda a, b: min(a["size"], b["size"], (a["size"] + b["size"] - sum(((x ^ y) & ((1 << 64) - 1)).bit_count() for x, y in zip(a["bits"], b["bits"]))) / 2)
+    fine = lambda a, b: 9 * shared(a, b) >= 4 * (a["size"] + b["size"])
+    expected = {(a["skey"], b["skey"]) for a in rows for b in rows if a["root"] != b["root"] and fine(a, b)}
+    all_ = simhash_dedup._nearest_of(100, table, table)
+    assert set(zip(all_["u"].to_pylist(), all_["v"].to_pylist())) == expected and not any(all_["more"].to_pylist())
+    far = dict(zip(zip(all_["u"].to_pylist(), all_["v"].to_pylist()), all_["far"].to_pylist()))
+    some = simhash_dedup._nearest_of(3, table, table)
+    for u in range(len(rows)):
+        mine = sorted(far[p] for p in expected if p[0] == u)
+        got = [(f, m) for x, f, m in zip(*(some[c].to_pylist() for c in ("u", "far", "more"))) if x == u]
+        assert sorted(f for f, _ in got) == mine[:3] and {m for _, m in got} <= {len(mine) > 3}
+    assert simhash_dedup._nearest_of(3, table, table.slice(0, 0)).num_rows == 0 == simhash_dedup._nearest_of(3, table.slice(0, 0), table).num_rows
+
+
 def test_prefixes_meet_and_bounds_hold():
     rng = np.random.default_rng(5)
     common = np.sort(rng.integers(0, 1 << 63, 40, dtype=np.uint64))
