@@ -9,7 +9,7 @@ keep_first() also links texts of similar words whose fingerprints lie further ap
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, slices, small, staged, table
+from .common import Staged, components, passing, slices, small, staged, table
 
 RADIUS = 2
 WIDTH = 3  # words in a shingle
@@ -36,6 +36,7 @@ SAMPLED, MOST_SAMPLED, MOST_COMMON = 16, 25_000, 1 << 18  # one text of so many
 BLOCK, MOST_BLOCKS = 256, 32  # members of a large cell that meet in one group, and groups that a member is sent to
 LISTED, ROUNDS = 1000, 4  # open pairs for each member from which further stars come first, and how many
 NEAREST, CLOSER = 4, 8  # members nearest to one that are verified first, and times as many in each next round
+SLICED, MOST_SLICES = 10_000, 8  # pairs whose texts are shuffled at a time, unless that makes more slices
 
 
 def fingerprint(text: str | None) -> int:
@@ -254,16 +255,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, own: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of pairs (u, v) of sets that share NEAR_SIMILAR, by all their shingles."""
+    """Those of pairs (u, v) of sets that share NEAR_SIMILAR, by all their shingles. Texts are shuffled for a slice of the pairs at a time, so that less of them lies on disk at once."""
     marks = own.select("skey", "size", "bits")
     pairs = pairs.distinct().join(marks.alias("a"), F.col("u") == F.col("a.skey")).join(marks.alias("b"), F.col("v") == F.col("b.skey"))
-    pairs = staged(pairs.filter(_may_agree("a", "b")).select("u", "v"))
-    named = pairs.select(F.col("u").alias("skey")).unionByName(pairs.select(F.col("v").alias("skey"))).distinct()
-    named = small(staged(own.join(named, "skey", "left_semi").select("skey", F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"))))
-    # of repeated rows one; texts are shuffled, as their shingles take some four times the space
-    read = staged(texts.join(named, _same_row()).groupBy("skey").agg(F.first("text").alias("text")))
-    both = pairs.join(read.select(F.col("skey").alias("u"), F.col("text").alias("x")), "u").join(read.select(F.col("skey").alias("v"), F.col("text").alias("y")), "v")
-    return staged(both.select("u", "v", "x", "y").mapInArrow(_linked, "u long, v long"))
+    with passing(own.sparkSession) as put:
+        pairs = put(pairs.filter(_may_agree("a", "b")).select("u", "v"))
+        named = pairs.select(F.col("u").alias("skey")).unionByName(pairs.select(F.col("v").alias("skey"))).distinct()
+        named = small(put(own.join(named, "skey", "left_semi").select("skey", F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"))))
+        # of repeated rows one; texts are shuffled, as their shingles take some four times the space
+        read = put(texts.join(named, _same_row()).groupBy("skey").agg(F.first("text").alias("text")))
+        of, found = min(MOST_SLICES, 1 + pairs.count() // SLICED), []
+        for i in range(of):
+            mine = lambda c: F.pmod(F.xxhash64(c, F.lit(SEED)), F.lit(of)) == i  # noqa: B023, E731
+            first = small(pairs.filter(mine("v"))).join(read.select(F.col("skey").alias("u"), F.col("text").alias("x")), "u")
+            both = first.join(read.filter(mine("skey")).select(F.col("skey").alias("v"), F.col("text").alias("y")), "v")
+            found.append(staged(both.select("u", "v", "x", "y").mapInArrow(_linked, "u long, v long")))
+        return reduce(DataFrame.unionByName, found)
 
 
 def _star(members: DataFrame, centres: DataFrame) -> DataFrame:
@@ -303,19 +310,20 @@ def _nearest_of(most: int, left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _nearest(members: DataFrame, own: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """Pairs of each member that is not of its cell's largest root with the most members nearest to it, of those in its cells that have another root and may be at NEAR_SIMILAR; and whether any member has more such. members (cell, skey, size, at, root, n, few, major). The few meet all of a cell in groups by hash, so no cell is one task; what leaves a group, and what is verified, grows with the members and not with their pairs."""
-    members = staged(members.join(own.select("skey", "bits"), "skey"))
-    blocks = lambda n: F.least(F.lit(MOST_BLOCKS), F.ceil(n / BLOCK)).cast("int")
-    parts = lambda n: F.pmod(F.xxhash64("skey"), blocks(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    few, all_ = F.col("few"), F.col("n")
-    columns = ("cell", "p", "q", "skey", "size", "at", "root", "bits")
-    left = members.filter("root != major").withColumn("p", parts(few)).withColumn("q", every(all_)).select(*columns)
-    right = members.withColumn("q", parts(all_)).withColumn("p", every(few)).select(*columns)
-    met = left.groupBy("cell", "p", "q").cogroup(right.groupBy("cell", "p", "q"))
-    near = met.applyInArrow(lambda x, y: _nearest_of(most, x, y), "u long, v long, far double, more boolean")
-    # a pair may meet in several cells, and each group has its own nearest
-    near = near.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("far", "v"))).alias("m"), F.max("more").alias("more"))
-    near = staged(near.select("u", F.slice("m", 1, most).alias("m"), (F.col("more") | (F.size("m") > most)).alias("more")))
+    with passing(own.sparkSession) as put:
+        members = put(members.join(own.select("skey", "bits"), "skey"))
+        blocks = lambda n: F.least(F.lit(MOST_BLOCKS), F.ceil(n / BLOCK)).cast("int")
+        parts = lambda n: F.pmod(F.xxhash64("skey"), blocks(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        few, all_ = F.col("few"), F.col("n")
+        columns = ("cell", "p", "q", "skey", "size", "at", "root", "bits")
+        left = members.filter("root != major").withColumn("p", parts(few)).withColumn("q", every(all_)).select(*columns)
+        right = members.withColumn("q", parts(all_)).withColumn("p", every(few)).select(*columns)
+        met = left.groupBy("cell", "p", "q").cogroup(right.groupBy("cell", "p", "q"))
+        near = met.applyInArrow(lambda x, y: _nearest_of(most, x, y), "u long, v long, far double, more boolean")
+        # a pair may meet in several cells, and each group has its own nearest
+        near = near.groupBy("u").agg(F.array_sort(F.collect_set(F.struct("far", "v"))).alias("m"), F.max("more").alias("more"))
+        near = staged(near.select("u", F.slice("m", 1, most).alias("m"), (F.col("more") | (F.size("m") > most)).alias("more")))
     pairs = near.select("u", F.explode("m.v").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return pairs, near.filter("more").limit(1).count() > 0
 
@@ -327,35 +335,38 @@ def near_links(own: DataFrame, texts: DataFrame, bucket: int = BUCKET, listed: i
 
     A cell of more than bucket members first compares them with two of them. What is then connected needs no more pairs. Where members of a cell still have different roots, those that are not of its largest root are compared with all others in workers, after further stars around members of its largest root if there are very many pairs; of what may be at NEAR_SIMILAR the NEAREST are verified, what they link is one root, and of the rest CLOSER times as many, until no member has more. So neither pairs within a family nor all of a member's links are listed, and no pair is left out that could connect two.
     """
-    entered = own.select("skey", "size", F.posexplode("keys").alias("at", "cell"))
-    held = staged(entered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
-    cold, hot = held.filter(F.col("n") <= bucket), held.filter(F.col("n") > bucket).drop("n")
-    a, b = cold.alias("a"), cold.alias("b")
-    pairs = _ordered(a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.skey") < F.col("b.skey")) & _may_share("a", "b")))
-    found = verified(pairs.unionByName(_star(hot, _centres(hot, F.pmod("cell", F.lit(4))))), own, texts)
-    turn, most = 0, NEAREST
-    while True:
-        roots = components(found)
-        members = staged(hot.join(roots.select(F.col("node").alias("skey"), "root"), "skey", "left").withColumn("root", F.coalesce("root", "skey")))
-        of = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell")
-        of = of.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("most"))
-        of = of.filter("n > most.c").select("cell", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), (F.col("n") - F.col("most.c")).alias("few"), F.col("most.root").alias("major"))
-        still = staged(of)
-        left = still.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
-        if not left.n:
-            break
-        members = members.join(small(still), "cell")
-        if turn == ROUNDS or left.pairs <= listed * left.n:
-            turn = ROUNDS
-            near, more = _nearest(members, own, most)
-            found = staged(found.unionByName(verified(near, own, texts)))
-            if not more:
-                break
-            most *= CLOSER
-            continue
-        turn += 1
-        star = _star(members.filter("root != major"), _centres(members.filter("root = major"), F.pmod("cell", F.lit(4)) + 4 * turn))
-        found = staged(found.unionByName(verified(star, own, texts)))
+    spark = own.sparkSession
+    with passing(spark) as put:
+        entered = own.select("skey", "size", F.posexplode("keys").alias("at", "cell"))
+        held = put(entered.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("cell"))).filter("n > 1"))
+        cold, hot = held.filter(F.col("n") <= bucket), held.filter(F.col("n") > bucket).drop("n")
+        a, b = cold.alias("a"), cold.alias("b")
+        pairs = _ordered(a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.skey") < F.col("b.skey")) & _may_share("a", "b")))
+        found = verified(pairs.unionByName(_star(hot, _centres(hot, F.pmod("cell", F.lit(4))))), own, texts)
+        turn, most = 0, NEAREST
+        while True:
+            roots = components(found)
+            with passing(spark) as at_once:
+                members = at_once(hot.join(roots.select(F.col("node").alias("skey"), "root"), "skey", "left").withColumn("root", F.coalesce("root", "skey")))
+                of = members.groupBy("cell", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("cell")
+                of = of.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "root")).alias("most"))
+                of = of.filter("n > most.c").select("cell", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("pairs"), (F.col("n") - F.col("most.c")).alias("few"), F.col("most.root").alias("major"))
+                still = at_once(of)
+                left = still.agg(F.sum("pairs").alias("pairs"), F.sum("n").alias("n")).first()
+                if not left.n:
+                    break
+                members = members.join(small(still), "cell")
+                if turn == ROUNDS or left.pairs <= listed * left.n:
+                    turn = ROUNDS
+                    near, more = _nearest(members, own, most)
+                    found = staged(found.unionByName(verified(near, own, texts)))
+                    if not more:
+                        break
+                    most *= CLOSER
+                    continue
+                turn += 1
+                star = _star(members.filter("root != major"), _centres(members.filter("root = major"), F.pmod("cell", F.lit(4)) + 4 * turn))
+                found = staged(found.unionByName(verified(star, own, texts)))
     name = own.select("skey", "fp")
     found = found.join(name.select(F.col("skey").alias("u"), F.col("fp").alias("x")), "u").join(name.select(F.col("skey").alias("v"), F.col("fp").alias("y")), "v")
     return found.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).filter("u < v").distinct()
@@ -383,20 +394,25 @@ def keep_first(docs: DataFrame) -> DataFrame:
     tkey = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     keyed = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), tkey.alias("tkey"), F.col("text").cast("string").alias("text"))
     texts = keyed.select("doc_id", "tkey", "text")
-    prints = staged(texts.mapInArrow(partial(_sketched, common(texts)), _SKETCH))
     place = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("tkey"))).alias("place")
-    points = staged(prints.groupBy("fp").agg(place))
-    # texts of one set have the same size, parities and prefix; those without words share fingerprint zero
-    own = staged(prints.filter("size > 0").groupBy("skey").agg(place, F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))))
-    alike = prints.select("skey", F.col("fp").alias("v")).distinct().join(own.select("skey", F.col("fp").alias("u")), "skey").filter("u < v").select("u", "v")
-    roots = components(links(points.select("fp")).unionByName(near_links(own, texts)).unionByName(alike))
-    joined = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("place").alias("place"))
-    kept = kept.select(F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"), F.lit(True).alias("kept"))
-    copies = prints.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
-    # what stays and stands once needs no more ado
-    told = copies.join(kept, _same_row(), "left").filter("kept is null or n > 1")
-    told = small(staged(told.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), "kept", "n")))
+    store = Staged(docs.sparkSession)
+    with passing(docs.sparkSession) as put:
+        sketches, at = store.put(texts.mapInArrow(partial(_sketched, common(texts)), _SKETCH))
+        # texts of one set have the same size, parities and prefix; those without words share fingerprint zero
+        own = put(sketches.filter("size > 0").groupBy("skey").agg(place, F.min("fp").alias("fp"), *(F.first(c).alias(c) for c in ("size", "bits", "keys"))))
+        prints = put(sketches.select("doc_id", "tkey", "fp", "skey"))
+        store.drop(at)
+        points = put(prints.groupBy("fp").agg(place))
+        alike = prints.select("skey", F.col("fp").alias("v")).distinct().join(own.select("skey", F.col("fp").alias("u")), "skey").filter("u < v").select("u", "v")
+        roots = components(links(points.select("fp")).unionByName(near_links(own, texts)).unionByName(alike))
+        joined = points.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
+        kept = joined.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("place").alias("place"))
+        kept = kept.select(F.col("place.doc_id").alias("_doc"), F.col("place.tkey").alias("_key"), F.lit(True).alias("kept"))
+        copies = prints.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n"))
+        # what stays and stands once needs no more ado
+        told = copies.join(kept, _same_row(), "left").filter("kept is null or n > 1")
+        told = staged(told.select(F.col("doc_id").alias("_doc"), F.col("tkey").alias("_key"), "kept", "n"))
+    told = small(told)
     marked = keyed.drop("text").join(told, _same_row(), "left")
     again = marked.filter("kept").groupBy("doc_id", "tkey").agg(F.min("own").alias("own"))
     return marked.filter("n is null").select("own.*").unionByName(again.select("own.*"))

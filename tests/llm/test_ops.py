@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinlink.llm import chat_repair, decontamination, html_extract, quality_llr, secret_links, simhash_dedup, source_mix, substring_dedup, toxicity_grammar, warc_derive
+from kinlink.llm import chat_repair, common, decontamination, html_extract, quality_llr, secret_links, simhash_dedup, source_mix, substring_dedup, toxicity_grammar, warc_derive
 from kinlink.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -217,6 +218,25 @@ def test_pairs_verified_grow_with_the_members(spark, monkeypatch, members):
     assert len(links) > 15 * len(texts) and sum(asked) <= 12 * len(texts)
 
 
+@pytest.mark.parametrize("sliced", [10_000, 40])
+def test_near_dedup_leaves_little_on_disk(spark, families, monkeypatch, sliced):
+    """What holds texts, prefixes or parities is deleted before the result is read, shuffle files with the table they led to; pairs in slices lose no link."""
+    texts, expected = families
+    monkeypatch.setattr(simhash_dedup, "SLICED", sliced, raising=False)
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+    shuffled = lambda: {f.getName(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files()) if f.getName().startswith("shuffle_")}
+    before, there = set(common._WRITTEN), shuffled()
+    kept = simhash_dedup.keep_first(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).repartition(3))
+    stay = {c for path in set(common._WRITTEN) - before for c in spark.read.parquet(path).columns}
+    assert stay and not stay & {"text", "keys", "bits"}
+    left = lambda: sum(n for name, n in shuffled().items() if name not in there)
+    until = time.monotonic() + 20
+    while left() > 50_000 and time.monotonic() < until:  # they are deleted in the background
+        time.sleep(0.2)
+    assert left() <= 50_000
+    assert sorted(r.doc_id for r in kept.collect()) == expected
+
+
 def test_nearest_members_of_other_roots():
     rng = np.random.default_rng(9)
     sets = [np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))]
