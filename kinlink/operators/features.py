@@ -29,9 +29,9 @@ def idf(rows: DataFrame, column: str) -> DataFrame:
 
 def weighted(rows: DataFrame, column: str, weights: DataFrame, out: str) -> DataFrame:
     """rows with out: array<struct<tok, idf>> of a token array's distinct tokens, sorted."""
-    toks = rows.select("country", "src", "idx", F.explode(F.array_distinct(column)).alias("tok")).join(weights, ["country", "tok"])
+    toks = rows.select("country", "src", "idx", F.explode(F.array_distinct(column)).alias("tok")).join(weights.hint("merge"), ["country", "tok"])
     arrays = toks.groupBy("country", "src", "idx").agg(F.array_sort(F.collect_list(F.struct("tok", "idf"))).alias(out))
-    return rows.join(arrays, ["country", "src", "idx"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<struct<tok:string,idf:double>>")))
+    return rows.join(arrays.hint("merge"), ["country", "src", "idx"], "left").withColumn(out, F.coalesce(out, F.array().cast("array<struct<tok:string,idf:double>>")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -185,9 +185,10 @@ def pair_rows(pairs: DataFrame, rec: DataFrame, parts: tuple[str, ...] = PARTS)
     s = rows.filter("src = 1").select("country", F.col("idx").alias("s1"), *(F.col(c).alias(f"s_{c}") for c in keep))
     r, more = rows.filter("src > 1"), []
     if "vocabulary" in parts:
-        r, more = r.join(vocabulary_share(rows), ["country", "src", "idx"], "left").na.fill(0.0, ["r_tok_in_s1_vocab"]), ["r_tok_in_s1_vocab"]
+        r, more = r.join(vocabulary_share(rows).hint("merge"), ["country", "src", "idx"], "left").na.fill(0.0, ["r_tok_in_s1_vocab"]), ["r_tok_in_s1_vocab"]
     r = r.select("country", "src", "idx", *more, *(F.col(c).alias(f"r_{c}") for c in keep))
-    return pairs.join(s, ["country", "s1"]).join(r, ["country", "src", "idx"])
+    # shuffles at any size: files of much repeated values are small, so tables of all records look as if they could be broadcast
+    return pairs.join(s.hint("merge"), ["country", "s1"]).join(r.hint("merge"), ["country", "src", "idx"])
 
 
 def features(pairs: DataFrame, rec: DataFrame, similarities: bool = True) -> DataFrame:

@@ -1,5 +1,6 @@
 """Queries that must not walk all pairs of large groups of rows."""
 
+import re
 import time
 
 import pytest
@@ -48,3 +49,10 @@ def test_lost_recall_of_groups_is_that_of_their_pairs(spark, tmp_path):
     finally:
         blocking_queries.view = original
     assert listed.n_true > 1000
+
+
+def test_features_broadcast_no_table_of_records(spark):
+    """Files of repeated values are small, so Spark would take tables of all records for small ones and collect them in the driver."""
+    plan = entry.queries()["fe00_all_features"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.split("\n") if "BroadcastHashJoin" in line]
+    assert "SortMergeJoin" in plan and not [x for x in joins if re.search(r"\b(idx|s1|h)#\d+", x.split("]")[0]) or "tok#" in x and "BuildLeft" in x]
