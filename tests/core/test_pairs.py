@@ -185,6 +185,28 @@ def test_configuration_counts_are_those_of_single_records(spark, monkeypatch):
     assert got.keys() == {r[1] for r in rows} and all(n[0] == sum(p >= 0.2 for p in lists[s]) for s, n in got.items())
 
 
+@pytest.mark.parametrize("cells", [4_000_000, 500])
+def test_the_optimiser_sees_all_candidates(spark, monkeypatch, cells):
+    """Records of more than 15 candidates, some of q below 0.01, against best_count() of all of them."""
+    monkeypatch.setattr(decide, "CELLS", cells, raising=False)
+    rng = random.Random(28)
+    lists = [[0.9] * 30, [0.005] * 40, []] + [sorted((round(rng.random() ** 3, 3) for _ in range(rng.randint(0, 40))), reverse=True) for _ in range(20)]
+    kinds = "country string, s1 int, src int, idx int, p double, label int"
+    rows = [("US", s, 2, i, p, rng.randint(0, 1) if s else 1) for s, q in enumerate(lists) for i, p in enumerate(q)]
+    sizes = spark.createDataFrame([("US", s, sum(r[5] for r in rows if r[1] == s)) for s in range(len(lists))], "country string, s1 int, t int")
+    got = {(r.home, r.name): r.score for r in decide.configuration_scores(spark.createDataFrame(rows, kinds), sizes, whole=True).collect()}
+    table = spark.createDataFrame([(s, q) for s, q in enumerate(lists)], "s int, q array<double>")
+    for g in (0.8, 1.0, 1.5):
+        n = {r.s: r.j for r in table.select("s", decide.best_count(F.col("q"), g).alias("j")).collect()}
+        assert n[0] == 30
+        f = []
+        for s in range(len(lists)):
+            labels = [r[5] for r in rows if r[1] == s]
+            tp, t = sum(labels[: n[s]]), sum(labels)
+            f.append(1.0 if n[s] == t == 0 else 0.0 if 0 in (n[s], t) else 1.25 * tp / (n[s] + 0.25 * t))
+        assert got["none", f"expected {g:.2f}"] == pytest.approx(sum(f) / len(f))
+
+
 def test_similarity_columns_are_the_plain_ones(spark):
     rng = random.Random(14)
     words = ["red", "ring", "a", "blue", "works", "ab"]
